@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from weftline.llm import secrets
 from weftline.llm.sharding import op9_jump_sharding
 
 QUERIES = {
+    "op3_credential_linking": secrets.op3_credential_linking,
     "op9_jump_sharding": op9_jump_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_credential_linking": secrets.ORACLE}
