@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from weftline.llm import secrets
+from weftline.llm import decontaminate, secrets
 from weftline.llm.sharding import op9_jump_sharding
 
 QUERIES = {
     "op3_credential_linking": secrets.op3_credential_linking,
+    "op8_positional_index": decontaminate.op8_positional_index,
     "op9_jump_sharding": op9_jump_sharding,
 }
-ORACLES = {"op3_credential_linking": secrets.ORACLE}
+ORACLES = {
+    "op3_credential_linking": secrets.ORACLE,
+    "op8_positional_index": decontaminate.ORACLE,
+}
