@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, secrets
+from weftline.llm import decontaminate, secrets, warc
 from weftline.llm.sharding import op9_jump_sharding
 
 QUERIES = {
     "op3_credential_linking": secrets.op3_credential_linking,
+    "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_positional_index": decontaminate.op8_positional_index,
     "op9_jump_sharding": op9_jump_sharding,
 }
 ORACLES = {
     "op3_credential_linking": secrets.ORACLE,
+    "op7_warc_round_trip": warc.ORACLE,
     "op8_positional_index": decontaminate.ORACLE,
 }
