@@ -172,7 +172,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     joined = tagged.join(hit, "_row", "left").withColumn("_p", F.when(F.col("_s").isNotNull(), F.arrays_zip(froms.alias("a"), tills.alias("b"))))
     chars = F.split("text", "")
     text = F.array_join(F.transform("_p", lambda p: F.array_join(F.slice(F.col("_c"), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), "")), mark)
-    joined = joined.withColumn("_c", F.when(F.col("_p").isNotNull(), chars))
+    # a generator keeps the optimizer from splitting the text again for every piece
+    joined = joined.withColumn("_c", F.explode(F.array(F.when(F.col("_p").isNotNull(), chars))))
     return joined.withColumn("text", F.when(F.col("_p").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
 
 
