@@ -6,7 +6,7 @@ A window's terms are looked up from the rarest (by its count in the index): the
 by its offset, give candidate starts; the next rarest, shifted likewise, is intersected with them, and a last
 join asks for all the other terms at once. What is left are exact phrase matches.
 
-Only documents that can hold a window are indexed: those with a run of at least as many benchmark terms as the
+Only places that can lie in a window are indexed: those in a run of at least as many benchmark terms as the
 shortest window has words. The runs are found by a hashed term set without misses, a byte per slot, whose size
 follows the benchmark's vocabulary within [2^12, 2^20] bytes; false positives only index more.
 
@@ -54,16 +54,25 @@ def _term_set(terms: DataFrame) -> tuple[bytes, int]:
 
 
 def index(docs: DataFrame, terms: DataFrame, shortest: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, postings): keep and n_words of every document; (keep[0], pos, term) of those that can hold a window."""
+    """(rows, postings): keep and n_words of every document; (keep[0], pos, term) of the places that can lie in a window."""
     held, size = _term_set(terms)
-    w = docs.select(*keep, words(F.col("text")).alias("w"))
     slot = lambda x: F.pmod(F.xxhash64(x), F.lit(size)).cast("int") + 1
     here = lambda x: F.substring(F.lit(bytearray(held)), slot(x), F.lit(1)) == F.lit(bytearray(b"\x01"))
-    flags = F.array_join(F.transform("w", lambda x: F.when(here(x), "1").otherwise("0")), "")
-    able = F.contains(flags, F.lit("1" * shortest)) if shortest else F.lit(False)
-    rows = written(w.select(*keep, F.size("w").cast("long").alias("n_words"), F.when(able, F.col("w")).alias("w")), "decon-rows")
-    all_words = rows.where("w IS NOT NULL").select(keep[0], F.posexplode("w").alias("pos", "term"))
-    return rows.drop("w"), written(all_words.join(terms, "term", "left_semi"), "decon-postings")
+    w = docs.select(*keep, words(F.col("text")).alias("w"))
+    flags = F.array_join(F.transform("w", lambda x: F.when(here(x), "1").otherwise("0")), "").cast("binary")
+    # a generator keeps the optimizer from computing w and f again for each element that looks into them
+    w = w.select(*keep, F.explode(F.array(F.struct("w", flags.alias("f")))).alias("x")).select(*keep, "x.w", "x.f")
+    ones = F.lit(bytearray(b"1" * max(shortest, 1)))
+    good = lambda p: F.substring("f", (p + 1).cast("int"), F.lit(max(shortest, 1))) == ones
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - max(shortest, 1)), good)
+    at = lambda x, p: F.struct(p.cast("long").alias("pos"), x.alias("term"))
+    # of overlapping starts each gives its first word, the last of them all of its words: every place once
+    whole = lambda p: F.transform(F.slice("w", p + 1, max(shortest, 1)), lambda x, j: at(x, p + j))
+    runs = F.flatten(F.transform(starts, lambda p: F.when(good(p + 1), F.array(at(F.get("w", p), p))).otherwise(whole(p))))
+    able = F.contains("f", ones) if shortest else F.lit(False)
+    rows = written(w.select(*keep, F.size("w").cast("long").alias("n_words"), F.when(able, runs).alias("runs")), "decon-rows")
+    found = rows.select(keep[0], F.inline("runs"))
+    return rows.drop("runs"), written(found.join(terms, "term", "left_semi"), "decon-postings")
 
 
 def phrase_matches(postings: DataFrame, wins: DataFrame, key: str) -> DataFrame:
@@ -90,7 +99,7 @@ def phrase_matches(postings: DataFrame, wins: DataFrame, key: str) -> DataFrame:
 
 def proximity_matches(postings: DataFrame, wins: DataFrame, key: str, slop: int) -> DataFrame:
     """(key, win, pos): places of a window's rarest term around which all its other terms stand within ``slop``
-    positions of where the phrase would have them, in the indexed documents."""
+    positions of where the phrase would have them, among the indexed places."""
     counts = postings.groupBy("term").agg(F.count("*").alias("cf"))
     asked = wins.join(counts, "term")
     asked = asked.withColumn("order", F.row_number().over(Window.partitionBy("win").orderBy("cf", "off")))
