@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import ann, decontaminate, langid, lm, secrets, setjoin, tokens, warc
+from weftline.llm import ann, decontaminate, langid, lattice, lm, secrets, setjoin, tokens, warc
 from weftline.llm.sharding import op9_jump_sharding
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_credential_linking": secrets.op3_credential_linking,
     "op4_deleted_interpolation": lm.op4_deleted_interpolation,
+    "op5_gumbel_segmentation": lattice.op5_gumbel_segmentation,
     "op6_set_relation_join": setjoin.op6_set_relation_join,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_positional_index": decontaminate.op8_positional_index,
