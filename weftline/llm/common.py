@@ -37,6 +37,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tagged(docs: DataFrame, tag: str) -> DataFrame:
+    """(_row, _doc, doc_id, text), written: rows by number, with all their columns in one, whatever their names."""
+    one = F.struct(*docs.columns).alias("_doc")
+    return written(docs.select(F.monotonically_increasing_id().alias("_row"), one, F.col("doc_id").cast("long").alias("doc_id"), "text"), tag)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, mod m; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

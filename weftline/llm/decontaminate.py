@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, written
+from weftline.llm.common import table, tagged, written
 
 WORDS = 10
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -141,9 +141,9 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no window of an item occurs."""
-    tagged = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decon-docs")
-    bad = contamination(tagged, items, ["_row"]).where("n_hit > 0").select("_row")
-    return tagged.join(bad, "_row", "left_anti").select(*docs.columns)
+    rows = tagged(docs, "decon-docs")
+    bad = contamination(rows, items, ["_row"]).where("n_hit > 0").select("_row")
+    return rows.join(bad, "_row", "left_anti").select("_doc.*")
 
 
 ORACLE = f"""

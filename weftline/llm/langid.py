@@ -204,5 +204,5 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is recognised; the others go."""
     model = train(docs.select("doc_id", "text", "lang"))
-    tagged = docs.select(*docs.columns)
-    return identify(tagged, model, docs.columns).where("accepted").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")  # whatever the columns' names are
+    return identify(whole, model, ["_doc"]).where("accepted").select("_doc.*")

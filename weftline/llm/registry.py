@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from weftline.llm import ann, decontaminate, langid, lattice, lm, secrets, setjoin, tokens, warc
 from weftline.llm.sharding import op9_jump_sharding
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op8_positional_index": decontaminate.op8_positional_index,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_wavelet_shards": tokens.op10_wavelet_shards,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_credential_linking": secrets.ORACLE,

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from weftline.llm.common import table, written
+from weftline.llm.common import table, tagged, written
 
 SCOPE = 256
 BIN = 1024
@@ -157,8 +157,8 @@ def op3_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every reported span replaced by ``mark`` (overlapping or touching spans by one)."""
-    tagged = written(docs.withColumn("_row", F.monotonically_increasing_id()), "secret-rows")
-    _, spans = spans_of(tagged, "text", ["_row"])
+    rows = tagged(docs, "secret-rows")
+    _, spans = spans_of(rows, "text", ["_row"])
     lists = spans.where("kind >= 0").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))
     # merged[-1] is the open interval; each step extends it or starts the next
     merged = F.aggregate(
@@ -169,12 +169,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     # the pieces between the spans: [0, s1), [e1, s2), ..., [en, end)
     froms = F.concat(F.array(F.lit(0).cast("long")), F.transform("_s", lambda x: x["end"]))
     tills = F.concat(F.transform("_s", lambda x: x["start"]), F.array(F.char_length("text").cast("long")))
-    joined = tagged.join(hit, "_row", "left").withColumn("_p", F.when(F.col("_s").isNotNull(), F.arrays_zip(froms.alias("a"), tills.alias("b"))))
+    joined = rows.join(hit, "_row", "left").withColumn("_p", F.when(F.col("_s").isNotNull(), F.arrays_zip(froms.alias("a"), tills.alias("b"))))
     chars = F.split("text", "")
     text = F.array_join(F.transform("_p", lambda p: F.array_join(F.slice(F.col("_c"), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), "")), mark)
     # a generator keeps the optimizer from splitting the text again for every piece
     joined = joined.withColumn("_c", F.explode(F.array(F.when(F.col("_p").isNotNull(), chars))))
-    return joined.withColumn("text", F.when(F.col("_p").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.select(F.when(F.col("_p").isNotNull(), F.col("_doc").withField("text", text)).otherwise(F.col("_doc")).alias("_doc")).select("_doc.*")
 
 
 def _oracle() -> str:
