@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import crc_mod, mix, mix_int, pack, pieces, table, unpack, utf8, word_hashes, written
 
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 FOLDS = 4
 LEVELS = 40  # buckets of context frequency
 GRID, FINE = 160, 4  # bins of the ratios, per doubling
@@ -89,6 +89,17 @@ def _batches(batches: Iterator[pa.RecordBatch]):
             k += 1
 
 
+def _pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of their order, of which the high ones compress."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return pack(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).ravel(), counts.astype(np.uint32))
+
+
+def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw, counts = unpack(blob)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64), counts
+
+
 def ask(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, batch, kind, blob): the sorted distinct keys of each batch and their training counts in it."""
 
@@ -98,7 +109,7 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
             for kind, (keys, counts) in enumerate(zip(b.keys(), b.counts(train), strict=True)):
                 cuts = np.searchsorted(_buckets_of(keys, buckets), np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cuts))
-                blobs = [pack(keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]].astype(np.uint32)) for i in some]
+                blobs = [_pack_keys(keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in some]
                 k = len(some)
                 yield pa.record_batch([pa.array(some, pa.int32()), pa.array([name] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "kind", "blob"])
 
@@ -117,7 +128,7 @@ def answer(asked: DataFrame) -> DataFrame:
                 out[c].append(x)
 
         kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
-        got = [unpack(b) for b in pdf["blob"]]
+        got = [_unpack_keys(b) for b in pdf["blob"]]
         keys, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         total = np.bincount(inv, weights=np.concatenate([g[1] for g in got]), minlength=len(keys)).astype(np.int64)
         at = 0
@@ -134,21 +145,22 @@ def answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("kind", "bucket").applyInPandas(run, "batch bigint, kind int, bucket int, blob binary, n bigint, v bigint")
 
 
-def streams(docs: DataFrame) -> DataFrame:
-    """(batch, blob, ids): the batch as places among its sorted keys, and its rows."""
+def texts(docs: DataFrame) -> DataFrame:
+    """(batch, blob): each batch's rows, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, b, rows in _batches(batches):
-            train = rows.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
-            fold = rows.column("fold").to_numpy(zero_copy_only=False).astype(np.uint8)
-            held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)
-            ids = rows.column("doc_id")
-            known = np.array([x.is_valid for x in ids], dtype=np.uint8)
-            names = ids.fill_null(0).to_numpy()
-            small = lambda x: x.astype(np.uint32)
-            checks = np.array([b.words.sum(), b.pairs.sum()], np.uint64)
-            blob = pack(b.lengths, small(b.pair), small(b.pair_word), small(b.pair_left), train, fold, held, known, names, checks, np.array([len(b.words)]))
-            yield pa.record_batch([pa.array([name], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
+        from pyspark import TaskContext
+
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            raw, off = utf8(batch.column("text"))
+            for a, b in pieces(off, CHUNK):
+                flags = [batch.column(c)[a:b].to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("train", "fold", "held_out")]
+                ids = batch.column("doc_id")[a:b]
+                known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+                blob = pack(raw[off[a] : off[b]], off[a : b + 1] - off[a], *flags, known, ids.fill_null(0).to_numpy())
+                yield pa.record_batch([pa.array([part << 32 | k], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
+                k += 1
 
     return docs.select("doc_id", "text", "train", "fold", "held_out").mapInArrow(run, "batch bigint, blob binary")
 
@@ -172,13 +184,11 @@ def _bin_ratio(k: np.ndarray) -> np.ndarray:
     return np.where(k > 0, np.exp2((k - 1 - FINE * 4) / FINE), 0.0)
 
 
-def histogram(parts: list[np.ndarray], counts: list[np.ndarray], n: int, v: int) -> np.ndarray:
+def histogram(batch: Batch, train: np.ndarray, fold: np.ndarray, counts: list[np.ndarray], n: int, v: int) -> np.ndarray:
     """Codes (level, bin of p2, bin of p1) of a batch's held-out tokens, with repeats."""
-    lengths, pair, pair_word, pair_left, train, fold = parts[:6]
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    own_fold, own = fold[of].astype(np.int64), train[of].astype(bool)
+    own_fold, own = fold[batch.of], train[batch.of].astype(bool)
     words, pairs = len(counts[0]), len(counts[1])
-    left, word = pair_left[pair].astype(np.int64), pair_word[pair].astype(np.int64)
+    pair, left, word = batch.pair, batch.pair_left[batch.pair], batch.word
     out = []
     for k in range(FOLDS):
         use = own & (own_fold == k)
@@ -221,29 +231,26 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(parts: list[np.ndarray], counts: list[np.ndarray], n: int, v: int, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+def score(batch: Batch, counts: list[np.ndarray], n: int, v: int, weights: np.ndarray) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base score, score) of a batch's texts."""
-    lengths, pair, pair_word, pair_left = parts[:4]
     c1, c2 = counts[0].astype(np.float64), counts[1].astype(np.float64)
-    left = c1[pair_left]
+    left = c1[batch.pair_left]
     w = weights[level(left)]
     p2 = np.where(left > 0, c2 / np.maximum(left, 1), 0.0)
-    p = np.log10(w[:, 0] * p2 + w[:, 1] * c1[pair_word] / max(n, 1) + w[:, 2] / (v + 1)) if n else np.full(len(c2), -np.log10(v + 1))
+    p = np.log10(w[:, 0] * p2 + w[:, 1] * c1[batch.pair_word] / max(n, 1) + w[:, 2] / (v + 1)) if n else np.full(len(c2), -np.log10(v + 1))
     base = np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))
-    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    word = pair_word[pair]
-    add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
-    return lengths, add((c1 > 0).astype(np.int64)[word]), add(base[word]), add(p[pair])
+    add = lambda x: np.add.reduceat(x, batch.off[:-1])
+    return batch.lengths, add((c1 > 0).astype(np.int64)[batch.word]), add(base[batch.word]), add(p[batch.pair])
 
 
-def _answers(parts: list[np.ndarray], rows: pd.DataFrame) -> list[np.ndarray]:
+def _answers(batch: Batch, rows: pd.DataFrame) -> list[np.ndarray]:
     """The batch's counts in the order of its keys; an error if they are not the answers to its own keys."""
     out = []
-    for kind, size in ((0, int(parts[10][0])), (1, len(parts[2]))):
+    for kind, keys in enumerate(batch.keys()):
         got = [unpack(b) for b in rows[rows["kind"] == kind].sort_values("bucket")["blob"]]
         counts = np.concatenate([np.zeros(0, np.int64), *(g[0].astype(np.int64) for g in got)])
         check = sum(int(g[1][0]) for g in got) & ((1 << 64) - 1)
-        if len(counts) != size or check != int(parts[9][kind]):
+        if len(counts) != len(keys) or check != int(keys.sum()):
             raise RuntimeError("counts of another batch: the input's splits changed between two passes")
         out.append(counts)
     return out
@@ -263,15 +270,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
         out = {c: [] for c in ("kind", "blob", "code", "n")}
         for blob in s["blob"]:
             parts = unpack(blob)
-            counts = _answers(parts, a)
-            codes, times = np.unique(histogram(parts, counts, n, v), return_counts=True)
+            batch = Batch(*parts[:2])
+            counts = _answers(batch, a)
+            codes, times = np.unique(histogram(batch, *parts[2:4], counts, n, v), return_counts=True)
+            small = [c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c for c in counts]
             out["kind"] += ["batch", *["held"] * len(codes)]
-            out["blob"] += [pack(*parts[:9], *counts), *[None] * len(codes)]
+            out["blob"] += [pack(*parts, *small), *[None] * len(codes)]
             out["code"] += [0, *codes.tolist()]
             out["n"] += [0, *times.tolist()]
         return pd.DataFrame(out)
 
-    named = streams(docs).withColumnRenamed("batch", "of")
+    named = texts(docs).withColumnRenamed("batch", "of")
     answered = answers.where("batch >= 0").select("batch", "kind", "bucket", "blob")
     full = written(named.groupBy("of").cogroup(answered.groupBy("batch")).applyInPandas(join, "kind string, blob binary, code bigint, n bigint"), "lm-batches")
     # LEVELS * (GRID + 1)^2 rows at most
@@ -283,10 +292,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for blob in batch.column(0):
                 parts = unpack(blob.as_buffer())
-                tokens, known, base, full_score = score(parts, parts[9:11], n, v, shared.value)
-                valid, k = parts[7].astype(bool), len(tokens)
+                tokens, known, base, full_score = score(Batch(*parts[:2]), parts[7:9], n, v, shared.value)
+                valid, k = parts[5].astype(bool), len(tokens)
                 yield pa.record_batch(
-                    [pa.array(parts[8], pa.int64(), mask=~valid), pa.array(parts[6].astype(bool)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(base), pa.array(full_score)],
+                    [pa.array(parts[6], pa.int64(), mask=~valid), pa.array(parts[4].astype(bool)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(base), pa.array(full_score)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
