@@ -1,10 +1,535 @@
-"""The registered queries and, where SQL can express them, their DuckDB twins."""
+"""The registered queries and, where SQL can express them, their DuckDB twins.
+
+Doubles are rounded to six places on both sides, as engines add in different orders; every top-k has a total order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.functions import text as words
+from weftline.functions import urls
+from weftline.functions.html import h1_of, parse_html, title_of
+from weftline.functions.lang import is_english
+from weftline.operators import crawl, graph, keywords, news, search
+from weftline.sources import sinks, tables
+from weftline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+# ---- URLs and pages --------------------------------------------------------------------------
+
+_NORM = "rtrim(lower(url), '/')"
+_CUT = "regexp_replace(regexp_replace(regexp_replace({}, '^https://', ''), '^http://', ''), '^www\\.', '')"
+
+
+@query(f"""
+SELECT page_id, {_NORM} AS normalized, {_CUT.format(_NORM)} AS simple, regexp_extract(url, '^(https?://)?[^/]*', 0) AS domain,
+       regexp_extract({_CUT.format("lower(url)")}, '^[^/]*', 0) AS host, md5(url) AS hash,
+       CASE WHEN contains(url, 'https') THEN substr(url, 9) ELSE substr(url, 8) END AS bare
+FROM pages""")
+def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", urls.normalize_url(u).alias("normalized"), urls.simple_url(u).alias("simple"), urls.domain(u).alias("domain"),
+        urls.host_name(u).alias("host"), urls.url_hash(u).alias("hash"), urls.abs_link(u).alias("bare"),
+    )
+
+
+_A = '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+#: links(page_id, url, link, anchor), by the resolution rules on (base, href).
+_LINKS = f"""
+raw AS (SELECT page_id, url, regexp_extract_all(html, '{_A}', 1) AS h, regexp_extract_all(html, '{_A}', 2) AS a FROM pages),
+anchors AS (SELECT page_id, url, i AS nth, rtrim(lower(h[i]), '/') AS href, a[i] AS anchor FROM raw, unnest(range(1, len(h) + 1)) AS u(i)),
+base AS (SELECT *, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, length(url) - length(regexp_extract(url, '([^/]*)$', 1)) - 1 AS last,
+                regexp_extract(url, '^(https?://[^/]*)/', 1) AS root FROM anchors),
+full_links AS (SELECT page_id, url, nth, anchor, CASE
+    WHEN starts_with(href, 'http://') OR starts_with(href, 'https://') THEN href
+    WHEN starts_with(href, 'javascript:') OR starts_with(href, '..') THEN '#'
+    WHEN starts_with(href, '//') THEN (CASE WHEN starts_with(url, 'http://') THEN 'http:' ELSE 'https:' END) || href
+    WHEN starts_with(href, './') THEN (CASE WHEN last < 0 OR starts_with(url, 'http') AND last < 8 THEN '#' ELSE dir || '/' || substr(href, 3) END)
+    WHEN starts_with(href, '/') THEN (CASE WHEN root <> '' THEN root ELSE url END) || href
+    ELSE (CASE WHEN last < 0 OR starts_with(url, 'http') AND last <= 7 THEN url ELSE dir END) || '/' || href END AS link FROM base),
+parts AS (SELECT *, starts_with(link, 'http://') OR starts_with(link, 'https://') AS web, regexp_extract(link, '([^/]*)$', 1) AS name FROM full_links),
+valid AS (SELECT *, regexp_extract(name, '(\\.[^.]*)$', 1) AS suffix, length(link) - length(name) AS slash FROM parts),
+kept AS (SELECT page_id, url, nth, anchor, regexp_replace(link, '^(https?://)www\\.', '\\1') AS link FROM valid
+    WHERE NOT (contains(link, '#') OR link = url OR (contains(link, '://') AND NOT web) OR starts_with(link, 'mailto:')
+          OR ((CASE WHEN web THEN slash > 8 ELSE slash > 0 END) AND suffix <> '' AND NOT starts_with(suffix, '.html') AND NOT starts_with(suffix, '.php')))),
+links AS (SELECT page_id, url, link, arg_min(anchor, nth) AS anchor FROM kept WHERE link <> url GROUP BY page_id, url, link)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.page_links(table(spark, sf_dir, "pages"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, url, link, anchor FROM links")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir)
+
+
+@query("SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS h1 FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", title_of(F.col("html")).alias("title"), h1_of(F.col("html")).alias("h1"))
+
+
+@query()
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested pages by the HTML parser, as the index takes them, with sizes of their parts."""
+    pages = table(spark, sf_dir, "pages")
+    nested = pages.select("page_id", parse_html("url", "html").alias("p")).select("page_id", "p.*")
+    fields = search.page_fields(nested)
+    sizes = nested.select(F.md5("url").alias("doc_key"), "page_id", F.size("links").alias("n_links"), F.size("metas").alias("n_metas"), F.size("h2").alias("n_h2"))
+    return sizes.join(fields, "doc_key").select("page_id", "doc_key", "title", "h1", "h2", "description", F.md5("text").alias("text_md5"), "n_links", "n_metas", "n_h2")
+
+
+@query(f"""WITH {_LINKS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY link) - 1 AS pos FROM links)
+SELECT page_id, link, CAST(pos AS INT) AS pos FROM numbered WHERE pos % 10 = 0""")
+def link_sample_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.sample_links(_links(spark, sf_dir), "page_id", "link").select("page_id", "link", "pos")
+
+
+@query(f"""WITH {_LINKS} SELECT regexp_extract(url, '^(https?://)?[^/]*', 0) AS src, regexp_extract(link, '^(https?://)?[^/]*', 0) AS dst,
+CAST(count(*) AS INT) AS weight FROM links GROUP BY 1, 2""")
+def domain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.domain_edges(_links(spark, sf_dir))
+
+
+@query(f"WITH {_LINKS} SELECT md5(link) AS row_key, count(*) AS total_ref FROM links GROUP BY 1")
+def inlink_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.inlink_count(_links(spark, sf_dir))
+
+
+_USELESS = ", ".join(f"'{a}'" for a in graph.USELESS_ANCHORS)
+
+
+@query(f"""WITH {_LINKS}, counts AS (SELECT md5(link) AS row_key, lower(anchor) AS anchor, count(*) AS n FROM links WHERE anchor NOT IN ({_USELESS}) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY n DESC, anchor) - 1 AS rank FROM counts)
+SELECT row_key, CAST(rank AS INT) AS rank, anchor, n FROM r WHERE rank < 5""")
+def top5_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top_anchors(_links(spark, sf_dir))
+
+
+@query(f"WITH {_LINKS} SELECT row_key, url, count(*) AS n_cells, min(link) AS first_link FROM (SELECT md5(url) AS row_key, * FROM links) GROUP BY 1, 2")
+def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map view of out-links: a row per page, its sinks as keys."""
+    wide = sinks.wide_rows(_links(spark, sf_dir), "url", "link", "anchor")
+    keys = F.map_keys("cells")
+    return wide.select(F.md5("url").alias("row_key"), "url", F.size("cells").cast("long").alias("n_cells"), F.array_min(keys).alias("first_link"))
+
+
+# ---- graphs ----------------------------------------------------------------------------------
+
+_NATION = """nation_edges AS (SELECT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst, CAST(count(*) AS INT) AS weight FROM lineitem
+JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+
+
+def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analogue of the domain graph: customers' nations to suppliers' nations, by line items."""
+    t = lambda n: table(spark, sf_dir, n)
+    lines = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    lines = lines.join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    lines = lines.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    name = lambda c: F.concat(F.lit("n"), F.col(c))
+    return lines.groupBy(name("c_nationkey").alias("src"), name("s_nationkey").alias("dst")).agg(F.count("*").cast("int").alias("weight"))
+
+
+_BIPARTITE = """one_way AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+edges AS (SELECT src, dst FROM one_way UNION ALL SELECT dst, src FROM one_way)"""
+
+
+def _bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analogue of the page graph: customers and suppliers, both ways."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    one = lines.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst")).distinct()
+    return one.unionByName(graph.transpose(one))
+
+
+def _rank_sql(edges: str, steps: int) -> str:
+    """CTEs shares, r0, ..., r<steps> over the edges of a CTE."""
+    out = [f"shares AS (SELECT e.src, e.dst, d.deg FROM {edges} e JOIN (SELECT src, count(*) AS deg FROM {edges} GROUP BY src) d ON e.src = d.src)", f"r0 AS (SELECT DISTINCT src AS node, 1.0::DOUBLE AS rank FROM {edges})"]
+    for i in range(steps):
+        out.append(f"r{i + 1} AS (SELECT s.dst AS node, 0.15 + 0.85 * sum(r.rank / s.deg) AS rank FROM shares s JOIN r{i} r ON s.src = r.node WHERE s.dst IN (SELECT node FROM r0) GROUP BY s.dst)")
+    return ", ".join(out)
+
+
+@query(f"WITH {_NATION} SELECT * FROM nation_edges")
+def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_edges(spark, sf_dir)
+
+
+@query(f"WITH {_NATION} SELECT dst AS src, src AS dst, weight FROM nation_edges")
+def nation_edges_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transpose(_nation_edges(spark, sf_dir))
+
+
+@query(f"WITH {_NATION} SELECT dst AS node, weight FROM nation_edges WHERE src = 'n7'")
+def out_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.out_neighbors(_nation_edges(spark, sf_dir), "n7")
+
+
+@query(f"WITH {_NATION} SELECT src AS node, weight FROM nation_edges WHERE dst = 'n7'")
+def in_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.in_neighbors(_nation_edges(spark, sf_dir), "n7")
+
+
+@query(f"""WITH {_BIPARTITE} SELECT DISTINCT src, dst FROM edges WHERE src NOT LIKE '%#%' AND dst NOT LIKE '%#%' AND src <> dst AND md5(dst) > '4' AND md5(dst) <= 'c'""")
+def clean_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.clean_edges(_bipartite(spark, sf_dir), ("4", "c"))
+
+
+@query(f"WITH {_BIPARTITE}, {_rank_sql('edges', 1)} SELECT node, round(rank, 6) AS rank FROM r1")
+def pagerank_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.pagerank(_bipartite(spark, sf_dir), 1), "rank")
+
+
+@query(f"WITH {_BIPARTITE}, {_rank_sql('edges', 10)} SELECT node, round(rank, 6) AS rank FROM r10")
+def pagerank_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.pagerank(_bipartite(spark, sf_dir), 10), "rank")
+
+
+_LOOPED = "looped AS (SELECT src, dst FROM edges UNION SELECT src, src FROM edges)"
+
+
+@query(f"WITH {_BIPARTITE}, {_LOOPED}, {_rank_sql('looped', 5)} SELECT md5(node) AS row_key, round(rank, 6) AS rank FROM r5")
+def page_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.page_pagerank(_bipartite(spark, sf_dir), 5), "rank")
+
+
+_DOMAIN_RANK = f"{_NATION}, loops AS (SELECT src, dst FROM nation_edges UNION SELECT src, src FROM nation_edges), inner_edges AS (SELECT * FROM loops WHERE dst IN (SELECT src FROM loops)), {_rank_sql('inner_edges', 10)}"
+
+
+def _domain_rank(edges: DataFrame) -> DataFrame:
+    return graph.pagerank(edges, 10, self_loops=True, restrict=True)
+
+
+@query(f"WITH {_DOMAIN_RANK} SELECT node, round(rank, 6) AS rank FROM r10")
+def domain_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_domain_rank(_nation_edges(spark, sf_dir)), "rank")
+
+
+@query(f"WITH {_BIPARTITE}, {_rank_sql('edges', 5)} SELECT round(sum(rank), 6) AS total, count(*) AS n, round(avg(rank), 6) AS mean FROM r5")
+def rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.rank_stats(graph.pagerank(_bipartite(spark, sf_dir), 5)), "total", "mean")
+
+
+_TOP = "top AS (SELECT node FROM (SELECT node, round(rank, 6) AS rank FROM r10) ORDER BY rank DESC, node LIMIT 10)"
+
+
+@query(f"WITH {_DOMAIN_RANK}, {_TOP} SELECT src, dst, weight FROM nation_edges WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)")
+def top_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _nation_edges(spark, sf_dir)
+    return graph.top_subgraph(edges, _rounded(_domain_rank(edges), "rank"), 10)
+
+
+# ---- keywords --------------------------------------------------------------------------------
+
+_TERMS = """terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM terms GROUP BY 1)"""
+_TFIDF = f"""{_TERMS}, scored AS (SELECT doc_id, t.term, tf * (1 + ln(((SELECT count(*) FROM documents) + 1) / (df + 1))) AS score FROM terms t JOIN df ON t.term = df.term),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) - 1 AS rank FROM (SELECT doc_id, term, round(score, 9) AS score FROM scored)),
+best AS (SELECT doc_id, CAST(rank AS INT) AS rank, term AS keyword, score / max(score) OVER (PARTITION BY doc_id) AS score FROM r WHERE rank < 5)"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _tfidf5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best keywords; scores are rounded before they are compared, so that both engines break the same ties."""
+    docs = _documents(spark, sf_dir)
+    scores = keywords.tfidf(keywords.doc_terms(docs), docs.count()).withColumn("score", F.round("score", 9))
+    top = sinks.ranked(scores, ["doc_id"], [F.desc("score"), F.asc("term")], 5)
+    return top.select("doc_id", "rank", F.col("term").alias("keyword"), (F.col("score") / F.max("score").over(Window.partitionBy("doc_id"))).alias("score"))
+
+
+@query(f"WITH {_TERMS} SELECT doc_id, term, tf FROM terms")
+def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.doc_terms(_documents(spark, sf_dir))
+
+
+@query(f"WITH {_TERMS} SELECT term, df FROM df")
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.term_df(keywords.doc_terms(_documents(spark, sf_dir)))
+
+
+@query(f"WITH {_TFIDF} SELECT doc_id, rank, keyword, round(score, 6) AS score FROM best")
+def tfidf_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_tfidf5(spark, sf_dir), "score")
+
+
+_SOURCE = f"""{_TFIDF}, sums AS (SELECT source AS domain, keyword, round(sum(score), 6) AS score FROM best JOIN documents USING (doc_id) GROUP BY 1, 2),
+source_top AS (SELECT domain, keyword, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, keyword) - 1 AS rank FROM sums) WHERE rank < 5)"""
+
+
+def _source_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of sources, the analogue of domains."""
+    scores = _tfidf5(spark, sf_dir).join(_documents(spark, sf_dir).select("doc_id", F.col("source").alias("domain")), "doc_id")
+    sums = scores.groupBy("domain", "keyword").agg(F.round(F.sum("score"), 6).alias("score"))
+    return keywords.group_keywords(sums, "domain")
+
+
+@query(f"WITH {_SOURCE} SELECT domain, rank, keyword, score FROM source_top")
+def source_top5_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _source_top(spark, sf_dir).select("domain", "rank", "keyword", "score")
+
+
+#: Sources point at the next two, by number.
+_RING = "ring AS (SELECT DISTINCT source AS src, 'src' || ((CAST(substr(source, 4) AS INT) + k) % 20) AS dst FROM documents, (VALUES (1), (2)) AS v(k))"
+
+
+@query(f"WITH {_SOURCE}, {_RING} SELECT a.keyword AS from_kw, b.keyword AS to_kw, count(*) AS n FROM ring JOIN source_top a ON src = a.domain JOIN source_top b ON dst = b.domain GROUP BY 1, 2")
+def keyword_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.substring("source", 4, 9).cast("int")
+    ring = _documents(spark, sf_dir).select(F.col("source").alias("src"), F.explode(F.array(*(F.concat(F.lit("src"), (number + k) % 20) for k in (1, 2)))).alias("dst")).distinct()
+    return keywords.keyword_relations(ring, _source_top(spark, sf_dir))
+
+
+@query(f"WITH {_SOURCE} SELECT keyword, string_agg(domain, ',' ORDER BY domain) AS domains FROM source_top GROUP BY 1")
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.keyword_index(_source_top(spark, sf_dir))
+
+
+@query(f"WITH {_TFIDF} SELECT md5('doc' || doc_id) AS row_key, 'doc' || doc_id AS url, keyword, round(score, 6) AS score FROM best")
+def keyword_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("doc"), F.col("doc_id"))
+    return _rounded(_tfidf5(spark, sf_dir).select(F.md5(url).alias("row_key"), url.alias("url"), "keyword", "score"), "score")
+
+
+# ---- search ----------------------------------------------------------------------------------
+
+#: Two fields: text, and the source as title.
+_INDEX = """places AS (SELECT doc_id, field, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (
+  SELECT doc_id, 'text' AS field, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM documents
+  UNION ALL SELECT doc_id, 'title', regexp_extract_all(lower(coalesce(source, '')), '[\\p{L}\\p{N}]+') FROM documents)),
+lens AS (SELECT doc_id, field, count(*) AS len FROM places GROUP BY 1, 2),
+stats AS (SELECT field, count(*) AS n_docs, avg(len) AS avg_len FROM lens GROUP BY 1),
+post AS (SELECT doc_id, field, term, count(*) AS tf FROM places GROUP BY 1, 2, 3),
+dfs AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2)"""
+_IDF = "ln(1 + (n_docs - df + 0.5) / (df + 0.5))"
+_TF = "tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))"
+_BOOST = "CASE field WHEN 'text' THEN {} ELSE {} END"
+_TEXT, _TITLE = "the ering of src3", "src3"
+
+
+def _best_sql(query_text: str, text: float, title: float, name: str = "best") -> str:
+    terms = ", ".join(f"('{t}')" for t in search.terms_of(query_text))
+    return f"""{name} AS (SELECT doc_id, max(s * {_BOOST.format(text, title)}) AS score FROM (
+SELECT doc_id, field, sum({_IDF} * {_TF}) AS s FROM (VALUES {terms}) q(term) JOIN post USING (term) JOIN dfs USING (field, term) JOIN stats USING (field) JOIN lens USING (doc_id, field) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _phrase_sql(phrases: list[str], name: str) -> str:
+    """(clause, doc_id, score)."""
+    rows = ", ".join(f"({c}, {i}, '{t}', {len(search.terms_of(p))})" for c, p in enumerate(phrases) for i, t in enumerate(search.terms_of(p)))
+    return f"""{name}_q AS (SELECT * FROM (VALUES {rows}) v(clause, o, term, need)),
+{name}_idf AS (SELECT clause, field, sum({_IDF}) AS idf FROM {name}_q JOIN dfs USING (term) JOIN stats USING (field) GROUP BY 1, 2),
+{name}_tf AS (SELECT clause, field, doc_id, count(*) AS tf FROM (SELECT clause, field, doc_id, pos - o AS start, need, count(*) AS n FROM {name}_q JOIN places USING (term) GROUP BY 1, 2, 3, 4, 5) WHERE n = need GROUP BY 1, 2, 3),
+{name} AS (SELECT clause, doc_id, max(idf * {_TF} * {_BOOST.format(5.0, 2.0)}) AS score FROM {name}_tf JOIN {name}_idf USING (clause, field) JOIN stats USING (field) JOIN lens USING (doc_id, field) GROUP BY 1, 2)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    return search.build_index(_documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("title")), "doc_id", ["text", "title"])
+
+
+#: Phrases of frequent words, which the corpora are sure to have.
+_MUST, _NOT, _SHOULD, _BLOCKED = ["of the"], ["in the of"], ["the and", "to the"], ["of of", "a a"]
+
+
+@query(f"WITH {_INDEX} SELECT doc_id, field, term, tf, list_min(ps) AS first_pos, list_max(ps) AS last_pos FROM (SELECT doc_id, field, term, count(*) AS tf, list(CAST(pos AS INT)) AS ps FROM places GROUP BY 1, 2, 3)")
+def text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index: postings with their places' ends."""
+    return _index(spark, sf_dir).postings.select("doc_id", "field", "term", "tf", F.array_min("positions").alias("first_pos"), F.array_max("positions").alias("last_pos"))
+
+
+@query(f"WITH {_INDEX}, {_best_sql(_TEXT, 5.0, 2.0)} SELECT doc_id, round(score, 6) AS score FROM best")
+def bm25_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.simple_search(_index(spark, sf_dir), _TEXT), "score")
+
+
+@query(f"WITH {_INDEX}, {_phrase_sql(_MUST, 'm')} SELECT doc_id, round(score, 6) AS score FROM m")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.advanced_search(_index(spark, sf_dir), _MUST, [], []), "score")
+
+
+@query(f"""WITH {_INDEX}, {_phrase_sql(_MUST + _SHOULD, 'm')}, {_phrase_sql(_NOT, 'x')}
+SELECT doc_id, round(sum(score), 6) AS score FROM m WHERE doc_id NOT IN (SELECT doc_id FROM x) GROUP BY 1 HAVING count(*) FILTER (clause < {len(_MUST)}) = {len(_MUST)}""")
+def advanced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.advanced_search(_index(spark, sf_dir), _MUST, _NOT, _SHOULD), "score")
+
+
+@query(f"WITH {_INDEX}, {_phrase_sql(_SHOULD, 'm')} SELECT doc_id, round(sum(score), 6) AS score FROM m GROUP BY 1")
+def should_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No must phrase: at least one of the should phrases; blank boxes are dropped."""
+    return _rounded(search.advanced_search(_index(spark, sf_dir), ["", " "], [""], _SHOULD), "score")
+
+
+@query(f"WITH {_INDEX}, {_best_sql(_TEXT, 5.0, 2.0)}, {_phrase_sql(_BLOCKED, 'x')} SELECT doc_id, round(score, 6) AS score FROM best WHERE doc_id NOT IN (SELECT doc_id FROM x)")
+def safe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.simple_search(_index(spark, sf_dir), _TEXT, blocked=_BLOCKED), "score")
+
+
+@query(f"WITH {_INDEX}, {_best_sql(_TEXT, 5.0, 2.0)} SELECT doc_id, score FROM (SELECT doc_id, round(score, 6) AS score FROM best) ORDER BY score DESC, doc_id LIMIT 10")
+def search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _rounded(search.simple_search(_index(spark, sf_dir), _TEXT), "score")
+    return search.top_hits(hits, "doc_id")
+
+
+@query(f"""WITH {_INDEX}, {_best_sql(_TEXT, 5.0, 2.0)}, {_DOMAIN_RANK},
+first AS (SELECT doc_id, score FROM (SELECT doc_id, round(score, 6) AS score FROM best) ORDER BY score DESC, doc_id LIMIT 1000),
+named AS (SELECT doc_id, score, 'n' || substr(source, 4) AS node FROM first JOIN documents USING (doc_id))
+SELECT doc_id, round(score * CASE WHEN rank = 1.0 THEN 0 ELSE rank END, 6) AS score FROM named JOIN r10 USING (node) WHERE rank <> 1.0 ORDER BY 2 DESC, 1 LIMIT 10""")
+def rerank_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best thousand by text, re-ranked by their source's rank in the nations' graph."""
+    hits = _rounded(search.simple_search(_index(spark, sf_dir), _TEXT), "score")
+    nodes = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("n"), F.substring("source", 4, 9)).alias("of"))
+    first = search.top_hits(hits, "doc_id", 1000).join(nodes, "doc_id")
+    out = search.rerank(first, _domain_rank(_nation_edges(spark, sf_dir)), F.col("of"), "doc_id")
+    return _rounded(out.select("doc_id", "score"), "score")
+
+
+@query(f"""WITH {_INDEX}, {_best_sql(_TEXT, 2.0, 1.0)}, dated AS (SELECT doc_id, score, abs(date_diff('microsecond', TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id % 1440 AS INT)), TIMESTAMP '2024-01-01 12:00:00')) / 60e6 AS minutes FROM best)
+SELECT doc_id, score FROM (SELECT doc_id, round(score * exp(ln(0.5) / 240 * greatest(0, minutes - 30)), 6) AS score FROM dated) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""")
+def news_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News search; documents are dated by their number, in minutes of a day."""
+    base = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1440 * 60)
+    dated = _documents(spark, sf_dir).select("doc_id", base.alias("pub_date"))
+    hits = search.best_fields(_index(spark, sf_dir), search.terms_of(_TEXT), search.NEWS_BOOSTS).join(dated, "doc_id")
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    return search.top_hits(hits.select("doc_id", F.round(F.col("score") * search.decay(F.col("pub_date"), now), 6).alias("score")), "doc_id")
+
+
+# ---- crawl and news on tables ----------------------------------------------------------------
+
+_HALF_DAY = 12 * 3600 * 1000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS host, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT host, event_id, k, ts, ts AS last, true AS accepted, 0::BIGINT AS wait_ms FROM e WHERE k = 1
+UNION ALL SELECT e.host, e.event_id, e.k, e.ts, CASE WHEN e.ts - f.last > INTERVAL 12 HOURS THEN e.ts ELSE f.last END, e.ts - f.last > INTERVAL 12 HOURS,
+ CASE WHEN e.ts - f.last > INTERVAL 12 HOURS THEN 0 ELSE {_HALF_DAY} - CAST(floor(date_diff('microsecond', f.last, e.ts) / 1000) AS BIGINT) END
+ FROM f JOIN e ON e.host = f.host AND e.k = f.k + 1)
+SELECT event_id, host, accepted, wait_ms FROM f""")
+def politeness_accepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve hours between a user's accepted events."""
+    out = crawl.politeness(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", _HALF_DAY)
+    return out.select(F.col("id").alias("event_id"), "host", "accepted", "wait_ms")
+
+
+@query("SELECT md5(CAST(user_id AS VARCHAR)) AS url_hash, min(event_id) AS first FROM events GROUP BY 1")
+def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.first_seen(table(spark, sf_dir, "events").withColumn("user_id", F.col("user_id").cast("string")), "user_id", "event_id")
+
+
+@query("SELECT md5(CAST(user_id AS VARCHAR)) AS url_hash, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS period, min(event_id) AS first FROM events GROUP BY 1, 2")
+def url_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.dedup_ttl(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def existence_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return tables.exists(table(spark, sf_dir, "part").select("p_partkey"), marks, "p_partkey", there=False)
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def existence_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return tables.exists(table(spark, sf_dir, "part").select("p_partkey"), marks, "p_partkey")
+
+
+@query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS total FROM orders),
+b AS (SELECT *, pos // 100000 AS batch, pos % 100000 AS j, least(100000, total - pos // 100000 * 100000) AS here FROM p)
+SELECT o_orderkey, pos, CAST(batch * 100000 + j % 1000 * (here // 1000) + least(j % 1000, here % 1000) + j // 1000 AS BIGINT) AS emit FROM b""")
+def stride_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = crawl.stride_shuffle(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return out.select("o_orderkey", F.col("pos").cast("long").alias("pos"), "emit")
+
+
+@query("SELECT page_id, md5(url) AS row_key FROM pages WHERE md5(url) >= '4' AND md5(url) < 'c8'")
+def key_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by a range of their hashed key."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.md5("url").alias("row_key"))
+    return tables.key_range(rows, F.col("row_key"), "4", "c8")
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
+def time_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.time_range(table(spark, sf_dir, "events"), F.col("ts"), "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+    return rows.select("event_id", "event_type")
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE md5(s_name) = md5((SELECT min(s_name) FROM supplier))")
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").withColumn("row_key", F.md5("s_name"))
+    name = suppliers.agg(F.min("s_name")).first()[0]
+    return tables.point_get(suppliers, "row_key", name).select("s_suppkey", "s_acctbal")
+
+
+@query("""WITH last AS (SELECT c_mktsegment AS row_key, c_nationkey AS qualifier, arg_max(c_acctbal, c_custkey) AS value FROM customer GROUP BY 1, 2) SELECT * FROM last""")
+def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by (row, qualifier): of several writes the last stays."""
+    cells = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("row_key"), F.col("c_nationkey").alias("qualifier"), F.col("c_acctbal").alias("value"), "c_custkey")
+    return sinks.last_wins(cells, ["row_key", "qualifier"], "c_custkey").drop("c_custkey")
+
+
+_NOW = "2024-01-25 00:00:00"
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY score DESC, word) - 1 AS INT) AS rank, word, score FROM (
+SELECT lower(event_type) AS word, round(sum(value), 6) AS score FROM events WHERE ts >= TIMESTAMP '{_NOW}' - INTERVAL 18 HOURS AND ts < TIMESTAMP '{_NOW}' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""")
+def trend_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _rounded(news.trend_top(events, F.lit(_NOW).cast("timestamp"), word="event_type", score="value", ts="ts"), "score")
+
+
+_WINDOWS = """WITH w AS (SELECT to_timestamp(0)::TIMESTAMP + to_seconds(7200 * k) AS window_start, lower(event_type) AS word, value
+FROM events, unnest(range(CAST(floor(epoch(ts) / 7200) AS BIGINT) - 8, CAST(floor(epoch(ts) / 7200) AS BIGINT) + 1)) AS u(k)),
+s AS (SELECT window_start, word, round(sum(value), 6) AS score FROM w GROUP BY 1, 2)"""
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _rounded(news.trend_windows(events, word="event_type", score="value", ts="ts"), "score")
+
+
+@query(f"{_WINDOWS} SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, word, score FROM s")
+def trend_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""{_WINDOWS} SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, rank, word, score FROM (
+SELECT *, CAST(row_number() OVER (PARTITION BY window_start ORDER BY score DESC, word) - 1 AS INT) AS rank FROM s) WHERE rank < 3""")
+def trend_top_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = sinks.ranked(_windows(spark, sf_dir), ["window_start"], [F.desc("score"), F.asc("word")], 3)
+    return top.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "rank", "word", "score")
+
+
+@query()
+def english_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language gate: whether a document's first thousand characters are English."""
+    return _documents(spark, sf_dir).select("doc_id", is_english(F.col("text")).alias("is_english"))
+
+
+@query()
+def english_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems by document, without stop words, counted."""
+    terms = _documents(spark, sf_dir).select("doc_id", F.explode(words.stems(words.simple_terms(F.col("text")))).alias("term"))
+    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
