@@ -37,10 +37,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tagged(docs: DataFrame, tag: str) -> DataFrame:
-    """(_row, _doc, doc_id, text), written: rows by number, with all their columns in one, whatever their names."""
+def tagged(docs: DataFrame, tag: str, stable: bool) -> DataFrame:
+    """(_row, _doc, doc_id, text): rows by number, with all their columns in one, whatever their names.
+
+    ``stable``: docs gives the same rows in the same order whenever it is computed, as the scan of a table does; any
+    other is written first.
+    """
     one = F.struct(*docs.columns).alias("_doc")
-    return written(docs.select(F.monotonically_increasing_id().alias("_row"), one, F.col("doc_id").cast("long").alias("doc_id"), "text"), tag)
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), one, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows if stable else written(rows, tag)
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:
@@ -67,6 +72,16 @@ def write_shared(path: str, data: bytes) -> None:
     store.move(part, p)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: a worker that goes on to the next stage stays small."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 # ---- vectorised text -----------------------------------------------------------------------
 
 M64 = (1 << 64) - 1
