@@ -17,6 +17,9 @@ from weftline.functions.lang import is_english
 from weftline.operators import crawl, graph, keywords, news, search
 from weftline.sources import sinks, tables
 from weftline.sources.tables import table
+from weftline.streaming import crawl as crawl_stream
+from weftline.streaming import news as news_stream
+from weftline.streaming.io import drained
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -533,3 +536,39 @@ def english_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems by document, without stop words, counted."""
     terms = _documents(spark, sf_dir).select("doc_id", F.explode(words.stems(words.simple_terms(F.col("text")))).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+# ---- streams, run to their end over the same tables --------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a stream reads folders and patterns; the table may be a single file
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS host, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT host, event_id, k, ts AS last, true AS accepted FROM e WHERE k = 1
+UNION ALL SELECT e.host, e.event_id, e.k, CASE WHEN e.ts - f.last > INTERVAL 12 HOURS THEN e.ts ELSE f.last END, e.ts - f.last > INTERVAL 12 HOURS
+ FROM f JOIN e ON e.host = f.host AND e.k = f.k + 1)
+SELECT host, count(*) AS n, count(*) FILTER (accepted) AS n_accepted FROM f GROUP BY 1""")
+def politeness_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate as a stream, with its state per host; counts by host."""
+    links = _event_stream(spark, sf_dir).select(F.concat(F.lit("http://"), F.col("user_id"), F.lit("/"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("link"), "ts")
+    out = drained(crawl_stream.gate(links, _HALF_DAY), "gate")
+    return out.groupBy("host").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
+
+
+@query("SELECT DISTINCT md5('http://' || user_id) AS url_hash FROM events")
+def url_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs seen for the first time, by the stream's state over the whole table's span."""
+    links = _event_stream(spark, sf_dir).select(F.concat(F.lit("http://"), F.col("user_id")).alias("link"), "ts")
+    return drained(crawl_stream.dedup_recent(links, 60 * 24 * 400), "dedup").select("url_hash")
+
+
+@query(ORACLES["trend_sliding"])
+def trend_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding sums of trends by the stream."""
+    scores = _event_stream(spark, sf_dir).select(F.col("event_type").alias("word"), F.col("value").alias("score"), F.col("ts").alias("ingest_ts"))
+    out = drained(news_stream.trends(scores), "trends", "complete")
+    return _rounded(out, "score").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
