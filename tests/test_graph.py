@@ -113,3 +113,12 @@ def test_interesting_keywords(spark):
 
     idf = lambda df: 1 + math.log(5 / (df + 1))
     assert got == [(1, 0, "a", 1.0), (1, 1, "b", pytest.approx(idf(1) / (2 * idf(2)))), (2, 0, "c", 1.0), (2, 1, "a", pytest.approx(idf(2) / idf(1)))]
+
+
+def test_adjacency(spark):
+    nodes = spark.createDataFrame([("a", 2.0, ["b", "b", "a", "c#x"]), ("b#", 1.0, ["a"]), ("b", 1.5, [])], "node string, rank double, sinks array<string>")
+    clean = graph.clean_adjacency(nodes)
+    assert {tuple(map(repr, r)) for r in clean.collect()} == {("'a'", "2.0", "['b']"), ("'b'", "1.5", "[]")}
+    assert sorted(map(tuple, graph.from_adjacency(nodes).collect())) == [("a", "a"), ("a", "b"), ("a", "b"), ("a", "c#x"), ("b#", "a")]
+    back = graph.to_adjacency(graph.from_adjacency(clean), clean.select("node", "rank"))
+    assert [tuple(r) for r in back.collect()] == [("a", 2.0, ["b"])]

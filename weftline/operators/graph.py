@@ -79,6 +79,24 @@ def clean_edges(edges: DataFrame, slice_: tuple[str, str] | None = None) -> Data
     return out.select("src", "dst").distinct()
 
 
+def from_adjacency(nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst) of (node, sinks), as often as they stand."""
+    return nodes.select(F.col("node").alias("src"), F.explode("sinks").alias("dst"))
+
+
+def to_adjacency(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(node, rank, sinks) of edges and (node, rank); the view for exchange, the operators stay with edges."""
+    sinks = edges.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("sinks"))
+    return ranks.join(sinks, "node").select("node", "rank", "sinks")
+
+
+def clean_adjacency(nodes: DataFrame) -> DataFrame:
+    """(node, rank, sinks) without nodes whose name has a fragment; of the others the sinks without fragments, repeats
+    and the node itself. Ranks stay."""
+    kept = F.array_distinct(F.filter("sinks", lambda s: ~F.contains(s, F.lit("#")) & (s != F.col("node"))))
+    return nodes.where(~F.contains(F.col("node"), F.lit("#"))).select("node", "rank", kept.alias("sinks"))
+
+
 def with_self_loops(edges: DataFrame) -> DataFrame:
     """Edges (src, dst), made distinct, and a loop at every source."""
     return edges.select("src", "dst").unionByName(edges.select("src", F.col("src").alias("dst"))).distinct()
