@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.html import anchors_of
 from weftline.functions.urls import abs_link, domain, is_valid_link, normalize_url, resolve_url, strip_www
-from weftline.session import written
+from weftline.session import bucketed
 from weftline.sources.sinks import ranked
 
 # Anchors that say nothing of their target.
@@ -117,8 +117,9 @@ def pagerank_step(shares: DataFrame, ranks: DataFrame, damping: float = 0.85) ->
 def pagerank(edges: DataFrame, n: int = 30, self_loops: bool = False, restrict: bool = False, cut_every: int = 5) -> DataFrame:
     """(node, rank) after n steps from rank 1 at every source; repeated edges count as often as they stand.
 
-    Edges lie on disk dealt by source, so that a step shuffles only ranks and their parts; every few steps the ranks
-    are written to the shared folder, which keeps the plan short.
+    Edges lie on disk in buckets by source, and a step's sums come out dealt by node into as many partitions, so that a
+    step's only shuffle is that of the parts, added up before it. Every few steps the ranks are written likewise, which
+    keeps the plan short. Targets that are no sources go no further by themselves, and are dropped at the end.
     """
     if self_loops:
         edges = with_self_loops(edges)
@@ -126,14 +127,14 @@ def pagerank(edges: DataFrame, n: int = 30, self_loops: bool = False, restrict:
         edges = only_sources(edges)
     edges = edges.select("src", "dst")
     deg = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    shares = written(edges.join(deg, "src"), "rank-edges")
-    sources = written(deg.select(F.col("src").alias("node")), "rank-nodes")
+    shares = bucketed(edges.join(deg, "src"), "src", "rank-edges")
+    sources = bucketed(shares.select(F.col("src").alias("node")).distinct(), "node", "rank-nodes")
     ranks = sources.withColumn("rank", F.lit(1.0))
     for i in range(n):
-        ranks = pagerank_step(shares, ranks).join(sources, "node", "left_semi")
+        ranks = pagerank_step(shares, ranks)
         if (i + 1) % cut_every == 0 and i + 1 < n:
-            ranks = written(ranks, "ranks")
-    return ranks
+            ranks = bucketed(ranks, "node", "ranks")
+    return ranks.join(sources, "node", "left_semi")
 
 
 def page_pagerank(links: DataFrame, n: int = 30, slice_: tuple[str, str] | None = None) -> DataFrame:
