@@ -25,6 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_own_bounds: set[str] = set()
+
+
+def bounded(spark: SparkSession, batch_bytes: int = 16 << 20) -> None:
+    """Makes Arrow batches go by bytes: ten thousand rows of text, the default, have no bound. A smaller bound that the
+    session brings stays."""
+    have = spark.conf.get(_BATCH_KEY, None) or "0"
+    if have in _own_bounds or not 0 < int(have.rstrip("b")) <= batch_bytes:
+        _own_bounds.add(str(batch_bytes))
+        spark.conf.set(_BATCH_KEY, str(batch_bytes))
+
+
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A new subfolder of the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -64,11 +77,15 @@ def open_shared(path: str):
 
 def write_shared(path: str, data: bytes) -> None:
     """Write under a new name, then rename: a retried task replaces the file by the same bytes."""
+    from pyarrow import fs
+
     store, p = open_shared(path)
     store.create_dir(p.rpartition("/")[0], recursive=True)
     part = f"{p.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part, compression=None) as out:
         out.write(data)
+    if store.get_file_info(p).type != fs.FileType.NotFound:  # an earlier attempt's; some stores do not rename onto a file
+        store.delete_file(p)
     store.move(part, p)
 
 

@@ -23,10 +23,16 @@ from pyspark.sql import functions as F
 from weftline.llm.common import table, tagged, written
 
 WORDS = 10
+#: Benchmark tables of at most so many rows (of some 100 bytes) are broadcast; larger ones are joined by shuffles, whose hot terms Spark splits.
+SMALL_ROWS = 1 << 18
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 def words(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     # lower() is right, and faster, where all characters are ASCII
@@ -42,10 +48,9 @@ def item_terms(items: DataFrame, size: int = WORDS) -> DataFrame:
     return wins.select("item", F.sha2(F.array_join("t", " "), 256).alias("win"), F.size("t").alias("need"), F.posexplode("t").alias("off", "term"))
 
 
-def _term_set(terms: DataFrame) -> tuple[bytes, int]:
+def _term_set(terms: DataFrame, n: int) -> tuple[bytes, int]:
     """A byte per slot, 1 if some term hashes there. Collects slots only, 2^20 at most."""
-    n = terms.count()
-    size = 1 << min(20, max(12, (16 * n).bit_length()))
+    size = 1 << min(20, max(12, (8 * n).bit_length()))
     slots = terms.select(F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("s")).distinct()
     out = bytearray(size)
     for r in slots.toLocalIterator():
@@ -55,7 +60,8 @@ def _term_set(terms: DataFrame) -> tuple[bytes, int]:
 
 def index(docs: DataFrame, terms: DataFrame, shortest: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, postings): keep and n_words of every document; (keep[0], pos, term) of the places that can lie in a window."""
-    held, size = _term_set(terms)
+    n_terms = terms.count()
+    held, size = _term_set(terms, n_terms)
     slot = lambda x: F.pmod(F.xxhash64(x), F.lit(size)).cast("int") + 1
     here = lambda x: F.substring(F.lit(bytearray(held)), slot(x), F.lit(1)) == F.lit(bytearray(b"\x01"))
     w = docs.select(*keep, words(F.col("text")).alias("w"))
@@ -72,24 +78,26 @@ def index(docs: DataFrame, terms: DataFrame, shortest: int, keep: list[str]) ->
     able = F.contains("f", ones) if shortest else F.lit(False)
     rows = written(w.select(*keep, F.size("w").cast("long").alias("n_words"), F.when(able, runs).alias("runs")), "decon-rows")
     found = rows.select(keep[0], F.inline("runs"))
-    return rows.drop("runs"), written(found.join(terms, "term", "left_semi"), "decon-postings")
+    return rows.drop("runs"), written(found.join(_sent(terms, n_terms), "term", "left_semi"), "decon-postings")
 
 
 def phrase_matches(postings: DataFrame, wins: DataFrame, key: str) -> DataFrame:
     """(key, win, start, need) of every occurrence of every window."""
+    n = wins.count()
     counts = postings.groupBy("term").agg(F.count("*").alias("cf"))
     # a window with a term that has no postings occurs nowhere
     asked = wins.join(counts, "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
     by_rarity = Window.partitionBy("win").orderBy("cf", "off")
     asked = asked.withColumn("order", F.row_number().over(by_rarity)).withColumn("least", F.min("cf").over(Window.partitionBy("win")))
     asked = asked.where("least > 0").drop("least")
-    nth = lambda n: asked.where(F.col("order") == n).select("win", "need", "off", "term")
+    asked = written(asked, "decon-asked")
+    nth = lambda k: _sent(asked.where(F.col("order") == k).select("win", "need", "off", "term"), n)
     starts = postings.join(nth(1), "term").select(key, "win", "need", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    second = nth(2).select("win", F.col("off").alias("off2"), F.col("term").alias("term"))
+    second = _sent(asked.where("order = 2").select("win", F.col("off").alias("off2"), "term"), n)
     alone = starts.where("need = 1")
     wanted = starts.where("need > 1").join(second, "win").withColumn("pos", F.col("start") + F.col("off2"))
     met = wanted.join(postings, [key, "pos", "term"], "left_semi").select(key, "win", "need", "start")
-    rest = asked.where("order > 2").groupBy("win").agg(F.collect_list(F.struct("off", "term")).alias("rest"))
+    rest = _sent(asked.where("order > 2").groupBy("win").agg(F.collect_list(F.struct("off", "term")).alias("rest")), n)
     each = met.where("need > 2").join(rest, "win").select(key, "win", "need", "start", F.explode("rest").alias("r"))
     each = each.select(key, "win", "need", "start", (F.col("start") + F.col("r.off")).alias("pos"), F.col("r.term").alias("term"))
     full = each.join(postings, [key, "pos", "term"], "left_semi").groupBy(key, "win", "need", "start").agg(F.count("*").alias("n")).where("n = need - 2").drop("n")
@@ -125,7 +133,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
     ends = found.select(key, "start", (F.col("start") + F.col("need")).alias("end")).withColumn("till", F.max("end").over(before))
     new = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce("till", "start")), F.lit(0))
     hits = ends.groupBy(key).agg(F.sum(new).cast("long").alias("n_hit"))
-    of = found.select(key, "win").distinct().join(asked.select("win", "item").distinct(), "win").select(key, "item").distinct()
+    pairs = asked.select("win", "item").distinct()
+    of = found.select(key, "win").distinct().join(_sent(pairs, pairs.count()), "win").select(key, "item").distinct()
     lists = of.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("_items"))
     return rows.join(hits, key, "left").join(lists, key, "left").select(
         *keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -139,9 +148,9 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("item_list").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, stable: bool = False) -> DataFrame:
     """The documents in which no window of an item occurs."""
-    rows = tagged(docs, "decon-docs")
+    rows = tagged(docs, "decon-docs", stable)
     bad = contamination(rows, items, ["_row"]).where("n_hit > 0").select("_row")
     return rows.join(bad, "_row", "left_anti").select("_doc.*")
 

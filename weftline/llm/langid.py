@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, crc_mod, pieces, table, utf8
+from weftline.llm.common import LOWER, bounded, crc_mod, pieces, table, trim, utf8
 
 TRAIN_DOCS = 4000
 BUCKET_BITS = 16
@@ -38,7 +38,7 @@ ALPHA = 0.001
 MARGIN = 2.0
 MOST = 0.4
 SEED = 7
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 UND = "und"
 
 
@@ -122,7 +122,7 @@ def fit(rows: list[tuple[str, int, bytes, bytes]]) -> Model:
     for lang, part, idx, cnt in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3])):  # the order of collection does not show
         w = np.frombuffer(cnt, np.float32)
         if len(w):
-            data.append((langs.index(lang), part, np.frombuffer(idx, np.uint32).astype(np.int64), w / w.sum()))
+            data.append((langs.index(lang), part, np.frombuffer(idx, np.uint32), w, np.float32(1 / w.sum())))
     rng = np.random.default_rng(SEED)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -130,7 +130,8 @@ def fit(rows: list[tuple[str, int, bytes, bytes]]) -> Model:
     steps, done = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
         for j in rng.permutation(len(train)):
-            y, _, idx, w = train[j]
+            y, _, idx, w, scale = train[j]
+            w = w * scale
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
             rows_ = emb[idx]
@@ -144,7 +145,7 @@ def fit(rows: list[tuple[str, int, bytes, bytes]]) -> Model:
             rows_ -= (rate * len(idx) * w)[:, None].clip(max=1.0) * back
             emb[idx] = rows_
     kept = [d for d in data if d[1] == 1] or train
-    z = np.array([w @ emb[idx] @ out + bias for _, _, idx, w in kept], dtype=np.float64)
+    z = np.array([scale * (w @ emb[idx]) @ out + bias for _, _, idx, w, scale in kept], dtype=np.float64)
     y = np.array([d[0] for d in kept])
     grid = np.geomspace(0.05, 20, 60)
     target = np.full(z.shape, 1 / (len(y) + 2) / len(langs))
@@ -171,27 +172,29 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     drawn = rows.withColumn("_row", F.monotonically_increasing_id()).where(draw < F.element_at(rates, F.col("lang")))
     part = F.when(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(3)) == 0, 1).otherwise(0)
     got = features(drawn.select("lang", part.alias("part"), "text"))
-    return fit([tuple(r) for r in got.toLocalIterator()])
+    model = fit([tuple(r) for r in got.toLocalIterator()])
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """keep, lang_pred, score, accepted of every row of docs (text)."""
+    bounded(docs.sparkSession, 4 << 20)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages scores
-    names = [f.name for f in docs.select(*keep).schema]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only the texts go to Python; the rows wait in the JVM
+    @F.arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
+    def predict(texts: pa.Array) -> pa.Array:
         m: Model = shared.value
-        langs = pa.array([*m.langs, UND])
-        for batch in batches:
-            raw, off = utf8(batch.column("_text"))
-            for a, b in pieces(off, CHUNK):
-                best, score = m.predict(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                pred = langs.take(pa.array(np.where(best < 0, len(m.langs), best)))
-                fine = (best >= 0) & (score >= m.threshold)
-                yield pa.record_batch([*(batch.column(c)[a:b] for c in names), pred, pa.array(score), pa.array(fine)], names=[*names, "lang_pred", "score", "accepted"])
-
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("accepted")).schema
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+        raw, off = utf8(texts)
+        got = [m.predict(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pieces(off, CHUNK)]
+        trim()
+        best, score = (np.concatenate(x) if x else np.zeros(0) for x in ([g[0] for g in got], [g[1] for g in got]))
+        best = best.astype(np.int64)
+        pred = pa.array([*m.langs, UND]).take(pa.array(np.where(best < 0, len(m.langs), best)))
+        return pa.StructArray.from_arrays([pred, pa.array(score), pa.array((best >= 0) & (score >= m.threshold))], names=["lang_pred", "score", "accepted"])
+
+    return docs.select(*keep, predict(F.col("text")).alias("_p")).select(*keep, "_p.lang_pred", "_p.score", "_p.accepted")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

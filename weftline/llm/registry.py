@@ -21,6 +21,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_credential_linking": secrets.ORACLE,
+    "op6_set_relation_join": setjoin.ORACLE,
     "op7_warc_round_trip": warc.ORACLE,
     "op8_positional_index": decontaminate.ORACLE,
 }

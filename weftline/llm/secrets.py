@@ -155,9 +155,9 @@ def op3_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", stable: bool = False) -> DataFrame:
     """The documents with every reported span replaced by ``mark`` (overlapping or touching spans by one)."""
-    rows = tagged(docs, "secret-rows")
+    rows = tagged(docs, "secret-rows", stable)
     _, spans = spans_of(rows, "text", ["_row"])
     lists = spans.where("kind >= 0").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))
     # merged[-1] is the open interval; each step extends it or starts the next
