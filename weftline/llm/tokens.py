@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import _P, _PINV, _power, mix, pieces, table, utf8, work_dir, write_shared
+from weftline.llm.common import _P, _PINV, _power, bounded, mix, pieces, table, utf8, work_dir, write_shared
 
 MAGIC = b"WLWAVE1\n"
 BLOCK = 512
@@ -410,6 +410,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, shards: int, sha
             f, d, i = zip(*files, strict=True)
             yield pa.record_batch([pa.array(f), pa.array(d, pa.int64()), pa.array(i, pa.int64())], names=["file", "docs", "ids"])
 
+    bounded(docs.sparkSession, 8 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, "file string, docs bigint, ids bigint")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, work_dir, write_shared
+from weftline.llm.common import bounded, table, work_dir, write_shared
 
 FILE_BYTES = 32 << 20
 LEVEL = 4
@@ -145,6 +145,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
             f, n, b = zip(*files, strict=True)
             yield pa.record_batch([pa.array(f), pa.array(n, pa.int64()), pa.array(b, pa.int64())], names=["file", "records", "bytes"])
 
+    bounded(pages.sparkSession, 8 << 20)
     cols = pages.select("page_id", "url", "html", "revisits", "refers_to")
     return cols.mapInArrow(run, "file string, records bigint, bytes bigint")
 
