@@ -72,7 +72,6 @@ def test_model_is_normalised_and_scores_agree(spark, monkeypatch):
 
 
 def test_em_finds_known_weights():
-    rng = np.random.default_rng(0)
     k = lm.GRID + 1
     # half of the events come from a component ten times as likely as the next, half from the last
     codes = np.array([(5 * k + lm._ratio_bins(np.array([x]), 1.0)[0]) * k + lm._ratio_bins(np.array([1e-3]), 1.0)[0] for x in (64.0, 0.0)])
@@ -80,11 +79,22 @@ def test_em_finds_known_weights():
     assert out.shape == (lm.LEVELS, 3) and np.allclose(out.sum(axis=1), 1)
     # the likelihood 500 ln(64 a + b) + 500 ln(b), b = 1 - a, is largest where 63 / (63 a + 1) = 1 / (1 - a)
     assert out[5][0] == pytest.approx(62 / 126, abs=0.01) and out[0][0] == 0
-    del rng
 
 
-def test_batches_of_any_size_agree(spark, monkeypatch):
+def test_batches_of_any_size_agree(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").repartition(3)
     a = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in lm.score_documents(docs).collect()}
     b = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in lm.score_documents(docs.repartition(1)).collect()}
     assert a.keys() == b.keys() and all(a[k] == (b[k][0], pytest.approx(b[k][1])) for k in a)
+
+
+def test_many_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "4096")
+    try:
+        docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+        check(lm.op4_deleted_interpolation(spark, SMALL).collect(), docs)
+        assert spark.conf.get(key) == "4096"  # a session's own bound stays
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_mod, mix, mix_int, pack, pieces, table, unpack, utf8, word_hashes, written
+from weftline.llm.common import bounded, crc_mod, mix, mix_int, pack, pieces, table, trim, unpack, utf8, word_hashes, written
 
 CHUNK = 8 << 20
 FOLDS = 4
@@ -38,6 +38,10 @@ END = mix_int(0x656E64)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Both passes read the same columns, since Arrow batches, from which batches are cut, go by the bytes of a row.
+_ROWS = ("doc_id", "text", "train", "fold", "held_out")
+
+
 # ---- a batch's keys --------------------------------------------------------------------------
 
 
@@ -87,6 +91,7 @@ def _batches(batches: Iterator[pa.RecordBatch]):
         for a, b in pieces(off, CHUNK):
             yield part << 32 | k, Batch(raw[off[a] : off[b]], off[a : b + 1] - off[a]), batch.slice(a, b - a)
             k += 1
+        trim()
 
 
 def _pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -113,7 +118,7 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
                 k = len(some)
                 yield pa.record_batch([pa.array(some, pa.int32()), pa.array([name] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "kind", "blob"])
 
-    return docs.select("train", "text").mapInArrow(run, "bucket int, batch bigint, kind int, blob binary")
+    return docs.select(*_ROWS).mapInArrow(run, "bucket int, batch bigint, kind int, blob binary")
 
 
 def answer(asked: DataFrame) -> DataFrame:
@@ -140,6 +145,7 @@ def answer(asked: DataFrame) -> DataFrame:
             at += len(g[0])
         if kind == 0:
             add(-1, kind, bucket, None, int(total.sum()), int((total > 0).sum()))
+        trim()
         return pd.DataFrame(out)
 
     return asked.groupBy("kind", "bucket").applyInPandas(run, "batch bigint, kind int, bucket int, blob binary, n bigint, v bigint")
@@ -162,7 +168,7 @@ def texts(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([part << 32 | k], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
                 k += 1
 
-    return docs.select("doc_id", "text", "train", "fold", "held_out").mapInArrow(run, "batch bigint, blob binary")
+    return docs.select(*_ROWS).mapInArrow(run, "batch bigint, blob binary")
 
 
 # ---- the model -------------------------------------------------------------------------------
@@ -259,6 +265,7 @@ def _answers(batch: Batch, rows: pd.DataFrame) -> list[np.ndarray]:
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of (doc_id, text) rows."""
     spark = docs.sparkSession
+    bounded(spark)
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), (~held).alias("train"), fold.alias("fold"))
@@ -278,6 +285,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             out["blob"] += [pack(*parts, *small), *[None] * len(codes)]
             out["code"] += [0, *codes.tolist()]
             out["n"] += [0, *times.tolist()]
+        trim()
         return pd.DataFrame(out)
 
     named = texts(docs).withColumnRenamed("batch", "of")
