@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -62,6 +63,39 @@ def test_proximity(spark):
     assert near(0) == [1] and near(1) == [0, 1] and near(2) == [0, 1, 3] and near(3) == [0, 1, 2, 3]
 
 
+def test_proximity_of_whole_windows(spark):
+    """Ten-word windows by the parameters of the query, with foreign words in them."""
+    t = [f"t{i}" for i in range(10)]
+    texts = [" ".join(x) for x in (t, [*t[:5], "x", *t[5:]], [*t[:5], "x", "x", *t[5:]], [*t[:3], t[4], t[3], *t[5:]], t[:9], [*t[:9], "x", t[9]], ["z", *t[:2], "y", *t[2:], "z"], [], t[5:])]
+    docs = spark.createDataFrame([(n, n, x) for n, x in enumerate(texts)], "_row bigint, doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(t))], "item_id bigint, text string")
+    for slop, far in ((decontaminate.SLOP, 0), (2, 1)):
+        got = {r["doc_id"]: (r["n_words"], r["n_near"], r["item_list"]) for r in decontaminate.proximity(docs, items, ["_row", "doc_id"], slop).collect()}
+        want = [1, 1, far, 1, 0, 1, 1, 0, 0]
+        assert got == {n: (len(words(x)), k, "1" * k) for n, (x, k) in enumerate(zip(texts, want, strict=True))}
+
+
+def test_loose_index_has_all_places_of_near_matches(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdexyz") for _ in range(rng.randrange(0, 30))) for _ in range(60)] + ["b a c x d", "b c d e a", "a x b y c d x e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row bigint, text string")
+    wins = [tuple("abcde"), tuple("edcba"), tuple("aabbc")]
+    terms = spark.createDataFrame([(x,) for x in "abcde"], "term string")
+    for slop in (1, 2):
+        _, postings = decontaminate.index(docs, terms, 5, ["_row"], slop)
+        rows = [tuple(r) for r in postings.select("_row", "pos", "term").collect()]
+        assert len(set(rows)) == len(rows) and all(texts[i].split()[p] == x for i, p, x in rows)
+        want = set()
+        for n, w in enumerate(map(str.split, texts)):
+            for g in wins:
+                for start in range(-slop, len(w)):
+                    at = [[p for p in range(max(0, start + o - slop), min(len(w), start + o + slop + 1)) if w[p] == x] for o, x in enumerate(g)]
+                    if all(at):
+                        want |= {(n, p, w[p]) for ps in at for p in ps}
+        assert want and want <= set(rows)
+        assert slop > 1 or len(rows) < sum(x in "abcde" for t in texts for x in t)
+
+
 def test_drop_contaminated(spark):
     docs = spark.createDataFrame([(1, "x a b c y", 0), (2, "a c b", 0), (None, None, 0), (4, "A. b; C", 0)], "doc_id bigint, text string, n_hit int")
     kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "a b c")], "item_id bigint, text string"))

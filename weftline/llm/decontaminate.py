@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import table, tagged, written
 
 WORDS = 10
+SLOP = 1
 #: Benchmark tables of at most so many rows (of some 100 bytes) are broadcast; larger ones are joined by shuffles, whose hot terms Spark splits.
 SMALL_ROWS = 1 << 18
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -58,8 +59,9 @@ def _term_set(terms: DataFrame, n: int) -> tuple[bytes, int]:
     return bytes(out), size
 
 
-def index(docs: DataFrame, terms: DataFrame, shortest: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, postings): keep and n_words of every document; (keep[0], pos, term) of the places that can lie in a window."""
+def index(docs: DataFrame, terms: DataFrame, shortest: int, keep: list[str], slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows, postings): keep and n_words of every document; (keep[0], pos, term) of the places that can lie in a window,
+    or, with ``slop``, in a window whose every word may stand so many places off."""
     n_terms = terms.count()
     held, size = _term_set(terms, n_terms)
     slot = lambda x: F.pmod(F.xxhash64(x), F.lit(size)).cast("int") + 1
@@ -76,11 +78,33 @@ def index(docs: DataFrame, terms: DataFrame, shortest: int, keep: list[str]) ->
     whole = lambda p: F.transform(F.slice("w", p + 1, max(shortest, 1)), lambda x, j: at(x, p + j))
     runs = F.flatten(F.transform(starts, lambda p: F.when(good(p + 1), F.array(at(F.get("w", p), p))).otherwise(whole(p))))
     able = F.contains("f", ones) if shortest else F.lit(False)
+    if slop and shortest:
+        w, runs = _loose(w, keep, shortest, slop)
+        able = F.lit(True)
     rows = written(w.select(*keep, F.size("w").cast("long").alias("n_words"), F.when(able, runs).alias("runs")), "decon-rows")
     found = rows.select(keep[0], F.inline("runs"))
     return rows.drop("runs"), written(found.join(_sent(terms, n_terms), "term", "left_semi"), "decon-postings")
 
 
+def _loose(w: DataFrame, keep: list[str], shortest: int, slop: int) -> tuple[DataFrame, Column]:
+    """(w, the places indexed): the terms within ``slop`` of a run of ``shortest`` places each of which has a term within
+    ``slop``. A near match's window is such a run, which can begin before the text and end behind it, so none is lost."""
+    none = lambda k: F.lit(bytearray(b"0" * k))
+    each = lambda n, f: F.array_join(F.transform(F.sequence(F.lit(1), F.size("w") + n), f), "").cast("binary")
+    bit = lambda c: F.when(c, "1").otherwise("0")
+    kept = lambda df, name, c: df.select(*keep, F.explode(F.array(F.struct("w", "f", c.alias(name)))).alias("x")).select(*keep, "x.*")
+    some = F.concat(none(2 * slop), "f", none(2 * slop))
+    # character i of g is the place i - slop
+    w = kept(w, "p", some)
+    w = kept(w, "g", each(2 * slop, lambda i: bit(F.substring("p", i, F.lit(2 * slop + 1)) != none(2 * slop + 1))))
+    starts = each(2 * slop, lambda i: bit(F.substring("g", i, F.lit(shortest)) == F.lit(bytearray(b"1" * shortest))))
+    w = kept(w, "s", F.concat(none(shortest - 1), starts))
+    span = shortest + 2 * slop
+    inside = lambda i: (F.substring("f", i, F.lit(1)) == F.lit(bytearray(b"1"))) & F.contains(F.substring("s", i, F.lit(span)), F.lit(bytearray(b"1")))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), inside)
+    return w, F.transform(at, lambda i: F.struct((i - 1).cast("long").alias("pos"), F.get("w", i - 1).alias("term")))
+
+
 def phrase_matches(postings: DataFrame, wins: DataFrame, key: str) -> DataFrame:
     """(key, win, start, need) of every occurrence of every window."""
     n = wins.count()
@@ -142,6 +166,31 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
     )
 
 
+def proximity(docs: DataFrame, items: DataFrame, keep: list[str], slop: int = SLOP, size: int = WORDS) -> DataFrame:
+    """keep, n_words, n_near (places of near matches, each once), n_items and item_list of every document, by
+    proximity_matches; ``keep[0]`` tells rows apart."""
+    key = keep[0]
+    asked = written(item_terms(items, size), "decon-items")
+    shortest = asked.agg(F.min("need")).first()[0] or 0
+    rows, postings = index(docs, asked.select("term").distinct(), shortest, keep, slop)
+    found = written(proximity_matches(postings, asked.drop("item").distinct(), key, slop), "decon-near")
+    near = found.groupBy(key).agg(F.count_distinct("pos").alias("n_near"))
+    pairs = asked.select("win", "item").distinct()
+    of = found.select(key, "win").distinct().join(_sent(pairs, pairs.count()), "win").select(key, "item").distinct()
+    lists = of.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("_items"))
+    return rows.join(near, key, "left").join(lists, key, "left").select(
+        *keep, "n_words", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("_items", ","), F.lit("")).alias("item_list"),
+    )
+
+
+def op8_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op8_positional_index, whose columns its SQL fixes: near matches within SLOP."""
+    docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    out = proximity(docs, table(spark, sf_dir, "benchmark"), ["_row", "doc_id"])
+    return out.select("doc_id", "n_words", "n_near", "n_items", F.sha2(F.col("item_list").cast("binary"), 256).alias("items_sha256"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     out = contamination(docs, table(spark, sf_dir, "benchmark"), ["_row", "doc_id"])
