@@ -81,6 +81,19 @@ def test_em_finds_known_weights():
     assert out[5][0] == pytest.approx(62 / 126, abs=0.01) and out[0][0] == 0
 
 
+def test_small_ratios_keep_their_size():
+    """A word once among N >> V: its unigram probability is far below the uniform one."""
+    x = np.exp2(np.arange(-39.0, 39.0))
+    assert np.allclose(lm._bin_ratio(lm._ratio_bins(x, 1.0)), x)
+    assert lm._bin_ratio(lm._ratio_bins(np.array([0.0]), 1.0))[0] == 0
+    # 900 events four times and 100 a thousandth as likely under l1 as under l0
+    codes = lm._ratio_bins(np.array([4.0, 2.0**-10]), 1.0)
+    l1 = lm.fit(codes, np.array([900.0, 100.0]))[0][1]
+    grid = np.linspace(0.001, 0.999, 999)
+    best = grid[np.argmax(900 * np.log(1 + 3 * grid) + 100 * np.log(1 - grid * (1 - 2.0**-10)))]
+    assert l1 == pytest.approx(best, abs=0.005)
+
+
 def test_batches_of_any_size_agree(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").repartition(3)
     a = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in lm.score_documents(docs).collect()}

@@ -31,7 +31,7 @@ from weftline.llm.common import bounded, crc_mod, mix, mix_int, pack, pieces, ta
 CHUNK = 8 << 20
 FOLDS = 4
 LEVELS = 40  # buckets of context frequency
-GRID, FINE = 160, 4  # bins of the ratios, per doubling
+GRID, FINE, BELOW = 320, 4, 40  # bins of the ratios, per doubling; doublings below 1
 ITERATIONS = 40
 FLOOR = 1e-6
 END = mix_int(0x656E64)
@@ -183,11 +183,11 @@ def _ratio_bins(p: np.ndarray, p0: float) -> np.ndarray:
     """0 for none, else 1 + a bin of log2(p / p0)."""
     with np.errstate(divide="ignore"):
         x = np.log2(p / p0)
-    return np.where(p > 0, 1 + np.clip(np.round(FINE * np.nan_to_num(x, neginf=0)) + FINE * 4, 0, GRID - 1), 0).astype(np.int64)
+    return np.where(p > 0, 1 + np.clip(np.round(FINE * np.nan_to_num(x, neginf=0)) + FINE * BELOW, 0, GRID - 1), 0).astype(np.int64)
 
 
 def _bin_ratio(k: np.ndarray) -> np.ndarray:
-    return np.where(k > 0, np.exp2((k - 1 - FINE * 4) / FINE), 0.0)
+    return np.where(k > 0, np.exp2((k - 1 - FINE * BELOW) / FINE), 0.0)
 
 
 def histogram(batch: Batch, train: np.ndarray, fold: np.ndarray, counts: list[np.ndarray], n: int, v: int) -> np.ndarray:
