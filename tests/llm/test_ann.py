@@ -48,6 +48,13 @@ def test_blocks_ties_and_copies(spark, monkeypatch):
         assert got[q] == best.tolist()
 
 
+def test_more_dimensions_than_are_broadcast(spark, sf, monkeypatch):
+    want = [tuple(r) for r in ann.op1_one_bit_codes(spark, sf[0]).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(ann, "DIMS", 1)
+    got = [tuple(r) for r in ann.op1_one_bit_codes(spark, sf[0]).orderBy("query_id", "rank").collect()]
+    assert got == want and len({q for q, *_ in got}) == 3  # of two and of three dimensions
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal((50, 64))

@@ -28,6 +28,7 @@ from weftline.llm.common import table, written
 
 EPSILON = 3.0
 QUERY_ROWS, INDEX_ROWS = 4096, 8192
+DIMS = 1 << 16
 SEED = 20240501
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
@@ -99,6 +100,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine).distinct().withColumn("dim", F.size("v"))
 
 
+def _sent(sizes: DataFrame) -> DataFrame:
+    """Broadcast while there are few dimensions; a row for each."""
+    return F.broadcast(sizes) if sizes.limit(DIMS + 1).count() <= DIMS else sizes
+
+
 def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of every row for which ``is_query`` holds."""
     rows = usable(vectors)
@@ -110,7 +116,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     asked = written(rows.where(is_query(F.col("vec_id"))).join(classes.select("v", "cls"), "v").select("vec_id", "cls"), "ann-queries")
     sizes = classes.groupBy("dim").agg(F.count("*").alias("n")).join(asked.join(classes, "cls").groupBy("dim").agg(F.count_distinct("cls").alias("nq")), "dim")
     sizes = sizes.select("dim", F.ceil(F.col("n") / INDEX_ROWS).alias("bx"), F.ceil(F.col("nq") / QUERY_ROWS).alias("bq"))
-    base = classes.select("cls", "v", "dim").join(F.broadcast(sizes.limit(1 << 16)), "dim")  # as many rows as dimensions
+    base = classes.select("cls", "v", "dim").join(_sent(sizes), "dim")
     x = base.withColumn("xb", F.pmod(digest, "bx")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bq") - 1)))
     q = base.join(asked.select("cls").distinct(), "cls", "left_semi").withColumn("qb", F.pmod(digest, "bq")).withColumn("xb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bx") - 1)))
 
