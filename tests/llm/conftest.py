@@ -1,9 +1,14 @@
 import pytest
 
+#: Two words that hashes by a polynomial modulo a power of two confuse, whatever its base.
+THUE = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
 #: Texts with nulls, empties, ties, repeats, very long ones and none of the usual characters.
 ODD = [
     (1, "x a b C d", "en"), (2, None, "en"), (3, "", None), (None, "b c b c A B", "fr"), (5, "one Two", "en"), (5, "one Two", "en"),
     (6, "É b — 中文 😀 don't 'S  \n\t end ", "fr"), (7, "word " * 30_000, "en"), (8, "x" * 50_000, None), (9, "0123 ... !!", "de"),
+    (10, THUE, "en"), (12, MORSE, "en"), (13, f"{THUE} {MORSE} end", None),
 ]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -102,31 +103,13 @@ def trim() -> None:
 # ---- vectorised text -----------------------------------------------------------------------
 
 M64 = (1 << 64) - 1
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int, base: int, key: str) -> np.ndarray:
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        out = np.empty(max(n, 1 << 16), dtype=np.uint64)
-        out[0] = 1
-        size = 1
-        while size < len(out):  # doubling keeps this in numpy
-            k = min(size, len(out) - size)
-            out[size : size + k] = out[:k] * np.uint64(pow(base, size, 1 << 64))
-            size += k
-        _powers[key] = have = out
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -165,11 +148,80 @@ def pieces(off: np.ndarray, limit: int):
         a = b
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lowered) of every row, and word offsets by row."""
-    n, rows = len(raw), len(off) - 1
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 64  # bytes from which a span is hashed by itself
+
+
+class Spans:
+    """Spans of bytes, read eight at a time from any place."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.raw, n = raw, len(raw)
+        pad = np.zeros((n >> 3) * 8 + 24, np.uint8)
+        pad[:n] = raw
+        self.words = pad.view("<u8")
+
+    def eight(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes, or the ``left`` ones, as an integer."""
+        q, r = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        x = self.words[q] >> r
+        x |= self.words[q + 1] << (np.uint64(63) - r) << np.uint64(1)
+        x &= _MASKS[np.minimum(left, 8)]
+        return x
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes: each eight bytes are mixed into the state before them, from the length on, so that spans of
+        equal length and at most eight bytes never collide; long spans by BLAKE2."""
+        n = ends - starts
+        out = mix(self.eight(starts, n) ^ (n.astype(np.uint64) * _GOLD))
+        long = n > _LONG
+        live = np.flatnonzero((n > 8) & ~long)
+        i = 8
+        while len(live):
+            at, left = starts[live] + i, n[live] - i
+            out[live] = mix((out[live] + _GOLD) ^ self.eight(at, left))
+            live = live[left > 8]
+            i += 8
+        for k in np.flatnonzero(long):
+            digest = hashlib.blake2b(self.raw[starts[k] : ends[k]], digest_size=8).digest()
+            out[k] = int.from_bytes(digest, "little")
+        return out
+
+    def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
+        """Whether the spans of n bytes at a and at b are the same, pair by pair."""
+        live = np.flatnonzero((n > 0) & (a != b))
+        long = live[n[live] > _LONG]
+        live = live[n[live] <= _LONG]
+        i = 0
+        while len(live):
+            left = n[live] - i
+            if not np.array_equal(self.eight(a[live] + i, left), self.eight(b[live] + i, left)):
+                return False
+            live = live[left > 8]
+            i += 8
+        return all(np.array_equal(self.raw[a[k] : a[k] + n[k]], self.raw[b[k] : b[k] + n[k]]) for k in long)
+
+    def distinct(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a place of each distinct span, for each span the number of its like): by hash, with the bytes compared."""
+        h = self.hashes(starts, ends)
+        names, inv = np.unique(h, return_inverse=True)
+        first = np.empty(len(names), np.int64)
+        first[inv[::-1]] = np.arange(len(h) - 1, -1, -1)
+        n, to = ends - starts, first[inv]
+        if np.array_equal(n[to], n) and self.same(starts[to], starts, n):
+            return first, inv
+        known: dict[bytes, int] = {}  # two spans share a hash
+        data, first = self.raw.tobytes(), []
+        for k, (x, y) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            inv[k] = known.setdefault(data[x:y], len(known))
+            if inv[k] == len(first):
+                first.append(k)
+        return np.array(first, np.int64), inv
+
+
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends) of the words ``[^\\x20\\x09-\\x0D]+`` of every row, and word offsets by row."""
+    n = len(raw)
     gap = SPACES[raw]
     first = np.ones(n + 1, dtype=bool)
     first[1:n] = gap[:-1]
@@ -182,19 +234,15 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, step: int = 1 << 21) -> tuple[
     # words end at the first such place after their start
     ends_all = np.flatnonzero(last)
     ends = ends_all[np.searchsorted(ends_all, starts, "right")]
-    out = np.empty(len(starts), dtype=np.uint64)
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + step, "right")))
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        cs = np.empty(hi - lo + 1, dtype=np.uint64)
-        cs[0] = 0
-        part = (LOWER[raw[lo:hi]].astype(np.uint64) + np.uint64(1)) * _power(hi - lo, _P, "p")
-        np.cumsum(part, out=cs[1:])
-        s, e = starts[a:b] - lo, ends[a:b] - lo
-        out[a:b] = mix((cs[e] - cs[s]) * _power(hi - lo + 1, _PINV, "i")[s] + (e - s).astype(np.uint64))
-        a = b
-    return out, np.searchsorted(starts, off, "left").astype(np.int64)
+    return starts, ends, np.searchsorted(starts, off, "left").astype(np.int64)
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lowered) of every row, and word offsets by row."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    starts, ends, words = word_spans(raw, off)
+    return Spans(LOWER[raw]).hashes(starts, ends), words
 
 
 def segment_ids(off: np.ndarray) -> np.ndarray:

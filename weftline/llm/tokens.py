@@ -1,8 +1,9 @@
 """Token-ID output: a wavelet matrix per shard, in one compressed file with a document table.
 
 Texts are encoded by the tokenizers library. For Latin texts its byte-level splitting is done in numpy, and
-the library encodes each distinct piece once per worker; a test holds this path against the library on whole
-texts. A text with any other character, or with a special token's string, goes to the library as it is.
+the library encodes each distinct piece once per worker (pieces are told apart by their bytes); a test holds this
+path against the library on whole texts. A text with any other character, or with a special token's string, goes to
+the library as it is.
 
 File (little-endian): MAGIC, int64 length of the head, the head (JSON: ids, docs, planes, zeros, and the places of the
 parts), then zstd parts: document ids, their lengths, and for every bit-plane its packed bits and the ranks at
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import _P, _PINV, _power, bounded, mix, pieces, table, utf8, work_dir, write_shared
+from weftline.llm.common import Spans, bounded, pieces, table, utf8, work_dir, write_shared
 
 MAGIC = b"WLWAVE1\n"
 BLOCK = 512
 SHARD_IDS = 4 << 20
 CHUNK = 4 << 20
+KNOWN = 1_500_000
 END = 0
 
 
@@ -219,8 +221,13 @@ class Encoder:
         self.bits = max(1, (self.lib.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.classes = _classes()
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known pieces: hash -> row
-        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self._forget()
+
+    def _forget(self) -> None:
+        # known pieces of at most two words of eight bytes: hash -> row, and their bytes
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.bytes = np.zeros((3, 0), np.uint64)  # length, first and last words
+        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -280,31 +287,53 @@ class Encoder:
         rows = np.unique(np.searchsorted(off, odd, "right") - 1)
         return np.flatnonzero(start), rows
 
-    def _rows(self, h: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The row of each piece among the known ones; new ones are encoded by the library."""
-        uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, uniq)
-        new = np.ones(len(uniq), dtype=bool)
+    def _rows(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, first ids among ``flat``) of each piece. A piece is known by its bytes, which a hash finds;
+        pieces that are not, and longer ones, go to the library."""
+        spans = Spans(raw)
+        first, inv = spans.distinct(starts, ends)
+        a, n = starts[first], ends[first] - starts[first]
+        h = spans.hashes(a, a + n)
+        own = np.stack([n.astype(np.uint64), spans.eight(a, n), spans.eight(a + np.minimum(8, n), np.maximum(n - 8, 0))])
+        place = np.searchsorted(self.keys, h)
+        known = np.zeros(len(h), dtype=bool)
+        rows = np.zeros(len(h), np.int64)
+        there = np.zeros(len(h), dtype=bool)
         if len(self.keys):
-            new = self.keys[np.minimum(place, len(self.keys) - 1)] != uniq
-        if new.any():
+            at = np.minimum(place, len(self.keys) - 1)
+            rows[:] = self.at[at]
+            there = self.keys[at] == h
+            known = there & (n <= 16) & (self.bytes[:, rows] == own).all(axis=0)
+        fresh = np.flatnonzero(~known)
+        size, begin, flat = self.size[rows] if len(self.size) else np.zeros(len(h), np.int32), self.first[rows] if len(self.first) else np.zeros(len(h), np.int64), self.flat
+        if len(fresh):
+            keep = (n[fresh] <= 16) & ~there[fresh]
+            fresh = np.concatenate([fresh[keep], fresh[~keep]])  # those to be known come first
+            k = int(keep.sum())
             data = raw.tobytes()
-            fresh = first[new]
-            ids = self._ids([data[a:b].decode() for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for i in ids for x in i), self.kind, int(sizes.sum()))
-            rows = len(self.size) + np.arange(len(ids))
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size, self.flat = np.concatenate([self.size, sizes]), np.concatenate([self.flat, flat])
-            self.at = np.insert(self.at, place[new], rows)
-            self.keys = np.insert(self.keys, place[new], uniq[new])
-            place = np.searchsorted(self.keys, uniq)
-        return self.at[place][inv]
+            ids = self._ids([data[x:y].decode() for x, y in zip(a[fresh].tolist(), (a[fresh] + n[fresh]).tolist(), strict=True)])
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            new = np.fromiter((x for i in ids for x in i), self.kind, int(sizes.sum()))
+            ends_ = np.cumsum(sizes)
+            flat = np.concatenate([self.flat, new])
+            size[fresh], begin[fresh] = sizes, len(self.flat) + ends_ - sizes
+            to = fresh[:k]
+            order = np.argsort(h[to])
+            to = to[order]
+            once = np.ones(k, dtype=bool)  # two new pieces of one hash: the first is known
+            once[1:] = h[to][1:] != h[to][:-1]
+            to = to[once]
+            self.keys, self.at = np.insert(self.keys, place[to], h[to]), np.insert(self.at, place[to], len(self.size) + np.arange(len(to), dtype=np.int32))
+            self.bytes = np.concatenate([self.bytes, own[:, to]], axis=1)
+            self.first, self.size = np.concatenate([self.first, begin[to]]), np.concatenate([self.size, size[to]])
+            self.flat = flat[: len(self.flat) + (int(ends_[k - 1]) if k else 0)]
+        self.now = flat
+        return size[inv], begin[inv]
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows with END behind each, numbers of ids by row)."""
-        if len(self.keys) > 2_000_000:  # bounded memory; they come again
-            self.__init_known()
+        if len(self.keys) > KNOWN:  # bounded memory; they come again
+            self._forget()
         n = len(off) - 1
         starts, whole = self.split(raw, off)
         joined = raw.tobytes()
@@ -324,11 +353,7 @@ class Encoder:
         else:
             by_lib = {}
         if len(starts):
-            cs = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(len(raw), _P, "p"), out=cs[1:])
-            h = mix((cs[ends] - cs[starts]) * _power(len(raw) + 1, _PINV, "i")[starts] + (ends - starts).astype(np.uint64))
-            rows = self._rows(h, raw, starts, ends)
-            size, first = self.size[rows], self.first[rows]
+            size, first = self._rows(raw, starts, ends)
         else:
             size = first = np.zeros(0, np.int64)
         lengths = np.bincount(of, weights=size, minlength=n).astype(np.int64)
@@ -341,7 +366,7 @@ class Encoder:
             before = np.cumsum(size) - size
             at = np.repeat(first - before, size)
             at += np.arange(total)
-            ids = self.flat[at]
+            ids = self.now[at]
             if not by_lib:
                 mask = np.ones(len(out), dtype=bool)
                 mask[begin[1:] - 1] = False
@@ -357,10 +382,6 @@ class Encoder:
             out[begin[i] : begin[i] + len(ids)] = ids
         return out, lengths + 1
 
-    def __init_known(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
-
 
 _encoders: dict[str, Encoder] = {}
 
