@@ -44,31 +44,68 @@ def test_odd_rows(spark, sf):
     check(lm.op4_deleted_interpolation(spark, sf[0]).collect(), docs)
 
 
-def test_model_is_normalised_and_scores_agree(spark, monkeypatch):
-    """The scores again from plain counts and the fitted weights; and each context's probabilities sum to one."""
-    fitted = []
-    fit = lm.fit
-    monkeypatch.setattr(lm, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
-    docs = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c", "", "b a b a b d", "d a", "a b c d", "b b b", "zz a"])]
-    rows = lm.score_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    weights = fitted[0]
-    train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
-    c1, c2 = Counter(), Counter()
-    for t in train:
-        w = tokens(t)
-        c1.update(w)
-        c2.update(zip(["\0end", *w], w, strict=False))
-    n, v = sum(c1.values()), len(c1)
-
-    def p(h, w):
-        l2, l1, l0 = weights[int(lm.level(np.array([c1[h]]))[0])]
-        return l2 * (c2[h, w] / c1[h] if c1[h] else 0) + l1 * c1[w] / n + l0 / (v + 1)
-
-    for h in [*c1, "unseen"]:
-        assert sum(p(h, w) for w in c1) + p(h, "new") == pytest.approx(1)
+def grams(w, k):
+    padded = ["\0end"] * (k - 1) + w
+    return [tuple(padded[i : i + k]) for i in range(len(w))]
+
+
+class Brute:
+    """The model by plain counts of some texts, under given weights."""
+
+    def __init__(self, texts, order, v=None):
+        self.c = [Counter(g for t in texts for g in grams(tokens(t), k)) for k in range(1, order + 1)]
+        self.h = [Counter(g[:-1] for t in texts for g in grams(tokens(t), k)) for k in range(1, order + 1)]
+        self.n, self.v, self.order = sum(self.c[0].values()), len(self.c[0]) if v is None else v, order
+
+    def ml(self, g):
+        k = len(g) - 1
+        return (self.c[k][g] / self.h[k][g[:-1]] if self.h[k][g[:-1]] else 0.0), self.h[k][g[:-1]]
+
+    def p(self, g, weights):
+        lev = lambda x: int(lm.level(np.array([x]))[0])
+        p2, seen = self.ml(g[-2:])
+        l2, l1, l0 = weights[0][lev(seen)]
+        p = l2 * p2 + l1 * self.c[0][g[-1:]] / self.n + l0 / (self.v + 1)
+        for k in range(3, len(g) + 1):
+            own, seen = self.ml(g[-k:])
+            m = weights[k - 2][lev(seen)]
+            p = m * own + (1 - m) * p
+        return p
+
+
+LINES = ["a b a c", "a b b", "c", "", "b a b a b d", "d a", "a b c d", "b b b", "zz a", "a b a c", "", "b a b a c"]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_and_weights_against_brute_force(spark, monkeypatch, order):
+    """The scores from plain counts and the fitted weights; the histograms that these are fitted on, fold by fold, from
+    plain counts of all other folds; and each context's probabilities sum to one."""
+    fitted, codes = [], []
+    for name in ("fit", "fit_higher"):
+        plain = getattr(lm, name)
+        monkeypatch.setattr(lm, name, lambda c, n, plain=plain: codes.append(dict(zip(c.tolist(), n.tolist(), strict=True))) or fitted.append(plain(c, n)) or fitted[-1])
+    df = spark.createDataFrame(list(enumerate(LINES)), "doc_id bigint, text string").repartition(3)
+    rows = lm.score_documents(df, order).collect()
+    folds = {r[0]: r[1] for r in df.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 11), {lm.FOLDS})").collect()}
+    train = {i: t for i, t in enumerate(LINES) if zlib.crc32(str(i).encode()) % 5 != 1}
+    model = Brute(train.values(), order)
+    assert len(fitted) == order - 1
     for r in rows:
-        w = tokens(docs[r["doc_id"]][1])
-        assert r["score"] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["\0end", *w], w, strict=False)))
+        w = tokens(LINES[r["doc_id"]])
+        assert r["score"] == pytest.approx(sum(math.log10(model.p(g, fitted)) for g in grams(w, order)), abs=1e-9)
+    words = [g[0] for g in model.c[0]]
+    for h in {g[:-1] for g in model.c[order - 1]} | {("zz",) * (order - 1)}:
+        assert sum(model.p((*h, w), fitted) for w in words) + model.p((*h, "new"), fitted) == pytest.approx(1)
+    for k in range(2, order + 1):
+        want = Counter()
+        for f in set(folds.values()):
+            rest = Brute([t for i, t in train.items() if folds[i] != f], order, model.v)
+            for g in (g for i, t in train.items() if folds[i] == f for g in grams(tokens(t), k)):
+                own, seen = rest.ml(g)
+                below = rest.c[0][g[-1:]] / max(rest.n, 1) if k == 2 else rest.p(g[1:], fitted)
+                bins = [int(lm._ratio_bins(np.array([x]), 1 / (model.v + 1))[0]) for x in (own, below)]
+                want[(int(lm.level(np.array([seen]))[0]) * (lm.GRID + 1) + bins[0]) * (lm.GRID + 1) + bins[1]] += 1
+        assert codes[k - 2] == want
 
 
 def test_em_finds_known_weights():
@@ -94,11 +131,14 @@ def test_small_ratios_keep_their_size():
     assert l1 == pytest.approx(best, abs=0.005)
 
 
-def test_batches_of_any_size_agree(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").repartition(3)
-    a = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in lm.score_documents(docs).collect()}
-    b = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in lm.score_documents(docs.repartition(1)).collect()}
-    assert a.keys() == b.keys() and all(a[k] == (b[k][0], pytest.approx(b[k][1])) for k in a)
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    want = None
+    for parts in (1, 3, 16):
+        got = sorted(map(tuple, lm.score_documents(docs.repartition(parts)).collect()))
+        want = want or got
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9, atol=0)
 
 
 def test_many_small_batches(spark):
@@ -107,7 +147,13 @@ def test_many_small_batches(spark):
     spark.conf.set(key, "4096")
     try:
         docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
-        check(lm.op4_deleted_interpolation(spark, SMALL).collect(), docs)
+        rows = lm.op4_deleted_interpolation(spark, SMALL).collect()
+        check(rows, docs)
+        spark.conf.set(key, str(16 << 20))
+        whole = {r["doc_id"]: r["score"] for r in lm.op4_deleted_interpolation(spark, SMALL).collect()}
+        assert all(r["score"] == pytest.approx(whole[r["doc_id"]], rel=1e-9) for r in rows)
+        spark.conf.set(key, "4096")
+        lm.bounded(spark)
         assert spark.conf.get(key) == "4096"  # a session's own bound stays
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)

@@ -1,15 +1,18 @@
 """Language-model scoring by deleted interpolation.
 
-A bigram model over words (A-Z lowered) and one end token a text: P(w | h) = l2 c(h w) / c(h) + l1 c(w) / N +
-l0 / (V + 1), the weights by the bucket of the context's frequency c(h) (powers of two), learned by expectation
-maximisation on held-out counts: each training text's tokens are scored by the counts of all training texts
-outside its own block (a batch of texts, in FOLDS folds), so every training text is held out once.
-
-Counts cover all training texts. Texts are hashed to words in numpy; a batch asks for the counts of its
-distinct words and bigrams, in a blob per bucket of keys, with its own training counts; a bucket adds them up
-and answers each batch. So a frequent bigram is one entry per batch, not one per occurrence, and what is
-shuffled grows with the corpus. Each answer is checked against the batch's own keys. The weights are fitted on the
-driver from a histogram of the three probabilities' ratios, of bounded size.
+An n-gram model (ORDER words) over words (A-Z lowered) and one end token a text; a text begins behind ends. The
+bigram part is P2(w | h) = l2 c(h w) / c(h) + l1 c(w) / N + l0 / (V + 1), and each higher order mixes its own
+estimate with the one below, Pk(w | h) = m c(h w) / c(h) + (1 - m) Pk-1(w | h'). The weights go by the bucket of the
+context's frequency c(h) (powers of two) and are learned by expectation maximisation on held-out counts: the
+training texts are dealt by doc_id into FOLDS folds, and each fold's tokens are estimated from the counts of all other
+folds, so every training text is held out once, with all other texts of its fold, wherever they lie.
+
+Counts cover all training texts. Texts are packed into batches, which are written once; a batch asks for the counts
+of its distinct n-grams, in a blob per bucket of keys, with its own training counts by fold; a bucket adds them up and
+answers each batch. So a frequent n-gram is one entry per batch, not one per occurrence, and what is shuffled grows
+with the corpus. There is a bucket for every BUCKET_BYTES of text. Words are told apart by 64 bits of a hash, longer
+n-grams by 56. The weights are fitted on the driver from histograms of the estimates' ratios, of bounded size; they
+and the scores do not depend on how rows are partitioned or batched.
 
 Defined results: a null text is empty, and scores its end token; a null doc_id is learned from and not held
 out; rows that repeat are texts of their own; with no training text every word has probability 1 / (V + 1) = 1; an
@@ -18,6 +21,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded, crc_mod, mix, mix_int, pack, pieces, table, trim, unpack, utf8, word_hashes, written
 
+ORDER = 3
 CHUNK = 8 << 20
+BUCKET_BYTES = 8 << 20
 FOLDS = 4
 LEVELS = 40  # buckets of context frequency
 GRID, FINE, BELOW = 320, 4, 40  # bins of the ratios, per doubling; doublings below 1
@@ -36,139 +42,142 @@ ITERATIONS = 40
 FLOOR = 1e-6
 END = mix_int(0x656E64)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_NARROW = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
-#: Both passes read the same columns, since Arrow batches, from which batches are cut, go by the bytes of a row.
-_ROWS = ("doc_id", "text", "train", "fold", "held_out")
+# ---- a batch's n-grams -----------------------------------------------------------------------
 
 
-# ---- a batch's keys --------------------------------------------------------------------------
+def _chained(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(before * _MUL + token)
 
 
 class Batch:
-    """The tokens of some texts as places among the batch's distinct words and bigrams."""
+    """The tokens of some texts as places among the batch's distinct n-grams.
+
+    Of each order, from words on: the sorted ``keys``, each token's ``gram``, and for each distinct n-gram its
+    ``context`` (all but its last word, among those of the order below; -1 where a text begins).
+    """
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray) -> None:
+    def __init__(self, raw: np.ndarray, off: np.ndarray, order: int) -> None:
         h, w = word_hashes(raw, off)
-        n = np.diff(w)
-        rows = len(n)
-        self.lengths = n + 1
+        self.lengths = np.diff(w) + 1
         self.off = np.concatenate([[0], np.cumsum(self.lengths)])
         tokens = np.empty(int(self.off[-1]), np.uint64)
-        ends = self.off[1:] - 1
+        last = self.off[1:] - 1
         mask = np.ones(len(tokens), dtype=bool)
-        mask[ends] = False
-        tokens[mask] = h
-        tokens[ends] = np.uint64(END)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[self.off[:-1]] = np.uint64(END)  # a text begins behind an end
-        self.words, self.word = np.unique(tokens, return_inverse=True)
-        self.pairs, first, self.pair = np.unique(mix(before * _MUL + tokens), return_index=True, return_inverse=True)
-        self.pair_word, self.pair_left = self.word[first], np.searchsorted(self.words, before[first])
-        self.of = np.repeat(np.arange(rows), self.lengths)
-
-    def keys(self) -> list[np.ndarray]:
-        return [self.words, self.pairs]
-
-    def counts(self, rows: np.ndarray) -> list[np.ndarray]:
-        """Of each distinct word and bigram, within the chosen rows."""
-        use = rows[self.of]
-        return [np.bincount(x[use], minlength=len(k)) for x, k in ((self.word, self.words), (self.pair, self.pairs))]
+        mask[last] = False
+        tokens[mask], tokens[last] = h, np.uint64(END)
+        begins = self.off[:-1]
+        self.of = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        keys, at = np.unique(tokens, return_inverse=True)
+        self.keys, self.gram, self.context = [keys], [at.astype(np.int32)], [np.full(len(keys), -1, np.int32)]
+        self.end = int(np.searchsorted(keys, np.uint64(END)))
+        chain, pad = tokens, np.array([END], np.uint64)
+        for _ in range(1, order):
+            back = np.empty_like(chain)
+            back[1:] = chain[:-1]
+            back[begins] = pad  # a text begins behind ends
+            chain, pad = _chained(back, tokens), _chained(pad, np.array([END], np.uint64))
+            keys, at = np.unique(chain & _NARROW, return_inverse=True)
+            some = np.empty(len(keys), np.int64)  # a place of each
+            some[at] = np.arange(len(at))
+            context = self.gram[-1][np.maximum(some - 1, 0)]
+            context[np.isin(some, begins)] = -1
+            self.keys.append(keys)
+            self.gram.append(at.astype(np.int32))
+            self.context.append(context)
+
+    def counts(self, k: int, chosen: np.ndarray) -> np.ndarray:
+        """Of each distinct n-gram, within the chosen rows."""
+        return np.bincount(self.gram[k][chosen[self.of]], minlength=len(self.keys[k]))
 
 
 def _buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # sorted keys stay in order
 
 
-def _batches(batches: Iterator[pa.RecordBatch]):
-    """(name, Batch, record batch slice): the name tells where the batch comes from, alike in every pass."""
-    from pyspark import TaskContext
-
-    part, k = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        raw, off = utf8(batch.column("text"))
-        for a, b in pieces(off, CHUNK):
-            yield part << 32 | k, Batch(raw[off[a] : off[b]], off[a : b + 1] - off[a]), batch.slice(a, b - a)
-            k += 1
-        trim()
+def _small(x: np.ndarray) -> np.ndarray:
+    most = int(x.max()) if x.size else 0
+    return x.astype(next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if most < 1 << n), np.int64)).ravel()
 
 
 def _pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte of their order, of which the high ones compress."""
+    """Sorted keys as differences, byte by byte of their order, of which the high ones compress, and their counts by fold."""
     gaps = np.diff(keys, prepend=np.uint64(0))
-    return pack(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).ravel(), counts.astype(np.uint32))
+    return pack(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).ravel(), _small(counts))
 
 
 def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw, counts = unpack(blob)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64), counts
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64), counts.reshape(FOLDS, -1)
 
 
-def ask(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, batch, kind, blob): the sorted distinct keys of each batch and their training counts in it."""
+def texts(docs: DataFrame) -> DataFrame:
+    """(batch, bytes, blob): the rows, packed by batches of at most CHUNK bytes or one text; written once, so that a batch
+    keeps its name and its rows whatever happens later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, b, rows in _batches(batches):
-            train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            for kind, (keys, counts) in enumerate(zip(b.keys(), b.counts(train), strict=True)):
-                cuts = np.searchsorted(_buckets_of(keys, buckets), np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                blobs = [_pack_keys(keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in some]
-                k = len(some)
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([name] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "kind", "blob"])
+        from pyspark import TaskContext
 
-    return docs.select(*_ROWS).mapInArrow(run, "bucket int, batch bigint, kind int, blob binary")
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            raw, off = utf8(batch.column("text"))
+            for a, b in pieces(off, CHUNK):
+                flags = [batch.column(c)[a:b].to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("train", "fold", "held_out")]
+                ids = batch.column("doc_id")[a:b]
+                known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+                blob = pack(raw[off[a] : off[b]], off[a : b + 1] - off[a], *flags, known, ids.fill_null(0).to_numpy())
+                yield pa.record_batch([pa.array([part << 32 | k], pa.int64()), pa.array([off[b] - off[a]], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "bytes", "blob"])
+                k += 1
+        trim()
 
+    return docs.select("doc_id", "text", "train", "fold", "held_out").mapInArrow(run, "batch bigint, bytes bigint, blob binary")
 
-def answer(asked: DataFrame) -> DataFrame:
-    """(batch, kind, bucket, blob, n, v): the corpus counts of the keys asked, in their order; n and v (tokens
-    and distinct words of training) stand in one row of each bucket, with no blob."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [] for c in ("batch", "kind", "bucket", "blob", "n", "v")}
+def ask(packed: DataFrame, buckets: int, order: int) -> DataFrame:
+    """(bucket, batch, kind, blob): the sorted distinct keys of each batch and order, and their training counts in it by fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, blob in zip(batch.column("batch").to_pylist(), batch.column("blob"), strict=True):
+                raw, off, train, fold, *_ = unpack(blob.as_buffer())
+                b = Batch(raw, off, order)
+                for kind, keys in enumerate(b.keys):
+                    counts = np.stack([b.counts(kind, train.astype(bool) & (fold == f)) for f in range(FOLDS)])
+                    cuts = np.searchsorted(_buckets_of(keys, buckets), np.arange(buckets + 1))
+                    some = np.flatnonzero(np.diff(cuts))
+                    blobs = [_pack_keys(keys[cuts[i] : cuts[i + 1]], counts[:, cuts[i] : cuts[i + 1]]) for i in some]
+                    n = len(some)
+                    yield pa.record_batch([pa.array(some, pa.int32()), pa.array([name] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "kind", "blob"])
+                del b
+        trim()
+
+    return packed.select("batch", "blob").mapInArrow(run, "bucket int, batch bigint, kind int, blob binary")
 
-        def add(*row) -> None:
-            for c, x in zip(out, row, strict=True):
-                out[c].append(x)
 
+def answer(asked: DataFrame) -> DataFrame:
+    """(batch, kind, bucket, blob, n, v): the corpus counts by fold of the keys asked, in their order; n (training tokens
+    by fold) and v (distinct training words) stand in one row of each bucket of words, with no blob."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
         got = [_unpack_keys(b) for b in pdf["blob"]]
         keys, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        total = np.bincount(inv, weights=np.concatenate([g[1] for g in got]), minlength=len(keys)).astype(np.int64)
-        at = 0
+        total = np.empty((FOLDS, len(keys)), np.int64)
+        for f in range(FOLDS):
+            total[f] = np.bincount(inv, weights=np.concatenate([g[1][f] for g in got]), minlength=len(keys))
+        rows, at = [], 0
         for name, g in zip(pdf["batch"], got, strict=True):
-            mine = total[inv[at : at + len(g[0])]]
-            check = np.array([g[0].sum()], np.uint64)
-            small = np.uint32 if not len(mine) or mine.max() < 1 << 32 else np.int64
-            add(name, kind, bucket, pack(mine.astype(small), check), 0, 0)
+            rows.append((name, kind, bucket, pack(_small(total[:, inv[at : at + len(g[0])]])), None, 0))
             at += len(g[0])
         if kind == 0:
-            add(-1, kind, bucket, None, int(total.sum()), int((total > 0).sum()))
+            rows.append((-1, kind, bucket, None, total.sum(axis=1).tolist(), int((total.sum(axis=0) > 0).sum())))
+        del got, keys, inv, total
         trim()
-        return pd.DataFrame(out)
-
-    return asked.groupBy("kind", "bucket").applyInPandas(run, "batch bigint, kind int, bucket int, blob binary, n bigint, v bigint")
-
-
-def texts(docs: DataFrame) -> DataFrame:
-    """(batch, blob): each batch's rows, packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        return pd.DataFrame(rows, columns=["batch", "kind", "bucket", "blob", "n", "v"])
 
-        part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            raw, off = utf8(batch.column("text"))
-            for a, b in pieces(off, CHUNK):
-                flags = [batch.column(c)[a:b].to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("train", "fold", "held_out")]
-                ids = batch.column("doc_id")[a:b]
-                known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
-                blob = pack(raw[off[a] : off[b]], off[a : b + 1] - off[a], *flags, known, ids.fill_null(0).to_numpy())
-                yield pa.record_batch([pa.array([part << 32 | k], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
-                k += 1
-
-    return docs.select(*_ROWS).mapInArrow(run, "batch bigint, blob binary")
+    return asked.groupBy("kind", "bucket").applyInPandas(run, "batch bigint, kind int, bucket int, blob binary, n array<bigint>, v bigint")
 
 
 # ---- the model -------------------------------------------------------------------------------
@@ -190,29 +199,57 @@ def _bin_ratio(k: np.ndarray) -> np.ndarray:
     return np.where(k > 0, np.exp2((k - 1 - FINE * BELOW) / FINE), 0.0)
 
 
-def histogram(batch: Batch, train: np.ndarray, fold: np.ndarray, counts: list[np.ndarray], n: int, v: int) -> np.ndarray:
-    """Codes (level, bin of p2, bin of p1) of a batch's held-out tokens, with repeats."""
-    own_fold, own = fold[batch.of], train[batch.of].astype(bool)
-    words, pairs = len(counts[0]), len(counts[1])
-    pair, left, word = batch.pair, batch.pair_left[batch.pair], batch.word
-    out = []
-    for k in range(FOLDS):
-        use = own & (own_fold == k)
-        if not use.any():
+class Corpus:
+    """Training tokens n and distinct words v of the whole corpus."""
+
+    def __init__(self, n: int, v: int) -> None:
+        self.n, self.v = n, v
+
+
+def estimate(batch: Batch, k: int, at: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(c(h w) / c(h), c(h)) of the tokens ``at``, by n-grams of order k + 1. A context is counted as often as it is followed:
+    that before a text's first word as often as there are ends."""
+    g = batch.gram[k][at]
+    context = batch.context[k][g]
+    seen = np.where(context < 0, counts[0][batch.end], counts[k - 1][context])
+    return counts[k][g] / np.maximum(seen, 1) * (seen > 0), seen
+
+
+def probability(batch: Batch, at: np.ndarray, counts: list[np.ndarray], corpus: Corpus, weights: list[np.ndarray], order: int) -> np.ndarray:
+    """The probabilities of the tokens ``at``, by the orders up to ``order``."""
+    if not corpus.n:
+        return np.full(len(at), 1 / (corpus.v + 1))
+    p2, seen = estimate(batch, 1, at, counts)
+    w = weights[0][level(seen)]
+    p = w[:, 0] * p2 + w[:, 1] * counts[0][batch.gram[0][at]] / corpus.n + w[:, 2] / (corpus.v + 1)
+    for k in range(2, order):
+        own, seen = estimate(batch, k, at, counts)
+        m = weights[k - 1][level(seen)]
+        p = m * own + (1 - m) * p
+    return p
+
+
+def held_out(batch: Batch, train: np.ndarray, fold: np.ndarray, counts: list[np.ndarray], n: list[int], v: int, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, how often) of a batch's training tokens, each by the counts of the other folds: the level of its context of
+    the next order to fit, the bin of that order's estimate, and the bin of what it is mixed with."""
+    k, out = len(weights) + 1, []
+    of = np.where(train.astype(bool), fold, FOLDS)[batch.of]
+    for f in range(FOLDS):
+        at = np.flatnonzero(of == f)
+        if not len(at):
             continue
-        c1 = np.maximum(counts[0] - np.bincount(word[use], minlength=words), 0)
-        c2 = np.maximum(counts[1] - np.bincount(pair[use], minlength=pairs), 0)
-        # a context is counted as often as it is followed: the end stands for the beginning
-        x2, xl, x1 = c2[pair[use]], c1[left[use]], c1[word[use]]
-        total = max(n - int(use.sum()), 0)
-        p2 = np.where(xl > 0, x2 / np.maximum(xl, 1), 0.0)
-        p1 = x1 / max(total, 1)
-        out.append((level(xl) * (GRID + 1) + _ratio_bins(p2, 1 / (v + 1))) * (GRID + 1) + _ratio_bins(p1, 1 / (v + 1)))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        left = [c.sum(axis=0) - c[f] for c in counts[: k + 1]]
+        rest = Corpus(sum(n) - n[f], v)
+        own, seen = estimate(batch, k, at, left)
+        below = left[0][batch.gram[0][at]] / max(rest.n, 1) if k == 1 else probability(batch, at, left, rest, weights, k)
+        out.append((level(seen) * (GRID + 1) + _ratio_bins(own, 1 / (v + 1))) * (GRID + 1) + _ratio_bins(below, 1 / (v + 1)))
+    return np.unique(np.concatenate(out) if out else np.zeros(0, np.int64), return_counts=True)
 
 
 def fit(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The weights (l2, l1, l0) of every level, by expectation maximisation; a level without counts takes those of all."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
 
     def em(a: np.ndarray, b: np.ndarray, c: np.ndarray, pairs: bool) -> np.ndarray:
         w = np.array([1 / 3, 1 / 3, 1 / 3]) if pairs else np.array([0.0, 0.5, 0.5])
@@ -237,77 +274,119 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(batch: Batch, counts: list[np.ndarray], n: int, v: int, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+def fit_higher(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The weight of a higher order's own estimate at every level, 0 at that of unseen contexts, likewise."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+
+    def em(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+        m = 0.5
+        for _ in range(ITERATIONS if c.sum() else 0):
+            m = float((c * m * a / np.maximum(m * a + (1 - m) * b, 1e-300)).sum() / c.sum())
+        return min(max(m, FLOOR), 1 - FLOOR)
+
+    lev, rest = np.divmod(codes, (GRID + 1) ** 2)
+    a, b = _bin_ratio(rest // (GRID + 1)), _bin_ratio(rest % (GRID + 1))
+    seen = lev > 0
+    out = np.full(LEVELS, em(a[seen], b[seen], counts[seen]))
+    out[0] = 0.0
+    for k in range(1, LEVELS):
+        if (mine := lev == k).any():
+            out[k] = em(a[mine], b[mine], counts[mine])
+    return out
+
+
+def score(batch: Batch, counts: list[np.ndarray], corpus: Corpus, weights: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base score, score) of a batch's texts."""
-    c1, c2 = counts[0].astype(np.float64), counts[1].astype(np.float64)
-    left = c1[batch.pair_left]
-    w = weights[level(left)]
-    p2 = np.where(left > 0, c2 / np.maximum(left, 1), 0.0)
-    p = np.log10(w[:, 0] * p2 + w[:, 1] * c1[batch.pair_word] / max(n, 1) + w[:, 2] / (v + 1)) if n else np.full(len(c2), -np.log10(v + 1))
-    base = np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))
+    word = counts[0][batch.gram[0]]
+    base = np.log10((word + 0.5) / (corpus.n + 0.5 * (corpus.v + 1)))
+    p = np.log10(probability(batch, np.arange(len(word)), counts, corpus, weights, len(batch.keys)))
     add = lambda x: np.add.reduceat(x, batch.off[:-1])
-    return batch.lengths, add((c1 > 0).astype(np.int64)[batch.word]), add(base[batch.word]), add(p[batch.pair])
-
-
-def _answers(batch: Batch, rows: pd.DataFrame) -> list[np.ndarray]:
-    """The batch's counts in the order of its keys; an error if they are not the answers to its own keys."""
-    out = []
-    for kind, keys in enumerate(batch.keys()):
-        got = [unpack(b) for b in rows[rows["kind"] == kind].sort_values("bucket")["blob"]]
-        counts = np.concatenate([np.zeros(0, np.int64), *(g[0].astype(np.int64) for g in got)])
-        check = sum(int(g[1][0]) for g in got) & ((1 << 64) - 1)
-        if len(counts) != len(keys) or check != int(keys.sum()):
-            raise RuntimeError("counts of another batch: the input's splits changed between two passes")
-        out.append(counts)
-    return out
+    return batch.lengths, add((word > 0).astype(np.int64)), add(base), add(p)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of (doc_id, text) rows."""
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of (doc_id, text) rows; ``order`` is 2 at least."""
     spark = docs.sparkSession
     bounded(spark)
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), (~held).alias("train"), fold.alias("fold"))
-    buckets = max(1, docs.rdd.getNumPartitions() * 2)
-    answers = written(answer(ask(docs, buckets)), "lm-counts")
-    n, v = answers.where("batch < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    packed = written(texts(docs), "lm-texts")
+    buckets = max(1, math.ceil((packed.agg(F.sum("bytes")).first()[0] or 0) / BUCKET_BYTES))
+    answers = written(answer(ask(packed, buckets, order)), "lm-counts")
+    *n, v = answers.where("batch < 0").agg(*(F.coalesce(F.sum(F.col("n")[f]), F.lit(0)) for f in range(FOLDS)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    corpus = Corpus(sum(n), v)
 
     def join(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [] for c in ("kind", "blob", "code", "n")}
+        rows = []
         for blob in s["blob"]:
-            parts = unpack(blob)
-            batch = Batch(*parts[:2])
-            counts = _answers(batch, a)
-            codes, times = np.unique(histogram(batch, *parts[2:4], counts, n, v), return_counts=True)
-            small = [c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c for c in counts]
-            out["kind"] += ["batch", *["held"] * len(codes)]
-            out["blob"] += [pack(*parts, *small), *[None] * len(codes)]
-            out["code"] += [0, *codes.tolist()]
-            out["n"] += [0, *times.tolist()]
+            raw, off, train, fold, *rest = unpack(blob)
+            batch, counts, sums = Batch(raw, off, order), [], []
+            for kind in range(order):
+                got = [unpack(b)[0].reshape(FOLDS, -1) for b in a[a["kind"] == kind].sort_values("bucket")["blob"]]
+                folds = np.concatenate(got, axis=1) if got else np.zeros((FOLDS, 0), np.int64)
+                counts.append(folds.astype(np.int64))
+                sums.append(_small(folds if order > 2 else counts[kind].sum(axis=0)))
+            codes, times = held_out(batch, train, fold, counts, n, v, [])
+            rows.append(("batch", pack(raw, off, train, fold, *rest, *sums), 0, 0))
+            rows += [("held", None, c, t) for c, t in zip(codes.tolist(), times.tolist(), strict=True)]
+            del batch, counts, sums
         trim()
-        return pd.DataFrame(out)
+        return pd.DataFrame(rows, columns=["kind", "blob", "code", "n"])
 
-    named = texts(docs).withColumnRenamed("batch", "of")
+    named = packed.select(F.col("batch").alias("of"), "blob")
     answered = answers.where("batch >= 0").select("batch", "kind", "bucket", "blob")
     full = written(named.groupBy("of").cogroup(answered.groupBy("batch")).applyInPandas(join, "kind string, blob binary, code bigint, n bigint"), "lm-batches")
-    # LEVELS * (GRID + 1)^2 rows at most
-    hist = full.where("kind = 'held'").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    weights = fit(hist["code"].to_numpy(np.int64), hist["n"].to_numpy(np.float64))
+    batches = full.where("kind = 'batch'").select("blob")
+
+    def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        # LEVELS * (GRID + 1)^2 rows at most
+        hist = rows.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+        return hist["code"].to_numpy(np.int64), hist["n"].to_numpy(np.float64)
+
+    weights = [fit(*histogram(full.where("kind = 'held'")))]
+    for _ in range(2, order):
+        weights.append(fit_higher(*histogram(_held_out(batches, order, n, v, list(weights)))))
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                parts = unpack(blob.as_buffer())
-                tokens, known, base, full_score = score(Batch(*parts[:2]), parts[7:9], n, v, shared.value)
-                valid, k = parts[5].astype(bool), len(tokens)
+        for rows in batches:
+            for blob in rows.column(0):
+                (raw, off, _, _, is_held, known, ids), batch, counts = _counted(blob, order)
+                totals = [c.sum(axis=0) if order > 2 else c[0] for c in counts]
+                tokens, seen, base, full_score = score(batch, totals, corpus, shared.value)
+                k = len(tokens)
                 yield pa.record_batch(
-                    [pa.array(parts[6], pa.int64(), mask=~valid), pa.array(parts[4].astype(bool)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(base), pa.array(full_score)],
+                    [pa.array(ids, pa.int64(), mask=~known.astype(bool)), pa.array(is_held.astype(bool)), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array([corpus.n] * k, pa.int64()), pa.array(base), pa.array(full_score)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del batch, counts, totals
+        trim()
+
+    return batches.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def _counted(blob: pa.BinaryScalar, order: int) -> tuple[list[np.ndarray], Batch, list[np.ndarray]]:
+    """(a batch's rows, its n-grams, their counts: by fold for orders above 2)."""
+    parts = unpack(blob.as_buffer())
+    batch = Batch(parts[0], parts[1], order)
+    return parts[:7], batch, [c.reshape(FOLDS if order > 2 else 1, -1).astype(np.int64) for c in parts[7:]]
+
+
+def _held_out(batches: DataFrame, order: int, n: list[int], v: int, weights: list[np.ndarray]) -> DataFrame:
+    """(code, n): the histogram for the next order to fit, by batch."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for blob in part.column(0):
+                (_, _, train, fold, *_), batch, counts = _counted(blob, order)
+                codes, times = held_out(batch, train, fold, counts, n, v, weights)
+                yield pa.record_batch([pa.array(codes, pa.int64()), pa.array(times, pa.int64())], names=["code", "n"])
+                del batch, counts
+        trim()
 
-    return full.where("kind = 'batch'").select("blob").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return batches.mapInArrow(run, "code bigint, n bigint")
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
