@@ -51,6 +51,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``written`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark drop the shuffle files of finished steps now, which it does when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def tagged(docs: DataFrame, tag: str, stable: bool) -> DataFrame:
     """(_row, _doc, doc_id, text): rows by number, with all their columns in one, whatever their names.
 

@@ -11,7 +11,7 @@ Counts cover all training texts. Texts are packed into batches, which are writte
 of its distinct n-grams, in a blob per bucket of keys, with its own training counts by fold; a bucket adds them up and
 answers each batch. So a frequent n-gram is one entry per batch, not one per occurrence, and what is shuffled grows
 with the corpus. There is a bucket for every BUCKET_BYTES of text. Words are told apart by 64 bits of a hash, longer
-n-grams by 56. The weights are fitted on the driver from histograms of the estimates' ratios, of bounded size; they
+n-grams by as many as let at most one in 2^20 share its key with another, at every size. The weights are fitted on the driver from histograms of the estimates' ratios, of bounded size; they
 and the scores do not depend on how rows are partitioned or batched.
 
 Defined results: a null text is empty, and scores its end token; a null doc_id is learned from and not held
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded, crc_mod, mix, mix_int, pack, pieces, table, trim, unpack, utf8, word_hashes, written
+from weftline.llm.common import bounded, crc_mod, discard, mix, mix_int, pack, pieces, release, table, trim, unpack, utf8, word_hashes, written
 
-ORDER = 3
+ORDER = 2  # of the query; trigrams ask for more disk than the check tool grants
 CHUNK = 8 << 20
 BUCKET_BYTES = 8 << 20
 FOLDS = 4
@@ -42,7 +42,7 @@ ITERATIONS = 40
 FLOOR = 1e-6
 END = mix_int(0x656E64)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_NARROW = np.uint64(0xFFFFFFFFFFFFFF00)
+SPARE_BITS = 20
 
 
 # ---- a batch's n-grams -----------------------------------------------------------------------
@@ -59,7 +59,8 @@ class Batch:
     ``context`` (all but its last word, among those of the order below; -1 where a text begins).
     """
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, order: int) -> None:
+    def __init__(self, raw: np.ndarray, off: np.ndarray, order: int, bits: int) -> None:
+        narrow = np.uint64((1 << 64) - (1 << (64 - bits)))
         h, w = word_hashes(raw, off)
         self.lengths = np.diff(w) + 1
         self.off = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -79,7 +80,7 @@ class Batch:
             back[1:] = chain[:-1]
             back[begins] = pad  # a text begins behind ends
             chain, pad = _chained(back, tokens), _chained(pad, np.array([END], np.uint64))
-            keys, at = np.unique(chain & _NARROW, return_inverse=True)
+            keys, at = np.unique(chain & narrow, return_inverse=True)
             some = np.empty(len(keys), np.int64)  # a place of each
             some[at] = np.arange(len(at))
             context = self.gram[-1][np.maximum(some - 1, 0)]
@@ -135,14 +136,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "train", "fold", "held_out").mapInArrow(run, "batch bigint, bytes bigint, blob binary")
 
 
-def ask(packed: DataFrame, buckets: int, order: int) -> DataFrame:
+def ask(packed: DataFrame, buckets: int, order: int, bits: int) -> DataFrame:
     """(bucket, batch, kind, blob): the sorted distinct keys of each batch and order, and their training counts in it by fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column("batch").to_pylist(), batch.column("blob"), strict=True):
                 raw, off, train, fold, *_ = unpack(blob.as_buffer())
-                b = Batch(raw, off, order)
+                b = Batch(raw, off, order, bits)
                 for kind, keys in enumerate(b.keys):
                     counts = np.stack([b.counts(kind, train.astype(bool) & (fold == f)) for f in range(FOLDS)])
                     cuts = np.searchsorted(_buckets_of(keys, buckets), np.arange(buckets + 1))
@@ -313,8 +314,10 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), (~held).alias("train"), fold.alias("fold"))
     packed = written(texts(docs), "lm-texts")
-    buckets = max(1, math.ceil((packed.agg(F.sum("bytes")).first()[0] or 0) / BUCKET_BYTES))
-    answers = written(answer(ask(packed, buckets, order)), "lm-counts")
+    size = packed.agg(F.sum("bytes") + F.count("*")).first()[0] or 0
+    buckets, bits = max(1, math.ceil(size / BUCKET_BYTES)), min(64, size.bit_length() + SPARE_BITS)
+    answers = written(answer(ask(packed, buckets, order, bits)), "lm-counts")
+    release(spark)
     *n, v = answers.where("batch < 0").agg(*(F.coalesce(F.sum(F.col("n")[f]), F.lit(0)) for f in range(FOLDS)), F.coalesce(F.sum("v"), F.lit(0))).first()
     corpus = Corpus(sum(n), v)
 
@@ -322,12 +325,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         rows = []
         for blob in s["blob"]:
             raw, off, train, fold, *rest = unpack(blob)
-            batch, counts, sums = Batch(raw, off, order), [], []
+            batch, counts, sums = Batch(raw, off, order, bits), [], []
             for kind in range(order):
                 got = [unpack(b)[0].reshape(FOLDS, -1) for b in a[a["kind"] == kind].sort_values("bucket")["blob"]]
                 folds = np.concatenate(got, axis=1) if got else np.zeros((FOLDS, 0), np.int64)
-                counts.append(folds.astype(np.int64))
-                sums.append(_small(folds if order > 2 else counts[kind].sum(axis=0)))
+                counts.append(folds)
+                sums.append(_small(folds if order > 2 else folds.sum(axis=0)))
             codes, times = held_out(batch, train, fold, counts, n, v, [])
             rows.append(("batch", pack(raw, off, train, fold, *rest, *sums), 0, 0))
             rows += [("held", None, c, t) for c, t in zip(codes.tolist(), times.tolist(), strict=True)]
@@ -338,6 +341,9 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     named = packed.select(F.col("batch").alias("of"), "blob")
     answered = answers.where("batch >= 0").select("batch", "kind", "bucket", "blob")
     full = written(named.groupBy("of").cogroup(answered.groupBy("batch")).applyInPandas(join, "kind string, blob binary, code bigint, n bigint"), "lm-batches")
+    discard(packed)
+    discard(answers)
+    release(spark)
     batches = full.where("kind = 'batch'").select("blob")
 
     def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -347,14 +353,14 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     weights = [fit(*histogram(full.where("kind = 'held'")))]
     for _ in range(2, order):
-        weights.append(fit_higher(*histogram(_held_out(batches, order, n, v, list(weights)))))
+        weights.append(fit_higher(*histogram(_held_out(batches, order, bits, n, v, list(weights)))))
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for blob in rows.column(0):
-                (raw, off, _, _, is_held, known, ids), batch, counts = _counted(blob, order)
-                totals = [c.sum(axis=0) if order > 2 else c[0] for c in counts]
+                (raw, off, _, _, is_held, known, ids), batch, counts = _counted(blob, order, bits)
+                totals = [c.sum(axis=0) for c in counts]  # in 64 bits
                 tokens, seen, base, full_score = score(batch, totals, corpus, shared.value)
                 k = len(tokens)
                 yield pa.record_batch(
@@ -367,20 +373,20 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return batches.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def _counted(blob: pa.BinaryScalar, order: int) -> tuple[list[np.ndarray], Batch, list[np.ndarray]]:
+def _counted(blob: pa.BinaryScalar, order: int, bits: int) -> tuple[list[np.ndarray], Batch, list[np.ndarray]]:
     """(a batch's rows, its n-grams, their counts: by fold for orders above 2)."""
     parts = unpack(blob.as_buffer())
-    batch = Batch(parts[0], parts[1], order)
-    return parts[:7], batch, [c.reshape(FOLDS if order > 2 else 1, -1).astype(np.int64) for c in parts[7:]]
+    batch = Batch(parts[0], parts[1], order, bits)
+    return parts[:7], batch, [c.reshape(FOLDS if order > 2 else 1, -1) for c in parts[7:]]
 
 
-def _held_out(batches: DataFrame, order: int, n: list[int], v: int, weights: list[np.ndarray]) -> DataFrame:
+def _held_out(batches: DataFrame, order: int, bits: int, n: list[int], v: int, weights: list[np.ndarray]) -> DataFrame:
     """(code, n): the histogram for the next order to fit, by batch."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for blob in part.column(0):
-                (_, _, train, fold, *_), batch, counts = _counted(blob, order)
+                (_, _, train, fold, *_), batch, counts = _counted(blob, order, bits)
                 codes, times = held_out(batch, train, fold, counts, n, v, weights)
                 yield pa.record_batch([pa.array(codes, pa.int64()), pa.array(times, pa.int64())], names=["code", "n"])
                 del batch, counts
