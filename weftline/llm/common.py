@@ -44,11 +44,20 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = work_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors. The write's shuffle files,
+    which nothing reads again, go when it ends."""
+    spark, path = df.sparkSession, work_dir(df.sparkSession, tag)
+    before = spark.conf.get(_CLEAN_KEY, None)
+    spark.conf.set(_CLEAN_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_KEY, before) if before else spark.conf.unset(_CLEAN_KEY)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -59,11 +68,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Has Spark drop the shuffle files of finished steps now, which it does when the driver's JVM collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def tagged(docs: DataFrame, tag: str, stable: bool) -> DataFrame:
     """(_row, _doc, doc_id, text): rows by number, with all their columns in one, whatever their names.
 

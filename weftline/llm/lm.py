@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded, crc_mod, discard, mix, mix_int, pack, pieces, release, table, trim, unpack, utf8, word_hashes, written
+from weftline.llm.common import bounded, crc_mod, discard, mix, mix_int, pack, pieces, table, trim, unpack, utf8, word_hashes, written
 
 ORDER = 2  # of the query; trigrams ask for more disk than the check tool grants
 CHUNK = 8 << 20
@@ -317,82 +317,65 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = packed.agg(F.sum("bytes") + F.count("*")).first()[0] or 0
     buckets, bits = max(1, math.ceil(size / BUCKET_BYTES)), min(64, size.bit_length() + SPARE_BITS)
     answers = written(answer(ask(packed, buckets, order, bits)), "lm-counts")
-    release(spark)
     *n, v = answers.where("batch < 0").agg(*(F.coalesce(F.sum(F.col("n")[f]), F.lit(0)) for f in range(FOLDS)), F.coalesce(F.sum("v"), F.lit(0))).first()
     corpus = Corpus(sum(n), v)
 
     def join(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for blob in s["blob"]:
-            raw, off, train, fold, *rest = unpack(blob)
-            batch, counts, sums = Batch(raw, off, order, bits), [], []
+        for name, blob in zip(s["of"], s["blob"], strict=True):
+            raw, off, train, fold, *_ = unpack(blob)
+            batch, counts = Batch(raw, off, order, bits), []
             for kind in range(order):
                 got = [unpack(b)[0].reshape(FOLDS, -1) for b in a[a["kind"] == kind].sort_values("bucket")["blob"]]
-                folds = np.concatenate(got, axis=1) if got else np.zeros((FOLDS, 0), np.int64)
-                counts.append(folds)
-                sums.append(_small(folds if order > 2 else folds.sum(axis=0)))
+                counts.append(np.concatenate(got, axis=1) if got else np.zeros((FOLDS, 0), np.int64))
             codes, times = held_out(batch, train, fold, counts, n, v, [])
-            rows.append(("batch", pack(raw, off, train, fold, *rest, *sums), 0, 0))
-            rows += [("held", None, c, t) for c, t in zip(codes.tolist(), times.tolist(), strict=True)]
-            del batch, counts, sums
+            rows.append((name, pack(*(_small(c if order > 2 else c.sum(axis=0)) for c in counts)), 0, 0))
+            rows += [(None, None, c, t) for c, t in zip(codes.tolist(), times.tolist(), strict=True)]
+            del batch, counts
         trim()
-        return pd.DataFrame(rows, columns=["kind", "blob", "code", "n"])
+        return pd.DataFrame(rows, columns=["batch", "blob", "code", "n"]).astype({"batch": "Int64"})
 
     named = packed.select(F.col("batch").alias("of"), "blob")
     answered = answers.where("batch >= 0").select("batch", "kind", "bucket", "blob")
-    full = written(named.groupBy("of").cogroup(answered.groupBy("batch")).applyInPandas(join, "kind string, blob binary, code bigint, n bigint"), "lm-batches")
-    discard(packed)
+    full = written(named.groupBy("of").cogroup(answered.groupBy("batch")).applyInPandas(join, "batch bigint, blob binary, code bigint, n bigint"), "lm-batches")
     discard(answers)
-    release(spark)
-    batches = full.where("kind = 'batch'").select("blob")
+    batches = named.groupBy("of").cogroup(full.where("batch IS NOT NULL").select("batch", "blob").groupBy("batch"))
 
     def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         # LEVELS * (GRID + 1)^2 rows at most
         hist = rows.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
         return hist["code"].to_numpy(np.int64), hist["n"].to_numpy(np.float64)
 
-    weights = [fit(*histogram(full.where("kind = 'held'")))]
+    def next_order(done: list[np.ndarray]) -> DataFrame:
+        def run(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+            out = [held_out(batch, rows[2], rows[3], counts, n, v, done) for rows, batch, counts in _counted(s, a, order, bits)]
+            return pd.DataFrame({"code": np.concatenate([o[0] for o in out]), "n": np.concatenate([o[1] for o in out])})
+
+        return batches.applyInPandas(run, "code bigint, n bigint")
+
+    weights = [fit(*histogram(full.where("batch IS NULL")))]
     for _ in range(2, order):
-        weights.append(fit_higher(*histogram(_held_out(batches, order, bits, n, v, list(weights)))))
+        weights.append(fit_higher(*histogram(next_order(list(weights)))))
     shared = spark.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for blob in rows.column(0):
-                (raw, off, _, _, is_held, known, ids), batch, counts = _counted(blob, order, bits)
-                totals = [c.sum(axis=0) for c in counts]  # in 64 bits
-                tokens, seen, base, full_score = score(batch, totals, corpus, shared.value)
-                k = len(tokens)
-                yield pa.record_batch(
-                    [pa.array(ids, pa.int64(), mask=~known.astype(bool)), pa.array(is_held.astype(bool)), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array([corpus.n] * k, pa.int64()), pa.array(base), pa.array(full_score)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-                del batch, counts, totals
+    def run(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, _, _, _, is_held, known, ids), batch, counts in _counted(s, a, order, bits):
+            tokens, seen, base, full_score = score(batch, [c.sum(axis=0) for c in counts], corpus, shared.value)  # sums in 64 bits
+            doc_id = pd.arrays.IntegerArray(ids.astype(np.int64), ~known.astype(bool))
+            out.append(pd.DataFrame({"doc_id": doc_id, "held_out": is_held.astype(bool), "n_tokens": tokens, "n_known": seen, "train_tokens": corpus.n, "base_score": base, "score": full_score}))
+            del batch, counts
         trim()
+        return pd.concat(out, ignore_index=True)
 
-    return batches.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
+    return batches.applyInPandas(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
-def _counted(blob: pa.BinaryScalar, order: int, bits: int) -> tuple[list[np.ndarray], Batch, list[np.ndarray]]:
-    """(a batch's rows, its n-grams, their counts: by fold for orders above 2)."""
-    parts = unpack(blob.as_buffer())
-    batch = Batch(parts[0], parts[1], order, bits)
-    return parts[:7], batch, [c.reshape(FOLDS if order > 2 else 1, -1) for c in parts[7:]]
-
-
-def _held_out(batches: DataFrame, order: int, bits: int, n: list[int], v: int, weights: list[np.ndarray]) -> DataFrame:
-    """(code, n): the histogram for the next order to fit, by batch."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows:
-            for blob in part.column(0):
-                (_, _, train, fold, *_), batch, counts = _counted(blob, order, bits)
-                codes, times = held_out(batch, train, fold, counts, n, v, weights)
-                yield pa.record_batch([pa.array(codes, pa.int64()), pa.array(times, pa.int64())], names=["code", "n"])
-                del batch, counts
-        trim()
 
-    return batches.mapInArrow(run, "code bigint, n bigint")
+def _counted(s: pd.DataFrame, a: pd.DataFrame, order: int, bits: int) -> Iterator[tuple[list[np.ndarray], Batch, list[np.ndarray]]]:
+    """(a batch's rows, its n-grams, their counts: by fold for orders above 2) of a group of texts and their counts."""
+    for texts_, counts in zip(s["blob"], a["blob"], strict=True):
+        parts = unpack(texts_)
+        yield parts, Batch(parts[0], parts[1], order, bits), [c.reshape(FOLDS if order > 2 else 1, -1) for c in unpack(counts)]
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
