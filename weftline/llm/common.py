@@ -301,3 +301,18 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         out.append(np.frombuffer(body, kind, int(n), at))
         at += int(n) * kind.itemsize
     return out
+
+
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit keys as differences, byte by byte of their order, of which the high ones compress."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def from_gaps(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them all, flat."""
+    most = int(x.max()) if x.size else 0
+    return x.astype(next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if most < 1 << n), np.int64)).ravel()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded, crc_mod, discard, mix, mix_int, pack, pieces, table, trim, unpack, utf8, word_hashes, written
+from weftline.llm.common import bounded, crc_mod, discard, from_gaps, gaps, mix, mix_int, pack, pieces, small, table, trim, unpack, utf8, word_hashes, written
 
 ORDER = 2  # of the query; trigrams ask for more disk than the check tool grants
 CHUNK = 8 << 20
@@ -98,22 +98,6 @@ def _buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # sorted keys stay in order
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    most = int(x.max()) if x.size else 0
-    return x.astype(next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if most < 1 << n), np.int64)).ravel()
-
-
-def _pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte of their order, of which the high ones compress, and their counts by fold."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return pack(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).ravel(), _small(counts))
-
-
-def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw, counts = unpack(blob)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64), counts.reshape(FOLDS, -1)
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """(batch, bytes, blob): the rows, packed by batches of at most CHUNK bytes or one text; written once, so that a batch
     keeps its name and its rows whatever happens later."""
@@ -148,7 +132,7 @@ def ask(packed: DataFrame, buckets: int, order: int, bits: int) -> DataFrame:
                     counts = np.stack([b.counts(kind, train.astype(bool) & (fold == f)) for f in range(FOLDS)])
                     cuts = np.searchsorted(_buckets_of(keys, buckets), np.arange(buckets + 1))
                     some = np.flatnonzero(np.diff(cuts))
-                    blobs = [_pack_keys(keys[cuts[i] : cuts[i + 1]], counts[:, cuts[i] : cuts[i + 1]]) for i in some]
+                    blobs = [pack(gaps(keys[cuts[i] : cuts[i + 1]]), small(counts[:, cuts[i] : cuts[i + 1]])) for i in some]
                     n = len(some)
                     yield pa.record_batch([pa.array(some, pa.int32()), pa.array([name] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "kind", "blob"])
                 del b
@@ -163,14 +147,14 @@ def answer(asked: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
-        got = [_unpack_keys(b) for b in pdf["blob"]]
+        got = [(from_gaps(raw), counts.reshape(FOLDS, -1)) for raw, counts in map(unpack, pdf["blob"])]
         keys, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         total = np.empty((FOLDS, len(keys)), np.int64)
         for f in range(FOLDS):
             total[f] = np.bincount(inv, weights=np.concatenate([g[1][f] for g in got]), minlength=len(keys))
         rows, at = [], 0
         for name, g in zip(pdf["batch"], got, strict=True):
-            rows.append((name, kind, bucket, pack(_small(total[:, inv[at : at + len(g[0])]])), None, 0))
+            rows.append((name, kind, bucket, pack(small(total[:, inv[at : at + len(g[0])]])), None, 0))
             at += len(g[0])
         if kind == 0:
             rows.append((-1, kind, bucket, None, total.sum(axis=1).tolist(), int((total.sum(axis=0) > 0).sum())))
@@ -329,7 +313,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 got = [unpack(b)[0].reshape(FOLDS, -1) for b in a[a["kind"] == kind].sort_values("bucket")["blob"]]
                 counts.append(np.concatenate(got, axis=1) if got else np.zeros((FOLDS, 0), np.int64))
             codes, times = held_out(batch, train, fold, counts, n, v, [])
-            rows.append((name, pack(*(_small(c if order > 2 else c.sum(axis=0)) for c in counts)), 0, 0))
+            rows.append((name, pack(*(small(c if order > 2 else c.sum(axis=0)) for c in counts)), 0, 0))
             rows += [(None, None, c, t) for c, t in zip(codes.tolist(), times.tolist(), strict=True)]
             del batch, counts
         trim()
