@@ -116,6 +116,31 @@ def test_crawl_loop_and_indexer(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "index/out_links")).count() == 2
 
 
+def test_indexer_feeds_the_search(spark, tmp_path):
+    """Pages indexed twice, read as one index: the later one counts, and its out-links are resolved."""
+    from weftline.functions.html import parse_html
+    from weftline.functions.text import simple_terms
+    from weftline.operators import search
+
+    src, out = str(tmp_path / "pages"), str(tmp_path / "index")
+    go = lambda: drain(stream.index_pages(stream.page_source(spark, src), out, str(tmp_path / "ck"), simple_terms))
+
+    def pages(*rows):
+        df = spark.createDataFrame([(f"http://s.org/d/{n}.html", h) for n, h in rows], "url string, html string")
+        df.select(parse_html("url", "html").alias("p")).select("p.*").coalesce(1).write.mode("append").parquet(src)
+
+    pages(("a", "<title>one</title><p>old words <a href='../b.html'>b</a>"), ("b", "<title>two</title><p>other words"))
+    go()
+    pages(("a", "<title>one</title><p>new text <a href=c.html>c</a>"))
+    go()
+    index = search.read_indexed(spark, out)
+    md5 = {n: r["k"] for n in "ab" for r in spark.sql(f"SELECT md5('http://s.org/d/{n}.html') AS k").collect()}
+    find = lambda q: {r["doc_key"] for r in search.best_fields(index, search.terms_of(q), {"title": 2.0, "text": 1.0}).collect()}
+    assert find("old") == set() and find("new") == {md5["a"]} and find("words") == {md5["b"]} and find("one") == {md5["a"]}
+    assert {(r["field"], r["n_docs"]) for r in index.stats.collect()} >= {("title", 2), ("text", 2)}
+    assert {r["link"] for r in spark.read.parquet(f"{out}/out_links").collect()} == {"http://s.org/b.html", "http://s.org/d/c.html"}
+
+
 def test_feed_stream(spark, tmp_path):
     pages = spark.createDataFrame([(f"L{i}", f'<div id="b">Body {i}</div>') for i in range(4)], "url string, html string")
     sites = spark.createDataFrame([("r", "id", "b")], "rss_url string, attr string, value string")
@@ -160,6 +185,9 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.upsert(cell(("r", "a", 1), ("r", "b", 2)), path, ["row", "q"])
     sinks.upsert(cell(("r", "b", 3), ("s", "a", 4)), path, ["row", "q"])
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("r", "a", 1), ("r", "b", 3), ("s", "a", 4)]
+    sinks.upsert(cell(("s", "a", 5), ("s", "a", 4), ("s", "a", 5)), path, ["row", "q"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("r", "a", 1), ("r", "b", 3), ("s", "a", 5)]
+    sinks.upsert(cell(("s", "a", 4)), path, ["row", "q"])
     assert {r["row"]: r["cells"] for r in sinks.wide_rows(spark.read.parquet(path), "row", "q", "v").collect()} == {"r": {"a": 1, "b": 3}, "s": {"a": 4}}
     sinks.create_table(spark, "marks", "k string")
     sinks.create_table(spark, "marks", "k string")

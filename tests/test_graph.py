@@ -59,6 +59,20 @@ def test_domain_edges(spark):
     assert graph.out_neighbors(back, "http://nowhere").collect() == []
 
 
+def test_links_however_they_are_written(spark):
+    page = """<a href="/plain.html">Plain</a> <a class=x href='/single.html'>Single</a> <A HREF="/upper.html">Upper</A>
+        <a href="/nested.html">With <b>bold</b> text</a> <a title="a > b" href="/gt.html">Gt</a> <a href="../up.html">Up &amp; away</a>
+        <a href=/bare.html>Bare</a> <a data-href="/not.html">Not</a> <a href="/q.php?a=1&amp;b=2">Entity</a> <a name="top">None</a>"""
+    pages = spark.createDataFrame([(1, "http://h.org/x/y.html", page), (2, "http://h.org", None)], "page_id bigint, url string, html string")
+    got = {r["link"].removeprefix("http://h.org/"): r["anchor"] for r in graph.page_links(pages).collect()}
+    assert got == {
+        "plain.html": "Plain", "single.html": "Single", "upper.html": "Upper", "nested.html": "With bold text", "gt.html": "Gt", "up.html": "Up & away",
+        "bare.html": "Bare", "q.php?a=1&b=2": "Entity",
+    }
+    # what the JVM's path sees of them
+    assert {r["link"] for r in graph.plain_page_links(pages).collect()} <= {f"http://h.org/{x}" for x in ("plain.html", "q.php?a=1&amp;b=2", "not.html")}
+
+
 def test_resolve_links_dedup(spark):
     rows = [(1, "", i, h, a) for i, (h, a) in enumerate([("http://www.google.com", "first"), ("http://google.com", "second"), ("http://www.google.com/", "third")])]
     anchors = spark.createDataFrame(rows, "page_id int, url string, at int, href string, anchor string")

@@ -1,7 +1,8 @@
 """HTML to nested pages.
 
-``parse_html`` is a pandas UDF over the standard library's parser and gives the whole page; the regular-expression
-functions stay in the JVM and are what the graph queries use on pages where tags are plainly written.
+``parse_html`` and ``parse_anchors`` are pandas UDFs over the standard library's parser; they take tags however they are
+written. The regular-expression functions stay in the JVM and know plainly written tags only: lower case, double quotes,
+no tags inside.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.schemas import PAGE
 
@@ -128,6 +130,29 @@ def element_text(html: str | None, attr: str, value: str) -> str | None:
     return _clean(found) if p.depth or p.done else None
 
 
+class _Anchors(_Parser):
+    """The anchors alone, by the same rules."""
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "a" and not any(k == "href" for k, _ in attrs):
+            self.into = [x for x in self.into if x[0] != "a"]
+        elif tag == "a" or tag in _HIDDEN:
+            super().handle_starttag(tag, attrs)
+
+
+def page_anchors(html: str | None) -> list[dict[str, str]]:
+    """The anchors of a page that have a href, in order."""
+    p = _Anchors()
+    p.feed(html or "")
+    p.close()
+    return [{"href": h, "anchor": _clean(t)} for h, t in p.anchors]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("anchor", T.StringType())])))
+def parse_anchors(html: pd.Series) -> pd.Series:
+    return html.map(page_anchors)
+
+
 # ---- in the JVM ------------------------------------------------------------------------------
 
 _ANCHOR = '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.html import anchors_of
+from weftline.functions.html import anchors_of, parse_anchors
 from weftline.functions.urls import abs_link, domain, is_valid_link, normalize_url, resolve_url, strip_www
 from weftline.session import bucketed
 from weftline.sources.sinks import ranked
@@ -35,10 +35,16 @@ def resolve_links(anchors: DataFrame, up: bool = True) -> DataFrame:
     return first.where("link <> url")
 
 
-def page_links(pages: DataFrame, up: bool = False) -> DataFrame:
-    """(page_id, url, link, anchor) of (page_id, url, html), from plainly written anchors, in the JVM."""
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, link, anchor) of (page_id, url, html): all anchors that the HTML parser finds, '..' references resolved."""
+    found = pages.select("page_id", "url", F.posexplode(parse_anchors(F.col("html"))).alias("at", "a"))
+    return resolve_links(found.select("page_id", "url", "at", "a.href", "a.anchor"))
+
+
+def plain_page_links(pages: DataFrame) -> DataFrame:
+    """Likewise in the JVM, for pages known to be written plainly: other anchors, and '..' references, are not seen."""
     found = pages.select("page_id", "url", F.posexplode(anchors_of(F.col("html"))).alias("at", "a"))
-    return resolve_links(found.select("page_id", "url", "at", "a.href", "a.anchor"), up)
+    return resolve_links(found.select("page_id", "url", "at", "a.href", "a.anchor"), up=False)
 
 
 def domain_edges(links: DataFrame) -> DataFrame:

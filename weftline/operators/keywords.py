@@ -26,9 +26,10 @@ def tfidf(terms: DataFrame, n_docs: int, key: str = "doc_id") -> DataFrame:
 
 
 def interesting_keywords(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, rank, keyword, score): each document's k terms of highest tf-idf, ties by term, divided by the highest."""
+    """(key, rank, keyword, score): each document's k terms of highest tf-idf, ties by term, divided by the highest. Scores
+    are rounded to nine places before they are compared, so that equal ones tie whatever order they were computed in."""
     terms = doc_terms(docs, key, text)
-    top = ranked(tfidf(terms, docs.count(), key), [key], [F.desc("score"), F.asc("term")], k)
+    top = ranked(tfidf(terms, docs.count(), key).withColumn("score", F.round("score", 9)), [key], [F.desc("score"), F.asc("term")], k)
     best = F.max("score").over(Window.partitionBy(key))
     return top.select(key, "rank", F.col("term").alias("keyword"), (F.col("score") / best).alias("score"))
 

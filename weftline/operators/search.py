@@ -43,6 +43,14 @@ class Index:
         return Index(key, *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
 
 
+def read_indexed(spark, path: str, key: str = "doc_key") -> Index:
+    """The index that the stream's indexer writes batch by batch: of each page the rows of its last batch."""
+    read = lambda t: spark.read.parquet(f"{path}/{t}")
+    last = read("keys").groupBy(key).agg(F.max("epoch").alias("epoch"))
+    postings, lengths = (read(t).join(last, [key, "epoch"], "left_semi").drop("epoch") for t in ("postings", "lengths"))
+    return Index(key, postings, lengths, lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")))
+
+
 def page_fields(pages: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """The seven text fields of nested pages (PAGE): h2 joined with a space before each; description and keywords
     from the last meta of exactly that name; anchors of (link, anchors) rows, if given, else empty."""
@@ -163,6 +171,7 @@ def decay(ts: Column, now: Column, scale_min: float = 240.0, offset_min: float =
 
 
 def news_search(index: Index, news: DataFrame, query: str, now: Column, ts: str = "pub_date", boosts: dict[str, float] = NEWS_BOOSTS, n: int = 10) -> DataFrame:
-    """(key, pub_date, score): the n best news by BM25 times the decay of their age."""
+    """(key, pub_date, score): the n best news by BM25 times the decay of their age; scores are rounded to six places before
+    they are compared."""
     hits = best_fields(index, terms_of(query), boosts).join(news.select(index.key, ts), index.key)
-    return top_hits(hits.withColumn("score", F.col("score") * decay(F.col(ts), now)), index.key, n)
+    return top_hits(hits.withColumn("score", F.round(F.col("score") * decay(F.col(ts), now), 6)), index.key, n)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as words
@@ -212,19 +212,19 @@ def pagerank_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOOPED = "looped AS (SELECT src, dst FROM edges UNION SELECT src, src FROM edges)"
 
 
-@query(f"WITH {_BIPARTITE}, {_LOOPED}, {_rank_sql('looped', 5)} SELECT md5(node) AS row_key, round(rank, 6) AS rank FROM r5")
+@query(f"WITH {_BIPARTITE}, {_LOOPED}, {_rank_sql('looped', 30)} SELECT md5(node) AS row_key, round(rank, 6) AS rank FROM r30")
 def page_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(graph.page_pagerank(_bipartite(spark, sf_dir), 5), "rank")
+    return _rounded(graph.page_pagerank(_bipartite(spark, sf_dir), 30), "rank")
 
 
-_DOMAIN_RANK = f"{_NATION}, loops AS (SELECT src, dst FROM nation_edges UNION SELECT src, src FROM nation_edges), inner_edges AS (SELECT * FROM loops WHERE dst IN (SELECT src FROM loops)), {_rank_sql('inner_edges', 10)}"
+_DOMAIN_RANK = f"{_NATION}, loops AS (SELECT src, dst FROM nation_edges UNION SELECT src, src FROM nation_edges), inner_edges AS (SELECT * FROM loops WHERE dst IN (SELECT src FROM loops)), {_rank_sql('inner_edges', 40)}"
 
 
 def _domain_rank(edges: DataFrame) -> DataFrame:
-    return graph.pagerank(edges, 10, self_loops=True, restrict=True)
+    return graph.pagerank(edges, 40, self_loops=True, restrict=True)
 
 
-@query(f"WITH {_DOMAIN_RANK} SELECT node, round(rank, 6) AS rank FROM r10")
+@query(f"WITH {_DOMAIN_RANK} SELECT node, round(rank, 6) AS rank FROM r40")
 def domain_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_domain_rank(_nation_edges(spark, sf_dir)), "rank")
 
@@ -234,7 +234,7 @@ def rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.rank_stats(graph.pagerank(_bipartite(spark, sf_dir), 5)), "total", "mean")
 
 
-_TOP = "top AS (SELECT node FROM (SELECT node, round(rank, 6) AS rank FROM r10) ORDER BY rank DESC, node LIMIT 10)"
+_TOP = "top AS (SELECT node FROM (SELECT node, round(rank, 6) AS rank FROM r40) ORDER BY rank DESC, node LIMIT 10)"
 
 
 @query(f"WITH {_DOMAIN_RANK}, {_TOP} SELECT src, dst, weight FROM nation_edges WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)")
@@ -257,11 +257,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tfidf5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best keywords; scores are rounded before they are compared, so that both engines break the same ties."""
-    docs = _documents(spark, sf_dir)
-    scores = keywords.tfidf(keywords.doc_terms(docs), docs.count()).withColumn("score", F.round("score", 9))
-    top = sinks.ranked(scores, ["doc_id"], [F.desc("score"), F.asc("term")], 5)
-    return top.select("doc_id", "rank", F.col("term").alias("keyword"), (F.col("score") / F.max("score").over(Window.partitionBy("doc_id"))).alias("score"))
+    return keywords.interesting_keywords(_documents(spark, sf_dir))
 
 
 @query(f"WITH {_TERMS} SELECT doc_id, term, tf FROM terms")
@@ -313,8 +309,8 @@ def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TFIDF} SELECT md5('doc' || doc_id) AS row_key, 'doc' || doc_id AS url, keyword, round(score, 6) AS score FROM best")
 def keyword_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.lit("doc"), F.col("doc_id"))
-    return _rounded(_tfidf5(spark, sf_dir).select(F.md5(url).alias("row_key"), url.alias("url"), "keyword", "score"), "score")
+    docs = _documents(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id")).alias("url"), "text")
+    return _rounded(keywords.keyword_transfer(docs, "url"), "score")
 
 
 # ---- search ----------------------------------------------------------------------------------
@@ -398,7 +394,7 @@ def search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_INDEX}, {_best_sql(_TEXT, 5.0, 2.0)}, {_DOMAIN_RANK},
 first AS (SELECT doc_id, score FROM (SELECT doc_id, round(score, 6) AS score FROM best) ORDER BY score DESC, doc_id LIMIT 1000),
 named AS (SELECT doc_id, score, 'n' || substr(source, 4) AS node FROM first JOIN documents USING (doc_id))
-SELECT doc_id, round(score * CASE WHEN rank = 1.0 THEN 0 ELSE rank END, 6) AS score FROM named JOIN r10 USING (node) WHERE rank <> 1.0 ORDER BY 2 DESC, 1 LIMIT 10""")
+SELECT doc_id, round(score * CASE WHEN rank = 1.0 THEN 0 ELSE rank END, 6) AS score FROM named JOIN r40 USING (node) WHERE rank <> 1.0 ORDER BY 2 DESC, 1 LIMIT 10""")
 def rerank_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best thousand by text, re-ranked by their source's rank in the nations' graph."""
     hits = _rounded(search.simple_search(_index(spark, sf_dir), _TEXT), "score")
@@ -414,9 +410,8 @@ def news_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News search; documents are dated by their number, in minutes of a day."""
     base = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1440 * 60)
     dated = _documents(spark, sf_dir).select("doc_id", base.alias("pub_date"))
-    hits = search.best_fields(_index(spark, sf_dir), search.terms_of(_TEXT), search.NEWS_BOOSTS).join(dated, "doc_id")
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
-    return search.top_hits(hits.select("doc_id", F.round(F.col("score") * search.decay(F.col("pub_date"), now), 6).alias("score")), "doc_id")
+    return search.news_search(_index(spark, sf_dir), dated, _TEXT, now).select("doc_id", "score")
 
 
 # ---- crawl and news on tables ----------------------------------------------------------------

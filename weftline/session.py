@@ -40,7 +40,8 @@ def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
     spark = df.sparkSession
     name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    # dealt as the buckets are, so that each bucket is one file
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # external: the files stay
     return out

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.session import written
-
 
 def create_table(spark: SparkSession, name: str, ddl: str, location: str | None = None) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet" + (f" LOCATION '{location}'" if location else ""))
@@ -19,11 +19,14 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Merge rows into a Parquet table: cells are unique by key, new ones replace old ones.
+    """Merge rows into a Parquet table: cells are unique by key, new ones replace old ones; of new rows with one key the
+    largest (of all columns, in order) stays.
 
-    The merged table is written beside the old one and then replaces it, so that a failure leaves the old one.
+    The merged table is written beside the old one and takes its place by renaming, so that a failure leaves the old one,
+    under its own name or with ``.old`` behind it.
     """
     spark = df.sparkSession
+    df = last_wins(df.withColumn("_all", F.struct(*df.columns)), keys, "_all").drop("_all")
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001
@@ -32,7 +35,15 @@ def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
         df.write.mode("overwrite").parquet(path)
         return
     merged = old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df)
-    written(merged, "upsert").write.mode("overwrite").parquet(path)
+    path, new, was = path.rstrip("/"), f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old"
+    merged.write.parquet(new)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    store = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(at(was), True)
+    if not (store.rename(at(path), at(was)) and store.rename(at(new), at(path))):
+        raise OSError(f"{path} is not replaced; the merged table is {new}")
+    store.delete(at(was), True)
 
 
 def wide_rows(cells: DataFrame, key: str, qualifier: str, value: str) -> DataFrame:

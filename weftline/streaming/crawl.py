@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.functions.codec import decode_pages
 from weftline.functions.html import parse_html
 from weftline.functions.lang import is_english
 from weftline.functions.urls import host_name, normalize_url
@@ -22,11 +23,17 @@ from weftline.schemas import PAGE
 
 
 def link_source(spark: SparkSession, path: str, fmt: str = "json", schema: str = "link string, ts timestamp", **options: str) -> DataFrame:
-    """A stream of links; on a cluster fmt may be kafka, with its options."""
+    """A stream of links. From kafka (with its options) their payload is a line of text, and ts the record's time."""
+    if fmt == "kafka":
+        got = spark.readStream.format(fmt).options(**options).load()
+        return got.select(F.col("value").cast("string").alias("link"), F.col("timestamp").alias("ts"))
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
 def page_source(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """A stream of pages (PAGE). From kafka (with its options) their payload is what the page codec wrote."""
+    if fmt == "kafka":
+        return decode_pages(spark.readStream.format(fmt).options(**options).load())
     return spark.readStream.format(fmt).schema(PAGE).options(**options).load(path)
 
 
@@ -118,18 +125,21 @@ def crawl(links: DataFrame, pages: DataFrame, out: str, checkpoint: str, interva
 
 
 def index_pages(pages: DataFrame, out: str, checkpoint: str, analyze):
-    """The indexer: rows without url or text are skipped; the rest go to postings and out-links, a folder per batch."""
+    """The indexer: rows without url or text are skipped; the rest go to keys, postings, lengths and out-links (resolved and
+    checked), a folder per batch. ``search.read_indexed`` reads them as one index, in which a page's last batch counts."""
     from weftline.operators.search import build_index, page_fields
 
     fields = ["title", "text", "h1", "h2", "description", "keywords", "anchors"]
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch = batch.where("url IS NOT NULL AND text IS NOT NULL").persist()
+        batch = batch.where("url IS NOT NULL AND text IS NOT NULL").dropDuplicates(["url"]).persist()
         try:
             index = build_index(page_fields(batch), "doc_key", fields, analyze)
             index.postings.write.mode("overwrite").parquet(f"{out}/postings/epoch={epoch}")
             index.lengths.write.mode("overwrite").parquet(f"{out}/lengths/epoch={epoch}")
-            links = batch.select(F.md5("url").alias("row_key"), "url", F.explode("links").alias("l")).select("row_key", "url", "l.*")
+            batch.select(F.md5("url").alias("doc_key")).write.mode("overwrite").parquet(f"{out}/keys/epoch={epoch}")
+            raw = batch.select(F.md5("url").alias("page_id"), "url", F.posexplode("links").alias("at", "l"))
+            links = resolve_links(raw.select("page_id", "url", "at", F.col("l.link").alias("href"), "l.anchor")).withColumnRenamed("page_id", "row_key")
             links.write.mode("overwrite").parquet(f"{out}/out_links/epoch={epoch}")
         finally:
             batch.unpersist()
