@@ -33,6 +33,7 @@ BLOCK = 512
 SHARD_IDS = 4 << 20
 CHUNK = 4 << 20
 KNOWN = 1_500_000
+JOINED = 100
 END = 0
 
 
@@ -232,6 +233,31 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many are each piece's, where they begin). Pieces go to the library joined, where its own splitting parts
+        them again: those with a space before them as they are, others by line ends; blank ones go alone."""
+        lead = [i for i, p in enumerate(names) if p[0] == " " and not p.isspace()]
+        plain = [i for i, p in enumerate(names) if p[0] != " " and not p.isspace()]
+        flat, size, begin, at = [np.zeros(0, self.kind)], np.zeros(len(names), np.int32), np.zeros(len(names), np.int64), 0
+        for rows, gap in ((lead, ""), (plain, "\n")):
+            parts = [rows[k : k + JOINED] for k in range(0, len(rows), JOINED)]
+            for part, e in zip(parts, self.lib.encode_batch([gap.join(names[i] for i in part) for part in parts], add_special_tokens=False), strict=True):
+                ids, word = np.array(e.ids, self.kind), np.array(e.word_ids, np.int64)
+                if gap:
+                    ids, word = ids[word % 2 == 0], word[word % 2 == 0] // 2
+                if len(word) == 0 or word[-1] != len(part) - 1 or (np.diff(word) > 1).any():
+                    raise ValueError("the library splits pieces otherwise than this encoder")
+                size[part] = count = np.bincount(word, minlength=len(part))
+                begin[part] = at + np.cumsum(count) - count
+                flat.append(ids)
+                at += len(ids)
+        alone = [i for i, p in enumerate(names) if p.isspace()]
+        for i, ids in zip(alone, self._ids([names[i] for i in alone]), strict=True):
+            size[i], begin[i] = len(ids), at
+            flat.append(np.array(ids, self.kind))
+            at += len(ids)
+        return np.concatenate(flat), size, begin
+
     def split(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(byte starts of the pieces of all rows, rows that the library must take whole)."""
         n = len(raw)
@@ -311,12 +337,10 @@ class Encoder:
             fresh = np.concatenate([fresh[keep], fresh[~keep]])  # those to be known come first
             k = int(keep.sum())
             data = raw.tobytes()
-            ids = self._ids([data[x:y].decode() for x, y in zip(a[fresh].tolist(), (a[fresh] + n[fresh]).tolist(), strict=True)])
-            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-            new = np.fromiter((x for i in ids for x in i), self.kind, int(sizes.sum()))
-            ends_ = np.cumsum(sizes)
-            flat = np.concatenate([self.flat, new])
-            size[fresh], begin[fresh] = sizes, len(self.flat) + ends_ - sizes
+            names = [data[x:y].decode() for x, y in zip(a[fresh].tolist(), (a[fresh] + n[fresh]).tolist(), strict=True)]
+            (new, size[fresh[:k]], at1), (more, size[fresh[k:]], at2) = self._pieces(names[:k]), self._pieces(names[k:])
+            begin[fresh[:k]], begin[fresh[k:]] = len(self.flat) + at1, len(self.flat) + len(new) + at2
+            flat = np.concatenate([self.flat, new, more])
             to = fresh[:k]
             order = np.argsort(h[to])
             to = to[order]
@@ -326,7 +350,7 @@ class Encoder:
             self.keys, self.at = np.insert(self.keys, place[to], h[to]), np.insert(self.at, place[to], len(self.size) + np.arange(len(to), dtype=np.int32))
             self.bytes = np.concatenate([self.bytes, own[:, to]], axis=1)
             self.first, self.size = np.concatenate([self.first, begin[to]]), np.concatenate([self.size, size[to]])
-            self.flat = flat[: len(self.flat) + (int(ends_[k - 1]) if k else 0)]
+            self.flat = flat[: len(self.flat) + len(new)]
         self.now = flat
         return size[inv], begin[inv]
 
