@@ -225,7 +225,8 @@ class Spans:
         first = np.empty(len(names), np.int64)
         first[inv[::-1]] = np.arange(len(h) - 1, -1, -1)
         n, to = ends - starts, first[inv]
-        if np.array_equal(n[to], n) and self.same(starts[to], starts, n):
+        long = np.flatnonzero(n > 8)  # of shorter ones the hash and the length are the bytes
+        if np.array_equal(n[to], n) and self.same(starts[to[long]], starts[long], n[long]):
             return first, inv
         known: dict[bytes, int] = {}  # two spans share a hash
         data, first = self.raw.tobytes(), []
