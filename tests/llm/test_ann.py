@@ -60,9 +60,25 @@ def test_bounds_hold():
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal((50, 64))
     bits, norm, f = ann.encode(x)
     assert bits.shape == (2000, 8) and np.allclose(norm, np.linalg.norm(x, axis=1))
-    est, err = ann.estimates(bits, norm, f, q)
-    assert np.mean(np.abs(est - q @ x.T) <= err) > 0.99
+    est, err = ann.estimates(bits, norm, f, ann.Queries(q), slice(0, 50), 64)
+    assert np.mean(np.abs(est - q @ x.T) <= err) > 0.93
     assert np.abs(np.mean(est - q @ x.T)) < 0.05  # unbiased
+    # the popcounts give the product of signs and quantised components
+    turned = q @ ann.rotation(64)
+    low, step = turned.min(axis=1)[:, None], (turned.max(axis=1) - turned.min(axis=1))[:, None] / 15
+    plain = (np.rint((turned - low) / step) * step + low) @ np.where(np.unpackbits(bits, axis=1), 1.0, -1.0).T
+    assert np.allclose(est, plain * norm / (f * 8), atol=1e-3)
+
+
+def test_blocks_are_read_by_rows(spark):
+    from weftline.llm.common import work_dir
+
+    rng, folder = np.random.default_rng(4), work_dir(spark, "test-blocks")
+    v = rng.standard_normal((100, 12))
+    ann.Block.write(folder, "x", 12, 3, np.arange(100) * 2, np.arange(100), v)
+    block = ann.Block(folder, "x", 12, 3)
+    assert (block.vectors() == v).all() and (block.vectors(np.array([1, 5, 99])) == v[[1, 5, 99]]).all() and (block.vectors(np.arange(50)) == v[:50]).all()
+    assert (block.bits == ann.encode(v)[0]).all() and block.cls[-1] == 198
 
 
 def test_few_vectors(spark, sf):

@@ -3,11 +3,15 @@
 A unit vector o is turned by a seeded random rotation; its code is the signs of the turned vector, packed, and
 <o, q> is estimated for any q by <code, q'> / <code, o'>, with an error of at most
 EPSILON * sqrt((1 - f^2) / f^2 / (dim - 1)) * |q|, f = <code, o'>, but for rare cases (Gao and Long, 2024).
-Stored are the packed bits and two scalars: the norm and f.
+A query is turned once and quantised to QUERY_BITS bits a component, by bit-planes, so that an estimate is a weighted
+sum of popcounts of code & plane; what quantising can add is part of the bound.
 
-A block of queries meets a block of the index: estimates come from the bits; the best few estimates are
-computed exactly, which gives each query a threshold; every vector whose upper bound reaches it is reranked on
-the original components in double precision. Each pair of blocks returns at most k + 1 rows a query.
+The index is written once, in blocks: a file of codes (packed bits, norm and f of each vector) and one of the original
+vectors; queries likewise. Each block of queries meets each block of codes twice. First the PROBE best estimates of a
+query over all blocks are computed exactly, and the (k + 1)-th best of these is its threshold. Then every vector whose
+upper bound reaches the threshold is reranked on the original components in double precision, which are read from the
+files for these vectors alone where they are few. No vector is shuffled; each pair of blocks returns at most k + 1
+rows a query.
 
 Equal vectors are one entry of the index: the k + 1 smallest ids of a vector stand for it, which is all that
 any result can hold, and equal queries are searched once. So a vector with a third of the rows is no burden.
@@ -19,15 +23,20 @@ query's own id is never among its results; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, written
+from weftline.llm.common import open_shared, table, work_dir, write_shared, written
 
-EPSILON = 3.0
-QUERY_ROWS, INDEX_ROWS = 4096, 8192
+EPSILON = 1.9
+QUERY_BITS = 4
+PROBE = 64
+QUERY_ROWS, INDEX_ROWS = 2048, 4096
 DIMS = 1 << 16
 SEED = 20240501
 _rotations: dict[tuple[int, int], np.ndarray] = {}
@@ -48,47 +57,123 @@ def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), norm, np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1])
 
 
-def estimates(bits: np.ndarray, norm: np.ndarray, f: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated inner products, their error bounds), queries by vectors; queries are not turned yet."""
-    dim = queries.shape[1]
-    turned = (queries @ rotation(dim)).astype(np.float32)
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    est = (turned @ signs.T) * (norm / (f * np.sqrt(dim))).astype(np.float32)
-    bound = EPSILON * norm * np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / max(dim - 1, 1))
-    return est, (np.linalg.norm(queries, axis=1)[:, None] * bound[None, :]).astype(np.float32) + 1e-6
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Packed bits as 64-bit words, padded by zeros."""
+    out = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+    out[:, : bits.shape[1]] = bits
+    return out.view(np.uint64)
+
+
+class Queries:
+    """Turned and quantised: component i of query q is low + step * (sum of 2^j at the j-th plane's bit i)."""
+
+    def __init__(self, queries: np.ndarray) -> None:
+        turned = queries @ rotation(queries.shape[1])
+        self.norm = np.linalg.norm(queries, axis=1)
+        self.low = turned.min(axis=1)
+        self.step = np.maximum((turned.max(axis=1) - self.low) / ((1 << QUERY_BITS) - 1), 1e-300)
+        whole = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = [_words(np.packbits(whole >> j & 1, axis=1)) for j in range(QUERY_BITS)]
+        self.total = self.low * queries.shape[1] + self.step * whole.sum(axis=1)
+
+
+def estimates(bits: np.ndarray, norm: np.ndarray, f: np.ndarray, queries: Queries, rows: slice, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated inner products, their error bounds), queries by vectors."""
+    codes = _words(bits)
+    ones = np.bitwise_count(codes).sum(axis=1)
+    step = queries.step[rows].astype(np.float32)[:, None]
+    est = np.zeros((len(step), len(codes)), np.float32)
+    for j, plane in enumerate(queries.planes):
+        for w in range(codes.shape[1]):
+            est += np.bitwise_count(codes[:, w] & plane[rows, w][:, None]) * np.float32(1 << j)
+    est *= 2 * step
+    # signs are twice the bits less one
+    est += 2 * queries.low[rows].astype(np.float32)[:, None] * ones.astype(np.float32) - queries.total[rows].astype(np.float32)[:, None]
+    est *= (norm / (f * np.sqrt(dim))).astype(np.float32)
+    spread = np.sqrt(np.maximum(1 - f * f, 0) / max(dim - 1, 1)) * norm / f
+    rounding = queries.step[rows][:, None] / np.sqrt(12) * (norm / f)[None, :]
+    return est, (EPSILON * np.hypot(queries.norm[rows][:, None] * spread[None, :], rounding)).astype(np.float32) + 1e-6
+
+
+# ---- blocks in the shared folder -------------------------------------------------------------
 
 
-def _exact(queries: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, step: int = 1 << 17) -> np.ndarray:
-    out = np.empty(len(qi))
+class Block:
+    """A block's files: ids of vectors, codes and scalars in one, originals in the other."""
+
+    def __init__(self, folder: str, kind: str, dim: int, number: int) -> None:
+        self.dim, self.at = dim, f"{folder}/{kind}-{dim}-{number}"
+        store, path = open_shared(f"{self.at}.codes")
+        with store.open_input_file(path) as f:
+            raw = f.read()
+        n = self.n = int(np.frombuffer(raw, np.int64, 1)[0])
+        cells = np.frombuffer(raw, np.int64, 2 * n, 8)
+        self.cls, self.first_id = cells[:n], cells[n:]
+        scalars = np.frombuffer(raw, np.float64, 2 * n, 8 + 16 * n)
+        self.norm, self.f = scalars[:n], scalars[n:]
+        self.bits = np.frombuffer(raw, np.uint8, -1, 8 + 32 * n).reshape(n, -1)
+
+    @staticmethod
+    def write(folder: str, kind: str, dim: int, number: int, cls: np.ndarray, first_id: np.ndarray, v: np.ndarray) -> None:
+        bits, norm, f = encode(v)
+        parts = (np.array([len(cls)], np.int64), cls.astype(np.int64), first_id.astype(np.int64), norm, f, bits)
+        write_shared(f"{folder}/{kind}-{dim}-{number}.codes", b"".join(np.ascontiguousarray(p).tobytes() for p in parts))
+        write_shared(f"{folder}/{kind}-{dim}-{number}.vectors", np.ascontiguousarray(v, np.float64).tobytes())
+
+    def vectors(self, rows: np.ndarray | None = None) -> np.ndarray:
+        """The originals of some rows, in order; the whole file is read where they are many."""
+        store, path = open_shared(f"{self.at}.vectors")
+        with store.open_input_file(path) as f:
+            if rows is None or 8 * len(rows) > self.n:
+                out = np.frombuffer(f.read(), np.float64).reshape(self.n, self.dim)
+                return out if rows is None else out[rows]
+            size = 8 * self.dim
+            return np.frombuffer(b"".join(f.read_at(size, int(r) * size) for r in rows), np.float64).reshape(len(rows), self.dim)
+
+
+def _exact(queries: np.ndarray, x: Block, qi: np.ndarray, xi: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    rows, at = np.unique(xi, return_inverse=True)
+    v, out = x.vectors(rows), np.empty(len(qi))
     for a in range(0, len(qi), step):
-        out[a : a + step] = np.einsum("ij,ij->i", queries[qi[a : a + step]], x[xi[a : a + step]])
+        out[a : a + step] = np.einsum("ij,ij->i", queries[qi[a : a + step]], v[at[a : a + step]])
     return out
 
 
-def search_block(queries: np.ndarray, x: np.ndarray, bits: np.ndarray, norm: np.ndarray, f: np.ndarray, k: int, own: np.ndarray | None = None, probe: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query rows, vector rows, exact scores): for each query all vectors that can be among its k best here.
-
-    ``own``: for each query the row of its own vector here, or -1; it counts for nothing in the threshold.
-    """
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 23) // max(len(x), 1))
-    for a in range(0, len(queries), step):
-        q = queries[a : a + step]
-        est, err = estimates(bits, norm, f, q)
-        rows = np.arange(len(q))
-        best = min(len(x), max(probe, 2 * k))
-        if best < len(x):
-            top = np.argpartition(est, len(x) - best, axis=1)[:, len(x) - best :]
-        else:
-            top = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-        first = _exact(q, x, np.repeat(rows, top.shape[1]), top.ravel()).reshape(top.shape)
-        if own is not None:
-            first = np.where(top == own[a : a + step][:, None], -np.inf, first)
-        low = np.full(len(q), -np.inf) if best < k else np.partition(first, best - k, axis=1)[:, best - k]
-        qi, xi = np.nonzero(est + err >= low[:, None])
-        score = _exact(q, x, qi, xi)
-        keep = score >= low[qi]
-        out.append((qi[keep] + a, xi[keep], score[keep]))
+def _slices(n: int, width: int) -> Iterator[slice]:
+    step = max(1, (1 << 22) // max(width, 1))
+    for a in range(0, n, step):
+        yield slice(a, min(n, a + step))
+
+
+def probe(q: Block, x: Block, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, vector rows, estimates): each query's ``most`` best estimates but its own vector's."""
+    queries, out = Queries(q.vectors()), []
+    for rows in _slices(q.n, x.n):
+        est, _ = estimates(x.bits, x.norm, x.f, queries, rows, x.dim)
+        est[q.cls[rows][:, None] == x.cls[None, :]] = -np.inf
+        k = min(most, x.n)
+        top = np.argpartition(est, x.n - k, axis=1)[:, x.n - k :]
+        value = np.take_along_axis(est, top, axis=1)
+        i = np.repeat(np.arange(rows.start, rows.stop), k)
+        fine = value.ravel() > -np.inf
+        out.append((i[fine], top.ravel()[fine], value.ravel()[fine].astype(float)))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+
+
+def rerank(q: Block, x: Block, threshold: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, vector rows, exact scores): each query's k + 1 best of the vectors whose upper bounds reach its threshold."""
+    vectors = q.vectors()
+    queries, out = Queries(vectors), []
+    for rows in _slices(q.n, x.n):
+        est, err = estimates(x.bits, x.norm, x.f, queries, rows, x.dim)
+        qi, xi = np.nonzero((est + err >= threshold[rows][:, None]) & (q.cls[rows][:, None] != x.cls[None, :]))
+        score = _exact(vectors[rows], x, qi, xi)
+        keep = score >= threshold[rows][qi]
+        qi, xi, score = qi[keep], xi[keep], score[keep]
+        order = np.lexsort((x.first_id[xi], -score, qi))
+        qi, xi, score = qi[order], xi[order], score[order]
+        keep = np.arange(len(qi)) - np.searchsorted(qi, qi, "left") <= k
+        out.append((qi[keep] + rows.start, xi[keep], score[keep]))
     return tuple(np.concatenate(p) for p in zip(*out, strict=True))
 
 
@@ -105,8 +190,21 @@ def _sent(sizes: DataFrame) -> DataFrame:
     return F.broadcast(sizes) if sizes.limit(DIMS + 1).count() <= DIMS else sizes
 
 
+def _written_blocks(rows: DataFrame, folder: str, kind: str) -> DataFrame:
+    """Writes the files of (dim, block, cls, first_id, v) by block; (dim, block) of each."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cls", ignore_index=True)
+        dim, block = int(pdf["dim"].iloc[0]), int(pdf["block"].iloc[0])
+        Block.write(folder, kind, dim, block, pdf["cls"].to_numpy(), pdf["first_id"].to_numpy(), np.stack(pdf["v"].to_numpy()))
+        return pdf[["dim", "block"]][:1]
+
+    return written(rows.groupBy("dim", "block").applyInPandas(write, "dim int, block bigint"), "ann-written")
+
+
 def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of every row for which ``is_query`` holds."""
+    spark = vectors.sparkSession
     rows = usable(vectors)
     digest = F.xxhash64("v")  # deals rows into blocks; it never decides which vectors are equal
     by_id = Window.partitionBy("v").orderBy("vec_id")
@@ -116,36 +214,54 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     asked = written(rows.where(is_query(F.col("vec_id"))).join(classes.select("v", "cls"), "v").select("vec_id", "cls"), "ann-queries")
     sizes = classes.groupBy("dim").agg(F.count("*").alias("n")).join(asked.join(classes, "cls").groupBy("dim").agg(F.count_distinct("cls").alias("nq")), "dim")
     sizes = sizes.select("dim", F.ceil(F.col("n") / INDEX_ROWS).alias("bx"), F.ceil(F.col("nq") / QUERY_ROWS).alias("bq"))
-    base = classes.select("cls", "v", "dim").join(_sent(sizes), "dim")
-    x = base.withColumn("xb", F.pmod(digest, "bx")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bq") - 1)))
-    q = base.join(asked.select("cls").distinct(), "cls", "left_semi").withColumn("qb", F.pmod(digest, "bq")).withColumn("xb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bx") - 1)))
-
-    def run(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(xs):
-            return pd.DataFrame({"q": [], "x": [], "score": []}).astype({"q": "int64", "x": "int64"})
-        qs = qs.rename(columns={"of_cls": "cls", "of_v": "v"})
-        xs = xs.sort_values("cls", ignore_index=True)
-        qv, xv = np.stack(qs.v.to_numpy()), np.stack(xs.v.to_numpy())
-        bits, norm, f = encode(xv)
-        at = np.searchsorted(xs.cls.to_numpy(), qs.cls.to_numpy())
-        own = np.where((at < len(xs)) & (xs.cls.to_numpy()[np.minimum(at, len(xs) - 1)] == qs.cls.to_numpy()), at, -1)
-        qi, xi, score = search_block(qv, xv, bits, norm, f, k, own)
-        # at most k others and the own vector of each query go on; ties at the end are all kept out by id later,
-        # so equal scores are cut by the class's smallest id, which is its place here
-        order = np.lexsort((xs.first_id.to_numpy()[xi], -score, qi))
-        qi, xi, score = qi[order], xi[order], score[order]
-        begin = np.searchsorted(qi, qi, "left")
-        keep = np.arange(len(qi)) - begin <= k
-        return pd.DataFrame({"q": qs.cls.to_numpy()[qi[keep]], "x": xs.cls.to_numpy()[xi[keep]], "score": score[keep]})
+    base = classes.select("cls", F.col("ids")[0].alias("first_id"), "v", "dim").join(_sent(sizes), "dim")
+    folder = work_dir(spark, "ann-blocks")
+    xs = _written_blocks(base.withColumn("block", F.pmod(digest, "bx")), folder, "x")
+    qs = _written_blocks(base.join(asked.select("cls").distinct(), "cls", "left_semi").withColumn("block", F.pmod(digest, "bq")), folder, "q")
+    pairs = qs.withColumnRenamed("block", "qb").join(xs.withColumnRenamed("block", "xb"), "dim").select("dim", "qb", "xb")
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    pairs = written(pairs.repartition(min(n_pairs, 1 << 16), "qb", "xb"), "ann-pairs")
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, qb, xb in zip(*(batch.column(c).to_pylist() for c in ("dim", "qb", "xb")), strict=True):
+                qi, xi, est = probe(Block(folder, "q", dim, qb), Block(folder, "x", dim, xb), max(PROBE, 2 * (k + 1)))
+                m = len(qi)
+                yield pa.record_batch([pa.array([dim] * m, pa.int32()), pa.array([qb] * m, pa.int64()), pa.array([xb] * m, pa.int64()), pa.array(qi, pa.int32()), pa.array(xi, pa.int32()), pa.array(est)], names=["dim", "qb", "xb", "qi", "xi", "est"])
+
+    likely = pairs.mapInArrow(first_pass, "dim int, qb bigint, xb bigint, qi int, xi int, est double")
+    best = Window.partitionBy("dim", "qb", "qi").orderBy(F.desc("est"), "xb", "xi")
+    likely = likely.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= max(PROBE, 2 * (k + 1)))
+
+    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
+        dim, qb, xb = (int(pdf[c].iloc[0]) for c in ("dim", "qb", "xb"))
+        score = _exact(Block(folder, "q", dim, qb).vectors(), Block(folder, "x", dim, xb), pdf["qi"].to_numpy(), pdf["xi"].to_numpy())
+        return pd.DataFrame({"dim": pdf["dim"], "qb": pdf["qb"], "qi": pdf["qi"], "score": score})
+
+    scored = likely.groupBy("dim", "qb", "xb").applyInPandas(exact, "dim int, qb bigint, qi int, score double")
+    # the k-th best of some others is no more than the k-th best of all: a threshold; none where there are fewer
+    kth = F.element_at(F.sort_array(F.collect_list("score"), False), k)
+    each = scored.groupBy("dim", "qb", "qi").agg(F.when(F.count("*") >= k, kth).alias("t"))
+    thresholds = written(each.groupBy("dim", "qb").agg(F.collect_list(F.struct("qi", "t")).alias("t")), "ann-thresholds")
+
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, qb, xb, t in zip(*(batch.column(c).to_pylist() for c in ("dim", "qb", "xb", "t")), strict=True):
+                q, x = Block(folder, "q", dim, qb), Block(folder, "x", dim, xb)
+                low = np.full(q.n, -np.inf)
+                for e in t or []:
+                    if e["t"] is not None:
+                        low[e["qi"]] = e["t"] - 1e-12 * (1 + abs(e["t"]))
+                qi, xi, score = rerank(q, x, low, k)
+                yield pa.record_batch([pa.array(q.cls[qi]), pa.array(x.cls[xi]), pa.array(score)], names=["q", "x", "score"])
 
+    near = pairs.join(thresholds, ["dim", "qb"], "left").select("dim", "qb", "xb", "t").mapInArrow(second_pass, "q bigint, x bigint, score double")
     first = classes.select("cls", F.col("ids")[0].alias("first_id"))
-    x = x.join(first, "cls").select("dim", "qb", "xb", "cls", "v", "first_id")
-    keys = ["dim", "qb", "xb"]
-    q = q.select(*(F.col(c).alias(f"of_{c}") for c in (*keys, "cls", "v")))
-    near = q.groupBy(*(f"of_{c}" for c in keys)).cogroup(x.groupBy(*keys)).applyInPandas(run, "q bigint, x bigint, score double")
     # members of a query's class find its own vector exactly, whatever the estimates said
     own = classes.join(asked.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("q"), F.col("cls").alias("x"), F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b).alias("score"))
-    near = near.where("q <> x").unionByName(own)
+    near = near.unionByName(own)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "first_id")
     near = near.join(first.withColumnRenamed("cls", "x"), "x").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("q", "x", "score")
     members = near.join(classes.select(F.col("cls").alias("x"), F.explode("ids").alias("vec_id")), "x")
