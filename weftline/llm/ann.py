@@ -10,8 +10,9 @@ The index is written once, in blocks: a file of codes (packed bits, norm and f o
 vectors; queries likewise. Each block of queries meets each block of codes twice. First the PROBE best estimates of a
 query over all blocks are computed exactly, and the (k + 1)-th best of these is its threshold. Then every vector whose
 upper bound reaches the threshold is reranked on the original components in double precision, which are read from the
-files for these vectors alone where they are few. No vector is shuffled; each pair of blocks returns at most k + 1
-rows a query.
+files for these vectors alone where they are few. No vector is shuffled. A task takes a block of queries through one of
+SPLITS parts of the index, block by block, and hands on no more than a query's best of that part, so that what is handed
+on grows with the queries and not with the pairs.
 
 Equal vectors are one entry of the index: the k + 1 smallest ids of a vector stand for it, which is all that
 any result can hold, and equal queries are searched once. So a vector with a third of the rows is no burden.
@@ -36,7 +37,8 @@ from weftline.llm.common import open_shared, table, work_dir, write_shared, writ
 EPSILON = 1.9
 QUERY_BITS = 4
 PROBE = 64
-QUERY_ROWS, INDEX_ROWS = 2048, 4096
+QUERY_ROWS, INDEX_ROWS = 512, 4096
+SPLITS = 2  # of the index, for each block of queries
 DIMS = 1 << 16
 SEED = 20240501
 _rotations: dict[tuple[int, int], np.ndarray] = {}
@@ -190,6 +192,21 @@ def _sent(sizes: DataFrame) -> DataFrame:
     return F.broadcast(sizes) if sizes.limit(DIMS + 1).count() <= DIMS else sizes
 
 
+class Best:
+    """The ``most`` rows of highest value of each query, ties to the smaller third column, of all that were added."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.rows = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def add(self, qi: np.ndarray, value: np.ndarray, tie: np.ndarray, more: np.ndarray) -> None:
+        qi, value, tie, more = (np.concatenate(p) for p in zip(self.rows, (qi, value, tie, more), strict=True))
+        order = np.lexsort((tie, -value, qi))
+        qi = qi[order]
+        keep = np.arange(len(qi)) - np.searchsorted(qi, qi, "left") < self.most
+        self.rows = (qi[keep], value[order][keep], tie[order][keep], more[order][keep])
+
+
 def _written_blocks(rows: DataFrame, folder: str, kind: str) -> DataFrame:
     """Writes the files of (dim, block, cls, first_id, v) by block; (dim, block) of each."""
 
@@ -218,22 +235,28 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     folder = work_dir(spark, "ann-blocks")
     xs = _written_blocks(base.withColumn("block", F.pmod(digest, "bx")), folder, "x")
     qs = _written_blocks(base.join(asked.select("cls").distinct(), "cls", "left_semi").withColumn("block", F.pmod(digest, "bq")), folder, "q")
-    pairs = qs.withColumnRenamed("block", "qb").join(xs.withColumnRenamed("block", "xb"), "dim").select("dim", "qb", "xb")
-    n_pairs = pairs.count()
-    if not n_pairs:
+    parts = xs.groupBy("dim", F.pmod(F.xxhash64("block"), F.lit(SPLITS)).alias("part")).agg(F.array_sort(F.collect_list("block")).alias("xbs"))
+    jobs = qs.withColumnRenamed("block", "qb").join(parts, "dim").select("dim", "qb", "xbs")
+    n_jobs = jobs.count()
+    if not n_jobs:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    pairs = written(pairs.repartition(min(n_pairs, 1 << 16), "qb", "xb"), "ann-pairs")
+    jobs = written(jobs.repartition(min(n_jobs, 1 << 16)), "ann-jobs")
+    probes = max(PROBE, 2 * (k + 1))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, qb, xb in zip(*(batch.column(c).to_pylist() for c in ("dim", "qb", "xb")), strict=True):
-                qi, xi, est = probe(Block(folder, "q", dim, qb), Block(folder, "x", dim, xb), max(PROBE, 2 * (k + 1)))
+            for dim, qb, xbs in zip(*(batch.column(c).to_pylist() for c in ("dim", "qb", "xbs")), strict=True):
+                q, best = Block(folder, "q", dim, qb), Best(probes)
+                for xb in xbs:
+                    qi, xi, est = probe(q, Block(folder, "x", dim, xb), probes)
+                    best.add(qi, est, np.full(len(qi), xb), xi)
+                qi, est, xb, xi = best.rows
                 m = len(qi)
-                yield pa.record_batch([pa.array([dim] * m, pa.int32()), pa.array([qb] * m, pa.int64()), pa.array([xb] * m, pa.int64()), pa.array(qi, pa.int32()), pa.array(xi, pa.int32()), pa.array(est)], names=["dim", "qb", "xb", "qi", "xi", "est"])
+                yield pa.record_batch([pa.array([dim] * m, pa.int32()), pa.array([qb] * m, pa.int64()), pa.array(xb, pa.int64()), pa.array(qi, pa.int32()), pa.array(xi, pa.int32()), pa.array(est)], names=["dim", "qb", "xb", "qi", "xi", "est"])
 
-    likely = pairs.mapInArrow(first_pass, "dim int, qb bigint, xb bigint, qi int, xi int, est double")
+    likely = jobs.mapInArrow(first_pass, "dim int, qb bigint, xb bigint, qi int, xi int, est double")
     best = Window.partitionBy("dim", "qb", "qi").orderBy(F.desc("est"), "xb", "xi")
-    likely = likely.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= max(PROBE, 2 * (k + 1)))
+    likely = likely.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= probes)
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
         dim, qb, xb = (int(pdf[c].iloc[0]) for c in ("dim", "qb", "xb"))
@@ -248,16 +271,20 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, qb, xb, t in zip(*(batch.column(c).to_pylist() for c in ("dim", "qb", "xb", "t")), strict=True):
-                q, x = Block(folder, "q", dim, qb), Block(folder, "x", dim, xb)
+            for dim, qb, xbs, t in zip(*(batch.column(c).to_pylist() for c in ("dim", "qb", "xbs", "t")), strict=True):
+                q, best = Block(folder, "q", dim, qb), Best(k + 1)
                 low = np.full(q.n, -np.inf)
                 for e in t or []:
                     if e["t"] is not None:
                         low[e["qi"]] = e["t"] - 1e-12 * (1 + abs(e["t"]))
-                qi, xi, score = rerank(q, x, low, k)
-                yield pa.record_batch([pa.array(q.cls[qi]), pa.array(x.cls[xi]), pa.array(score)], names=["q", "x", "score"])
-
-    near = pairs.join(thresholds, ["dim", "qb"], "left").select("dim", "qb", "xb", "t").mapInArrow(second_pass, "q bigint, x bigint, score double")
+                for xb in xbs:
+                    x = Block(folder, "x", dim, xb)
+                    qi, xi, score = rerank(q, x, low, k)
+                    best.add(qi, score, x.first_id[xi], x.cls[xi])
+                qi, score, _, cls = best.rows
+                yield pa.record_batch([pa.array(q.cls[qi]), pa.array(cls), pa.array(score)], names=["q", "x", "score"])
+
+    near = jobs.join(thresholds, ["dim", "qb"], "left").select("dim", "qb", "xbs", "t").mapInArrow(second_pass, "q bigint, x bigint, score double")
     first = classes.select("cls", F.col("ids")[0].alias("first_id"))
     # members of a query's class find its own vector exactly, whatever the estimates said
     own = classes.join(asked.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("q"), F.col("cls").alias("x"), F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b).alias("score"))
