@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from weftline.llm import align, ann, decontaminate, langid, lattice, lm, manifest, secrets, setjoin, tokens, warc
+from weftline.llm import align, ann, decontaminate, langid, lattice, lm, maintext, manifest, secrets, setjoin, tokens, warc
 from weftline.llm.sharding import op9_jump_sharding
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_wavelet_shards": tokens.op10_wavelet_shards,
     "op11_token_alignment": align.op11_token_alignment,
     "op12_radix_manifest": manifest.op12_radix_manifest,
+    "op13_main_text": maintext.op13_main_text,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
