@@ -97,3 +97,64 @@ def test_service(spark, index):
             assert json.load(r)["result"] == "pong" and r.headers["Access-Control-Allow-Origin"] == "*"
     finally:
         server.shutdown()
+
+
+ENGLISH = [(1, "The pages of a book, turned", None), (2, "one page and booking", "Pages"), (3, "pages, books", "nothing's here"), (4, None, ""), (5, "the of and", None), (6, "page in the book", None)]
+
+
+def test_english_index(spark):
+    from weftline.functions import text
+
+    docs = spark.createDataFrame(ENGLISH, "doc_id int, text string, title string")
+    index = search.build_index(docs, "doc_id", ["text", "title"], text.ENGLISH).cached()
+    got = {(r["doc_id"], r["field"], r["term"]): (r["tf"], r["positions"]) for r in index.postings.collect()}
+    want = {}
+    for i, *values in ENGLISH:
+        for f, value in zip(("text", "title"), values, strict=True):
+            for t, at in text.english_tokens(value):
+                want.setdefault((i, f, t), []).append(at)
+    assert got == {k: (len(v), v) for k, v in want.items()}
+    assert {(r["doc_id"], r["field"]): r["len"] for r in index.lengths.collect()} == {(1, "text"): 3, (2, "text"): 3, (2, "title"): 1, (3, "text"): 2, (3, "title"): 2, (6, "text"): 2}
+    assert set(scores(search.simple_search(index, "PAGE's"))) == {1, 2, 3, 6} and scores(search.simple_search(index, "the")) == {}
+    # a stop word in a phrase keeps its place, whichever it is
+    phrase = lambda p: set(scores(search.advanced_search(index, [p], [], [])))
+    assert phrase("pages and a books") == {1, 6} and phrase("pages books") == {3} and phrase("page of books") == {2} == phrase("page and book")
+    assert phrase("the of") == set() and set(scores(search.advanced_search(index, ["books", "the"], ["pages books"], []))) == {1, 2, 6}
+    # stems that are stored with an index serve the next one
+    stems = text.stem_table(docs.select(F.explode(text.english_words(F.col("text"))["word"]).alias("word")))
+    assert {tuple(r) for r in stems.collect()} == {("pages", "page"), ("turned", "turn"), ("booking", "book"), ("books", "book"), ("one", "on")}
+    again = search.build_index(docs, "doc_id", ["text"], text.ENGLISH, stems)
+    assert set(scores(search.best_fields(again, ["book"], {"text": 1.0}))) == {1, 2, 3, 6}
+
+
+def test_service_over_an_english_index(spark):
+    from weftline.functions import text
+
+    docs = spark.createDataFrame(ENGLISH, "doc_id int, text string, title string")
+    urls = docs.select("doc_id", F.concat(F.lit("http://s.x/"), "doc_id").alias("url"))
+    none = spark.createDataFrame([], "node string, rank double")
+    s = Service(search.build_index(docs, "doc_id", ["text", "title"], text.ENGLISH), urls, none, none, none)
+    assert {u for u, _ in s.normal_search("booked")} == {f"http://s.x/{i}" for i in (1, 2, 3, 6)}
+    assert s.advance_search(["paging the books"], [], []) == [["http://s.x/2", ""]]
+
+
+def test_english_words_are_the_tokens(spark):
+    from weftline.functions import text
+
+    samples = ["Don't the dog's O’Neil’s 12th's", "", None, "É à l'eau ²x _y_ a_b", "the THE's", "x's's 's", "中文 are here"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "i int, t string").select("i", F.inline(text.english_words(F.col("t"))))
+    got = sorted((r["i"], r["pos"], r["term"]) for r in text.stemmed(rows).collect())
+    assert got == sorted((i, at, w) for i, t in enumerate(samples) for w, at in text.english_tokens(t))
+
+
+def test_porter_in_sql():
+    import duckdb
+
+    from weftline.functions import text
+
+    words = "yyy sayyed yyed flying syyings by toys bedded tilling hissed fizzing controlled ingot sing conditional vietnamization trying eed agreed xeed at ation lly ll aably happier y's ä ii nationally"
+    words = sorted(set(words.split()) | {a + b for a in ("rat", "hop", "troy", "ayb", "bly", "o", "abil", "sensit") for b in ("ing", "ed", "s", "ies", "ational", "izer", "ness", "fully", "ement", "ion", "e", "y", "ly")})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (word VARCHAR)")
+    con.executemany("INSERT INTO given VALUES (?)", [(w,) for w in words])
+    assert dict(con.sql(f"WITH {text.porter_sql('given')} SELECT word, stem FROM stems").fetchall()) == {w: text.porter(w) for w in words}

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import simple_terms
+from weftline.functions.text import SIMPLE, Analyzer, simple_tokens, stem_table, stemmed
 from weftline.functions.urls import domain
 
 K1, B = 1.2, 0.75
@@ -22,15 +22,17 @@ NEWS_BOOSTS = {"text": 2.0, "title": 1.0}
 
 @dataclass
 class Index:
-    """postings (key, field, term, tf, positions), lengths (key, field, len), stats (field, n_docs, avg_len)."""
+    """postings (key, field, term, tf, positions), lengths (key, field, len), stats (field, n_docs, avg_len), and the
+    analyzer that they were made with, which takes queries apart too."""
 
     key: str
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    analyzer: Analyzer = SIMPLE
 
     def cached(self) -> Index:
-        return Index(self.key, self.postings.cache(), self.lengths.cache(), self.stats.cache())
+        return Index(self.key, self.postings.cache(), self.lengths.cache(), self.stats.cache(), self.analyzer)
 
     def write(self, path: str) -> None:
         """Postings lie by term, so that a query's filter prunes row groups."""
@@ -39,8 +41,8 @@ class Index:
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
-    def read(spark, path: str, key: str) -> Index:
-        return Index(key, *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+    def read(spark, path: str, key: str, analyzer: Analyzer = SIMPLE) -> Index:
+        return Index(key, *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")), analyzer)
 
 
 def read_indexed(spark, path: str, key: str = "doc_key") -> Index:
@@ -71,14 +73,23 @@ def update_fields(index_rows: DataFrame, updates: DataFrame, key: str = "doc_key
     return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in index_rows.columns))
 
 
-def build_index(docs: DataFrame, key: str, fields: list[str], analyze=simple_terms) -> Index:
-    """``analyze``: a Column function from text to an array of terms."""
-    each = reduce(DataFrame.unionByName, [docs.select(key, F.lit(f).alias("field"), analyze(F.col(f)).alias("terms")) for f in fields])
-    lengths = each.select(key, "field", F.size("terms").cast("long").alias("len")).where("len > 0")
-    places = each.select(key, "field", F.posexplode("terms").alias("pos", "term"))
-    postings = places.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def build_index(docs: DataFrame, key: str, fields: list[str], analyze=SIMPLE, stems: DataFrame | None = None) -> Index:
+    """``analyze``: an Analyzer, or a Column function from text to an array of terms. Words are stemmed where the analyzer
+    says so, through ``stems`` (word, stem) or a table of the corpus's own distinct words."""
+    if not isinstance(analyze, Analyzer):
+        terms = analyze
+        analyze = Analyzer(lambda c: F.transform(terms(c), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), simple_tokens)
+    each = reduce(DataFrame.unionByName, [docs.select(key, F.lit(f).alias("field"), analyze.words(F.col(f)).alias("words")) for f in fields])
+    lengths = each.select(key, "field", F.size("words").cast("long").alias("len")).where("len > 0")
+    places = each.select(key, "field", F.inline("words"))
+    if analyze.stems:  # one row a word and document before their stems are looked up
+        by_word = places.groupBy(key, "field", "word").agg(F.collect_list("pos").alias("at"))
+        rows = stemmed(by_word, stems) if stems is not None else stemmed(by_word, stem_table(places))
+        postings = rows.groupBy(key, "field", "term").agg(F.sum(F.size("at")).alias("tf"), F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    else:
+        postings = places.groupBy(key, "field", F.col("word").alias("term")).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     stats = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    return Index(key, postings, lengths, stats)
+    return Index(key, postings, lengths, stats, analyze)
 
 
 def _idf(df: Column) -> Column:
@@ -108,11 +119,12 @@ def best_fields(index: Index, terms: list[str], boosts: dict[str, float]) -> Dat
     return each.groupBy(index.key).agg(F.max(F.col("s") * _boost(boosts)).alias("score"))
 
 
-def phrase_scores(index: Index, phrases: list[list[str]], boosts: dict[str, float]) -> DataFrame:
-    """(clause, key, score) of every phrase (a list of terms) and document that holds it in some field."""
-    rows = [(c, i, t, len(p)) for c, p in enumerate(phrases) for i, t in enumerate(p)]
+def phrase_scores(index: Index, phrases: list[list[tuple[str, int]]], boosts: dict[str, float]) -> DataFrame:
+    """(clause, key, score) of every phrase (its terms and their places) and document that holds it in some field: all terms,
+    as far from each other as in the phrase."""
+    rows = [(c, i - p[0][1], t, len(p)) for c, p in enumerate(phrases) for t, i in p]
     asked = index.postings.sparkSession.createDataFrame(rows, "clause int, off int, term string, need int")
-    hits = index.postings.where(F.col("term").isin(sorted({t for p in phrases for t in p})) & F.col("field").isin(list(boosts)))
+    hits = index.postings.where(F.col("term").isin(sorted({t for p in phrases for t, _ in p})) & F.col("field").isin(list(boosts)))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = asked.join(df, "term").join(index.stats, "field").groupBy("clause", "field").agg(F.sum(_idf(F.col("df"))).alias("idf"))
     starts = hits.join(asked, "term").select(index.key, "field", "clause", "need", "off", F.explode("positions").alias("pos"))
@@ -122,30 +134,33 @@ def phrase_scores(index: Index, phrases: list[list[str]], boosts: dict[str, floa
     return full.groupBy("clause", index.key).agg(F.max(F.col("idf") * _tf(F.col("tf")) * _boost(boosts)).alias("score"))
 
 
-def _without(index: Index, hits: DataFrame, phrases: list[list[str]], boosts: dict[str, float]) -> DataFrame:
+def _without(index: Index, hits: DataFrame, phrases: list[list[tuple[str, int]]], boosts: dict[str, float]) -> DataFrame:
     return hits.join(phrase_scores(index, phrases, boosts).select(index.key).distinct(), index.key, "left_anti") if phrases else hits
 
 
-def terms_of(text: str) -> list[str]:
-    """A query's terms, as simple_terms has a text's."""
-    import re
+def terms_of(text: str, analyzer: Analyzer = SIMPLE) -> list[str]:
+    """A query's terms, as the analyzer has a text's."""
+    return [t for t, _ in analyzer.query(text)]
 
-    return [t for t in re.split(r"[\W_]+", text.lower()) if t]
+
+def _clauses(index: Index, phrases: list[str] | None) -> list[list[tuple[str, int]]]:
+    """The phrases that are not blank, as the index has its texts."""
+    return [p for p in map(index.analyzer.query, phrases or []) if p]
 
 
 def simple_search(index: Index, query: str, boosts: dict[str, float] = WEB_BOOSTS, blocked: list[str] | None = None) -> DataFrame:
     """(key, score) of documents with any of the query's terms and none of the blocked phrases."""
-    return _without(index, best_fields(index, terms_of(query), boosts), [terms_of(p) for p in blocked or [] if terms_of(p)], boosts)
+    return _without(index, best_fields(index, terms_of(query, index.analyzer), boosts), _clauses(index, blocked), boosts)
 
 
 def advanced_search(index: Index, must: list[str], must_not: list[str], should: list[str], boosts: dict[str, float] = WEB_BOOSTS, blocked: list[str] | None = None) -> DataFrame:
     """(key, score): all of the must phrases, none of must_not and blocked; some should phrase where there is no must.
-    The score is the sum over matched clauses. Blank clauses count for nothing."""
-    need, may = ([terms_of(p) for p in x if terms_of(p)] for x in (must, should))
+    The score is the sum over matched clauses. Clauses without terms count for nothing."""
+    need, may = _clauses(index, must), _clauses(index, should)
     clauses = phrase_scores(index, need + may, boosts)
     found = clauses.groupBy(index.key).agg(F.sum("score").alias("score"), F.sum((F.col("clause") < len(need)).cast("int")).alias("n_must"), F.count("*").alias("n"))
     hits = found.where((F.col("n_must") == len(need)) & (F.col("n") > 0)).select(index.key, "score")
-    return _without(index, hits, [terms_of(p) for p in [*must_not, *(blocked or [])] if terms_of(p)], boosts)
+    return _without(index, hits, _clauses(index, [*must_not, *(blocked or [])]), boosts)
 
 
 def top_hits(hits: DataFrame, key: str, n: int = 10) -> DataFrame:
@@ -173,5 +188,5 @@ def decay(ts: Column, now: Column, scale_min: float = 240.0, offset_min: float =
 def news_search(index: Index, news: DataFrame, query: str, now: Column, ts: str = "pub_date", boosts: dict[str, float] = NEWS_BOOSTS, n: int = 10) -> DataFrame:
     """(key, pub_date, score): the n best news by BM25 times the decay of their age; scores are rounded to six places before
     they are compared."""
-    hits = best_fields(index, terms_of(query), boosts).join(news.select(index.key, ts), index.key)
+    hits = best_fields(index, terms_of(query, index.analyzer), boosts).join(news.select(index.key, ts), index.key)
     return top_hits(hits.withColumn("score", F.round(F.col("score") * decay(F.col(ts), now), 6)), index.key, n)

@@ -329,15 +329,16 @@ _BOOST = "CASE field WHEN 'text' THEN {} ELSE {} END"
 _TEXT, _TITLE = "the ering of src3", "src3"
 
 
-def _best_sql(query_text: str, text: float, title: float, name: str = "best") -> str:
-    terms = ", ".join(f"('{t}')" for t in search.terms_of(query_text))
+def _best_sql(query_text: str, text: float, title: float, name: str = "best", analyzer: words.Analyzer = words.SIMPLE) -> str:
+    terms = ", ".join(f"('{t}')" for t in search.terms_of(query_text, analyzer))
     return f"""{name} AS (SELECT doc_id, max(s * {_BOOST.format(text, title)}) AS score FROM (
 SELECT doc_id, field, sum({_IDF} * {_TF}) AS s FROM (VALUES {terms}) q(term) JOIN post USING (term) JOIN dfs USING (field, term) JOIN stats USING (field) JOIN lens USING (doc_id, field) GROUP BY 1, 2) GROUP BY 1)"""
 
 
-def _phrase_sql(phrases: list[str], name: str) -> str:
+def _phrase_sql(phrases: list[str], name: str, analyzer: words.Analyzer = words.SIMPLE) -> str:
     """(clause, doc_id, score)."""
-    rows = ", ".join(f"({c}, {i}, '{t}', {len(search.terms_of(p))})" for c, p in enumerate(phrases) for i, t in enumerate(search.terms_of(p)))
+    placed = list(enumerate(map(analyzer.query, phrases)))
+    rows = ", ".join(f"({c}, {i - p[0][1]}, '{t}', {len(p)})" for c, p in placed for t, i in p)
     return f"""{name}_q AS (SELECT * FROM (VALUES {rows}) v(clause, o, term, need)),
 {name}_idf AS (SELECT clause, field, sum({_IDF}) AS idf FROM {name}_q JOIN dfs USING (term) JOIN stats USING (field) GROUP BY 1, 2),
 {name}_tf AS (SELECT clause, field, doc_id, count(*) AS tf FROM (SELECT clause, field, doc_id, pos - o AS start, need, count(*) AS n FROM {name}_q JOIN places USING (term) GROUP BY 1, 2, 3, 4, 5) WHERE n = need GROUP BY 1, 2, 3),
@@ -526,11 +527,48 @@ def english_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", is_english(F.col("text")).alias("is_english"))
 
 
-@query()
+_ENGLISH_WORDS = f"""found AS (SELECT doc_id, field, unnest(w).word AS word, unnest(w).pos AS pos FROM (
+  SELECT doc_id, 'text' AS field, {words.english_sql("text")} AS w FROM documents UNION ALL SELECT doc_id, 'title', {words.english_sql("source")} FROM documents))"""
+_ENGLISH_INDEX = f"""{_ENGLISH_WORDS}, {words.porter_sql("found")},
+places AS (SELECT doc_id, field, stem AS term, pos FROM found JOIN stems USING (word)),
+lens AS (SELECT doc_id, field, count(*) AS len FROM places GROUP BY 1, 2),
+stats AS (SELECT field, count(*) AS n_docs, avg(len) AS avg_len FROM lens GROUP BY 1),
+post AS (SELECT doc_id, field, term, count(*) AS tf FROM places GROUP BY 1, 2, 3),
+dfs AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2)"""
+
+
+def _english_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    return search.build_index(_documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("title")), "doc_id", ["text", "title"], words.ENGLISH)
+
+
+@query(f"WITH {_ENGLISH_WORDS}, {words.porter_sql('found')} SELECT doc_id, stem AS term, count(*) AS tf FROM found JOIN stems USING (word) WHERE field = 'text' GROUP BY 1, 2")
 def english_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems by document, without stop words, counted."""
-    terms = _documents(spark, sf_dir).select("doc_id", F.explode(words.stems(words.simple_terms(F.col("text")))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    placed = _documents(spark, sf_dir).select("doc_id", F.inline(words.english_words(F.col("text"))))
+    counted = placed.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return words.stemmed(counted, words.stem_table(placed)).groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
+
+
+@query(f"WITH {_ENGLISH_INDEX} SELECT doc_id, field, term, count(*) AS tf, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos) AS INT) AS last_pos FROM places GROUP BY 1, 2, 3")
+def english_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index by the English analyzer; places count stop words."""
+    return _english_index(spark, sf_dir).postings.select("doc_id", "field", "term", "tf", F.array_min("positions").alias("first_pos"), F.array_max("positions").alias("last_pos"))
+
+
+#: Words by other forms of theirs; a phrase over a stop word, which another may stand in for.
+_ENGLISH_TEXT, _ENGLISH_PHRASES, _ENGLISH_NOT = "Thing's and the erings of Inging src3", ["attioning the thanedbles"], ["ntres of onbleeas"]
+
+
+@query(f"WITH {_ENGLISH_INDEX}, {_best_sql(_ENGLISH_TEXT, 5.0, 2.0, analyzer=words.ENGLISH)} SELECT doc_id, round(score, 6) AS score FROM best")
+def english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.simple_search(_english_index(spark, sf_dir), _ENGLISH_TEXT), "score")
+
+
+@query(f"""WITH {_ENGLISH_INDEX}, {_phrase_sql(_ENGLISH_PHRASES, 'm', words.ENGLISH)}, {_phrase_sql(_ENGLISH_NOT, 'x', words.ENGLISH)}
+SELECT doc_id, round(score, 6) AS score FROM m WHERE doc_id NOT IN (SELECT doc_id FROM x)""")
+def english_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase of stems, as far apart as in the query, in documents without another."""
+    return _rounded(search.advanced_search(_english_index(spark, sf_dir), _ENGLISH_PHRASES, _ENGLISH_NOT, []), "score")
 
 
 # ---- streams, run to their end over the same tables --------------------------------------------
