@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides, as engines add in different ord
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,14 @@ from weftline.functions import urls
 from weftline.functions.html import h1_of, parse_html, title_of
 from weftline.functions.lang import is_english
 from weftline.operators import crawl, graph, keywords, news, search
+from weftline.session import shared_dir
 from weftline.sources import sinks, tables
+from weftline.sources.keyed import KeyedTable
 from weftline.sources.tables import table
 from weftline.streaming import crawl as crawl_stream
 from weftline.streaming import news as news_stream
-from weftline.streaming.io import drained
+from weftline.streaming import loop
+from weftline.streaming.io import ROCKS, drained
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -482,6 +486,32 @@ def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.point_get(suppliers, "row_key", name).select("s_suppkey", "s_acctbal")
 
 
+_KEYED = """kept AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS row_key, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE o_orderstatus END AS status FROM orders)"""
+
+
+def _keyed_orders(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """Orders by hash, merged twice: every third one comes again with another status."""
+    rows = table(spark, sf_dir, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("row_key"), "o_orderkey", F.col("o_orderstatus").alias("status"))
+    out = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", "row_key", rows_per_file=20_000)
+    out.upsert(rows)
+    out.upsert(rows.where("o_orderkey % 3 = 0").withColumn("status", F.lit("again")))
+    return out
+
+
+@query(f"WITH {_KEYED} SELECT * FROM kept WHERE row_key >= '4' AND row_key < 'c8'")
+def keyed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of stored keys, of which only the files that overlap it are opened."""
+    return _keyed_orders(spark, sf_dir).range("4", "c8")
+
+
+@query(f"WITH {_KEYED} SELECT * FROM kept WHERE row_key IN (md5('1'), md5('3'), md5('none'))")
+def keyed_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by key: one replaced, one not, one that is not there."""
+    import hashlib
+
+    return _keyed_orders(spark, sf_dir).get(*(hashlib.md5(k.encode()).hexdigest() for k in ("1", "3", "none")))
+
+
 @query("""WITH last AS (SELECT c_mktsegment AS row_key, c_nationkey AS qualifier, arg_max(c_acctbal, c_custkey) AS value FROM customer GROUP BY 1, 2) SELECT * FROM last""")
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells by (row, qualifier): of several writes the last stays."""
@@ -599,6 +629,27 @@ def url_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(crawl_stream.dedup_recent(links, 60 * 24 * 400), "dedup").select("url_hash")
 
 
+_EVENT_LINK = "'http://' || user_id || '/' || lpad(CAST(event_id AS VARCHAR), 12, '0')"
+
+
+@query(f"""WITH placed AS (SELECT user_id % 8 AS lane, {_EVENT_LINK} AS link, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, {_EVENT_LINK}) - 1 AS pos, count(*) OVER (PARTITION BY user_id % 8) AS n FROM events)
+SELECT lane, link, pos // 1000 * 1000 + pos % 1000 % 30 * 33 + least(pos % 1000 % 30, 10) + pos % 1000 // 30 AS emit FROM placed WHERE pos // 1000 < n // 1000""")
+def stride_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full buffers of a thousand links by strides of thirty, eight lanes of them, from keyed state."""
+    links = _event_stream(spark, sf_dir).select(F.concat(F.lit("http://"), "user_id", F.lit("/"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("link"), "ts", (F.col("user_id") % 8).alias("lane"))
+    out = loop.strides(links, size=1000, stride=30, idle_ms=None, lane=F.col("lane"))
+    return drained(out, "strides", provider=ROCKS).select("lane", "link", "emit")
+
+
+@query("SELECT DISTINCT 'http://' || user_id || '/' || event_type AS link FROM events")
+def seen_once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each URL once, by marks in keyed state, whatever its letters' case and closing slashes."""
+    links = _event_stream(spark, sf_dir)
+    odd = F.when(F.col("event_id") % 2 == 0, F.upper(F.col("event_type"))).otherwise(F.concat("event_type", F.lit("//")))
+    out = drained(loop.seen_once(links.select(F.concat(F.lit("http://"), "user_id", F.lit("/"), odd).alias("link"), "ts")), "seen", provider=ROCKS)
+    return out.select(urls.normalize_url(F.col("link")).alias("link"))
+
+
 @query(ORACLES["trend_sliding"])
 def trend_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding sums of trends by the stream."""

@@ -22,28 +22,32 @@ def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
     """Merge rows into a Parquet table: cells are unique by key, new ones replace old ones; of new rows with one key the
     largest (of all columns, in order) stays.
 
-    The merged table is written beside the old one and takes its place by renaming, so that a failure leaves the old one,
-    under its own name or with ``.old`` behind it.
+    The merged table is written beside the old one and takes its place by two renames. A stop between them leaves the old
+    table as ``.old`` alone, which the next call renames back before anything else. For merges that rewrite only what they
+    touch, and readers that never see the table missing, see ``keyed.KeyedTable``.
     """
-    spark = df.sparkSession
+    spark, path = df.sparkSession, path.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    here, was = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".old"))
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def rename(a, b) -> None:
+        if not store.rename(a, b):
+            raise OSError(f"{a} is not renamed to {b}")
+
+    if not store.exists(here) and store.exists(was):
+        rename(was, here)
     df = last_wins(df.withColumn("_all", F.struct(*df.columns)), keys, "_all").drop("_all")
-    try:
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.new-{uuid.uuid4().hex}")
+    if store.exists(here):
         old = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        df.write.mode("overwrite").parquet(path)
-        return
-    merged = old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df)
-    path, new, was = path.rstrip("/"), f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old"
-    merged.write.parquet(new)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path
-    store = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(at(was), True)
-    if not (store.rename(at(path), at(was)) and store.rename(at(new), at(path))):
-        raise OSError(f"{path} is not replaced; the merged table is {new}")
-    store.delete(at(was), True)
+        df = old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df)
+    df.write.parquet(new.toString())
+    if store.exists(here):
+        store.delete(was, True)
+        rename(here, was)
+    rename(new, here)
+    store.delete(was, True)
 
 
 def wide_rows(cells: DataFrame, key: str, qualifier: str, value: str) -> DataFrame:

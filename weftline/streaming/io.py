@@ -23,8 +23,21 @@ def finished(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def drained(df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
-    """A stream's whole result, once its source has no more: written to the shared folder and read back."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drained(df: DataFrame, tag: str, mode: str = "append", provider: str | None = None) -> DataFrame:
+    """A stream's whole result, once its source has no more: written to the shared folder and read back. ``provider``: the
+    state store that this stream needs, whatever the session's."""
+    if provider:
+        conf = df.sparkSession.conf
+        before = conf.get(_PROVIDER)
+        conf.set(_PROVIDER, provider)
+        try:
+            return drained(df, tag, mode)
+        finally:
+            conf.set(_PROVIDER, before)
     folder = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{folder}/out")

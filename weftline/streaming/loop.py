@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -144,10 +144,11 @@ class Strides(StatefulProcessor):
         pass
 
 
-def strides(links: DataFrame, order: list[str] | None = None, size: int = 100_000, stride: int = 1000, idle_ms: int | None = 60_000, lanes: int = 1) -> DataFrame:
+def strides(links: DataFrame, order: list[str] | None = None, size: int = 100_000, stride: int = 1000, idle_ms: int | None = 60_000, lanes: int = 1, lane: Column | None = None) -> DataFrame:
     """(lane, link, ts, emit) of a stream of (link, ts): buffers of ``size`` links in order go out as positions 0, stride,
-    2 stride, ..., then 1, stride + 1, ...; ``emit`` numbers a lane's rows. Links are dealt over lanes by hash, a buffer
-    each; with one lane, and rows that come in order, it is ``operators.crawl.stride_shuffle``. The last buffer leaves
+    2 stride, ..., then 1, stride + 1, ...; ``emit`` numbers a lane's rows. Links are dealt over lanes by hash, or by a
+    column of whole numbers, a buffer each; with one lane, and rows that come in order, it is ``operators.crawl.stride_shuffle``. The last buffer leaves
     when nothing has come for ``idle_ms``, or stays (None)."""
-    keyed = links.select(F.pmod(F.xxhash64("link"), F.lit(lanes)).alias("lane"), "link", "ts")
+    by = F.pmod(F.xxhash64("link"), F.lit(lanes)) if lane is None else lane.cast("long")
+    keyed = links.select(by.alias("lane"), "link", "ts")
     return keyed.groupBy("lane").transformWithState(Strides(order or ["ts", "link"], size, stride, idle_ms), "lane long, link string, ts timestamp, emit long", "append", "none" if idle_ms is None else "processingTime")
