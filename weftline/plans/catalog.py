@@ -16,6 +16,7 @@ from weftline.functions import urls
 from weftline.functions.html import h1_of, parse_html, title_of
 from weftline.functions.lang import is_english
 from weftline.operators import crawl, graph, keywords, news, search
+from weftline.operators.segments import SegmentedIndex
 from weftline.session import shared_dir
 from weftline.sources import sinks, tables
 from weftline.sources.keyed import KeyedTable
@@ -419,6 +420,30 @@ def news_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.news_search(_index(spark, sf_dir), dated, _TEXT, now).select("doc_id", "score")
 
 
+def _segmented(spark: SparkSession, sf_dir: str) -> SegmentedIndex:
+    """Documents in three batches: all, a quarter of them with other texts; those again as they are, and merged."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("title"))
+    late = F.col("doc_id") % 4 == 0
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}", "doc_id", ["text", "title"], key_type="bigint")
+    index.add(docs.withColumn("text", F.when(late, F.lit("the ering of nothing")).otherwise(F.col("text"))))
+    index.add(docs.where(late & (F.col("doc_id") % 8 == 0)))
+    index.merge(everything=True)
+    index.add(docs.where(late & (F.col("doc_id") % 8 != 0)))
+    return index
+
+
+@query(ORACLES["search_top10"])
+def segment_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best from an index of segments, replaced and merged, by the bounds of its ranges."""
+    return _rounded(_segmented(spark, sf_dir).top_k(_TEXT).hits, "score")
+
+
+@query(ORACLES["phrase_search"])
+def segment_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase search over the same segments."""
+    return _rounded(search.advanced_search(_segmented(spark, sf_dir).view(), _MUST, [], []), "score")
+
+
 # ---- crawl and news on tables ----------------------------------------------------------------
 
 _HALF_DAY = 12 * 3600 * 1000

@@ -145,3 +145,27 @@ def index_pages(pages: DataFrame, out: str, checkpoint: str, analyze):
             batch.unpersist()
 
     return pages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def page_index(spark: SparkSession, path: str, analyzer):
+    """The index of pages (PAGE) by the md5 of their URL, over the seven fields of the web search."""
+    from weftline.operators.search import WEB_BOOSTS
+    from weftline.operators.segments import SegmentedIndex
+
+    return SegmentedIndex(spark, path, "doc_key", list(WEB_BOOSTS), analyzer)
+
+
+def segment_pages(pages: DataFrame, path: str, checkpoint: str, analyzer):
+    """The indexer into one index: a micro-batch is a segment, a page's later row replaces its earlier one, and segments are
+    merged as they become many. A batch that is run again is known by its number; empty ones write nothing."""
+    from weftline.operators.search import page_fields
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch = batch.where("url IS NOT NULL AND text IS NOT NULL").dropDuplicates(["url"]).persist()
+        try:
+            if not batch.isEmpty():
+                page_index(batch.sparkSession, path, analyzer).add(page_fields(batch), epoch)
+        finally:
+            batch.unpersist()
+
+    return pages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
