@@ -50,6 +50,25 @@ def test_rejection(spark):
     assert out["accepted"].mean() > 0.995 and (out["lang"] == out["lang_pred"])[out["accepted"]].mean() > 0.98
 
 
+def test_layout_does_not_count(spark, tmp_path):
+    """The same model, byte for byte, from any number of partitions and from a table written anew, with rows that repeat."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.orderBy("doc_id").limit(1)
+    docs = docs.unionByName(one.crossJoin(spark.range(3000)).drop("id"))
+    docs.repartition(5, "text").sortWithinPartitions("text").write.parquet(str(tmp_path / "anew"))
+    models = [langid.train(x) for x in (docs.coalesce(1), docs.repartition(7), docs.repartition(16, "lang", "doc_id"), spark.read.parquet(str(tmp_path / "anew")))]
+    m = models[0]
+    assert m.langs and all((o.langs, o.temperature, o.threshold, o.table.tobytes(), o.bias.tobytes()) == (m.langs, m.temperature, m.threshold, m.table.tobytes(), m.bias.tobytes()) for o in models)
+
+
+def test_many_languages_and_hot_rows(spark):
+    """A dirty lang column makes as many classes as rows are drawn, at most; a row that repeats is drawn by its share."""
+    rows = [(i, f"word{i} text of its own", f"l{i}") for i in range(200)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 20).langs) < 60
+    same = [(1, "the same text here", "a")] * 500 + [(i, f"other text number {i}", "b") for i in range(2, 500)]
+    assert langid.train(spark.createDataFrame(same, "doc_id bigint, text string, lang string"), 40).langs == ["a", "b"]
+
+
 def test_noise_is_of_the_text_alone():
     made = [langid.noise(f"text number {i} with letters") for i in range(40)]
     assert made == [langid.noise(f"text number {i} with letters") for i in range(40)] and len(set(made)) == 40

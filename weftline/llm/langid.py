@@ -24,14 +24,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, bounded, crc_mod, pieces, table, trim, utf8
+from weftline.llm.common import LOWER, bounded, crc_mod, discard, pieces, table, trim, utf8, written
 
 TRAIN_DOCS = 4000
 BUCKET_BITS = 16
@@ -229,19 +228,29 @@ def fit(rows: list[tuple[str | None, int, bytes, bytes]]) -> Model:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Learns from (doc_id, text, lang) rows with a lang whose crc32(doc_id) mod 5 is not 0."""
+    """Learns from (doc_id, text, lang) rows with a lang whose crc32(doc_id) mod 5 is not 0.
+
+    The sample is drawn by a hash of doc_id and text, so that it is the same however the table is partitioned and whichever
+    files it lies in. Of equal rows as many are drawn as their number and the rate of their language say, to the nearest
+    by chance: there are about ``train_docs`` rows in all, and no more classes than that.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not counts:
+    rows = rows.select("doc_id", "lang", "text", F.xxhash64("text", F.lit(SEED)).alias("_h"))
+    alike = written(rows.groupBy("doc_id", "lang", "_h").agg(F.count("*").alias("_m")), "langid-rows")
+    langs = alike.groupBy("lang").agg(F.sum("_m").alias("_n"))
+    n_langs = langs.count()
+    if not n_langs:
         return fit([])
-    rate = {k: min(1.0, train_docs / len(counts) / n) for k, n in counts.items()}
-    rates = F.create_map(*(F.lit(x) for x in chain.from_iterable(rate.items())))
-    # rows, not ids, are drawn: copies of one id do not come all together
-    draw = F.pmod(F.xxhash64("doc_id", "_row", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
-    drawn = rows.withColumn("_row", F.monotonically_increasing_id()).where(draw < F.element_at(rates, F.col("lang")))
+    rate = F.least(F.lit(1.0), F.lit(train_docs / n_langs) / F.col("_n"))
+    chance = F.pmod(F.xxhash64("doc_id", "_h", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
+    drawn = alike.join(langs, "lang").withColumn("_k", F.floor(F.col("_m") * rate + chance)).where("_k > 0").select("doc_id", "lang", "_h", "_k")
+    # about train_docs rows of some 40 bytes at most; each one's text is taken once, and repeated after that
+    texts = rows.join(F.broadcast(drawn), ["doc_id", "lang", "_h"]).groupBy("doc_id", "lang", "_h", "_k").agg(F.min("text").alias("text"))
+    drawn = texts.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))))
     part = F.when(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(3)) == 0, 1).otherwise(0)
     got = features(drawn.select("lang", part.alias("part"), "text"))
     model = fit([tuple(r) for r in got.toLocalIterator()])
+    discard(alike)
     trim()
     return model
 
