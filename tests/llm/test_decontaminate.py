@@ -55,24 +55,38 @@ def test_no_items(spark):
     assert ours(spark, [(1, "a b"), (2, None)], []) == [("1", 2, 0, 0, ""), ("2", 0, 0, 0, "")]
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(0, "x one y two z"), (1, "one two"), (2, "one x x x two"), (3, "two one")], "_row bigint, text string")
-    terms = decontaminate.item_terms(spark.createDataFrame([(1, "one two")], "item_id bigint, text string"))
-    _, postings = decontaminate.index(docs, terms.select("term").distinct(), 1, ["_row"])
-    near = lambda slop: sorted((r["_row"]) for r in decontaminate.proximity_matches(postings, terms.drop("item").distinct(), "_row", slop).collect())
-    assert near(0) == [1] and near(1) == [0, 1] and near(2) == [0, 1, 3] and near(3) == [0, 1, 2, 3]
-
-
-def test_proximity_of_whole_windows(spark):
-    """Ten-word windows by the parameters of the query, with foreign words in them."""
-    t = [f"t{i}" for i in range(10)]
-    texts = [" ".join(x) for x in (t, [*t[:5], "x", *t[5:]], [*t[:5], "x", "x", *t[5:]], [*t[:3], t[4], t[3], *t[5:]], t[:9], [*t[:9], "x", t[9]], ["z", *t[:2], "y", *t[2:], "z"], [], t[5:])]
-    docs = spark.createDataFrame([(n, n, x) for n, x in enumerate(texts)], "_row bigint, doc_id bigint, text string")
-    items = spark.createDataFrame([(1, " ".join(t))], "item_id bigint, text string")
-    for slop, far in ((decontaminate.SLOP, 0), (2, 1)):
-        got = {r["doc_id"]: (r["n_words"], r["n_near"], r["item_list"]) for r in decontaminate.proximity(docs, items, ["_row", "doc_id"], slop).collect()}
-        want = [1, 1, far, 1, 0, 1, 1, 0, 0]
-        assert got == {n: (len(words(x)), k, "1" * k) for n, (x, k) in enumerate(zip(texts, want, strict=True))}
+def near(docs, items, slop, size):
+    """(row, starts, items) by the definition, start by start."""
+    out = []
+    for n, t in enumerate(docs):
+        w, starts, found = words(t), set(), set()
+        for name, x in items:
+            v = words(x)
+            for j in range(max(1, len(v) - size + 1) if v else 0):
+                g = v[j : j + size]
+                for s in range(-slop, len(w) + slop):
+                    if all(any(0 <= p < len(w) and w[p] == y for p in range(s + o - slop, s + o + slop + 1)) for o, y in enumerate(g)):
+                        starts.add(s)
+                        found.add(str(name))
+        out.append((n, len(w), len(starts), ",".join(sorted(found))))
+    return out
+
+
+@pytest.mark.parametrize(("slop", "size"), [(0, 3), (1, 3), (2, 4)])
+def test_proximity_is_its_definition(spark, slop, size):
+    """Near matches on random texts; a document's are the same whether it stands alone or beside others."""
+    rng = random.Random(slop)
+    docs = [" ".join(rng.choice("abcdxyz") for _ in range(rng.randrange(0, 14))) for _ in range(40)] + ["alpha x beta y gamma", "", None]
+    items = [(1, "a b c d a"), (2, "d c"), (3, "b"), (4, "alpha beta gamma"), (5, "c c b"), (6, None)]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+
+    def ours(texts):
+        d = spark.createDataFrame(list(enumerate(texts)), "_row bigint, text string")
+        return sorted((r["_row"], r["n_words"], r["n_near"], r["item_list"]) for r in decontaminate.proximity(d, b, ["_row"], slop, size).collect())
+
+    want = near(docs, items, slop, size)
+    assert ours(docs) == want
+    assert ours(docs[40:]) == [(n, *w[1:]) for n, w in enumerate(want[40:])]
 
 
 def test_loose_index_has_all_places_of_near_matches(spark):

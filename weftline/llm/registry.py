@@ -15,7 +15,6 @@ QUERIES = {
     "op6_set_relation_join": setjoin.op6_set_relation_join,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_positional_index": decontaminate.op8_positional_index,
-    "op8_proximity_matches": decontaminate.op8_proximity_matches,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_wavelet_shards": tokens.op10_wavelet_shards,
     "op11_token_alignment": align.op11_token_alignment,
