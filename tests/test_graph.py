@@ -136,3 +136,34 @@ def test_adjacency(spark):
     assert sorted(map(tuple, graph.from_adjacency(nodes).collect())) == [("a", "a"), ("a", "b"), ("a", "b"), ("a", "c#x"), ("b#", "a")]
     back = graph.to_adjacency(graph.from_adjacency(clean), clean.select("node", "rank"))
     assert [tuple(r) for r in back.collect()] == [("a", 2.0, ["b"])]
+
+
+def test_ranks_by_changes(spark):
+    """The same ranks as by whole steps, with nodes that vanish, targets that are no sources, loops and repeated edges."""
+    import random
+
+    draw = random.Random(8)
+    pairs = [(f"n{draw.randrange(30)}", f"n{draw.randrange(40)}") for _ in range(150)] + [("root", "mid"), ("mid", "n1"), ("n2", "n2"), ("n3", "n4"), ("n3", "n4")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for steps in (1, 2, 4):
+        want = {r["node"]: r["rank"] for r in graph.pagerank(edges, steps).collect()}
+        got = {r["node"]: r["rank"] for r in graph.settled_pagerank(edges, steps, part=2).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_ranks_settle(spark):
+    """What has come to rest is sent no more, and the iteration ends by itself."""
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(6)] + [("a", "b"), ("b", "a"), ("c6", "c6")]
+    history = []
+    got = {r["node"]: r["rank"] for r in graph.settled_pagerank(spark.createDataFrame(chain, "src string, dst string"), 60, 1e-2, history=history).collect()}
+    assert history[-1] == 0 and len(history) < 40 and max(history[8:]) < 9
+    assert abs(got["a"] - 1) < 1e-9 and "c0" not in got and "c5" not in got and abs(got["c6"] - 1) < 0.1
+
+
+def test_a_hot_source_is_many_tasks_work(spark):
+    star = spark.range(6000).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst")).unionByName(spark.range(50).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("hub").alias("dst")))
+    sizes = [r["count"] for r in graph.split_shares(star, 100).groupBy("src", "part").count().collect() if r["src"] == "hub"]
+    assert len(sizes) == 60 and max(sizes) < 160
+    want = {r["node"]: r["rank"] for r in graph.pagerank(star, 3).collect()}
+    got = {r["node"]: r["rank"] for r in graph.settled_pagerank(star, 3, part=100).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -158,18 +158,6 @@ def parse_anchors(html: pd.Series) -> pd.Series:
 _ANCHOR = '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 
 
-def _first(html: Column, tag: str) -> Column:
-    return F.regexp_extract(html, f"<{tag}[^>]*>([^<]*)</{tag}>", 1)
-
-
-def title_of(html: Column) -> Column:
-    return _first(html, "title")
-
-
-def h1_of(html: Column) -> Column:
-    return _first(html, "h1")
-
-
 def anchors_of(html: Column) -> Column:
     """An array of (href, anchor) of plainly written anchors, in order."""
     found = [F.regexp_extract_all(html, F.lit(_ANCHOR), k) for k in (1, 2)]

@@ -143,6 +143,47 @@ def pagerank(edges: DataFrame, n: int = 30, self_loops: bool = False, restrict:
     return ranks.join(sources, "node", "left_semi")
 
 
+def split_shares(edges: DataFrame, part: int) -> DataFrame:
+    """(src, part, dst, m, deg, parts): edges (src, dst) once each with how often they stand, their source's degree, and
+    which of its parts they are dealt to, by hash of the target: a source of many edges has one for each ``part`` of them."""
+    once = edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
+    deg = once.groupBy("src").agg(F.sum("m").alias("deg"), F.ceil(F.count("*") / part).alias("parts"))
+    return once.join(deg, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).alias("part"), "dst", "m", "deg", "parts")
+
+
+def settled_pagerank(edges: DataFrame, steps: int = 40, tolerance: float = 0.0, part: int = 1 << 16, damping: float = 0.85, history: list[int] | None = None) -> DataFrame:
+    """``pagerank`` by changes: (node, rank) after ``steps`` steps, or when no rank changes by more than ``tolerance``.
+
+    A node keeps the sum it has received and how many nodes it came from. A step sends on only what ranks have changed by
+    since they were last sent, from nodes that changed, and a node that nothing reaches any more takes back what it sent.
+    Changes within the tolerance wait until they add up. Edges lie in buckets by source and part, so that a source of many
+    edges is many tasks' work; its change is copied once for each part. ``history`` gets how many nodes changed, by step.
+    """
+    shares = bucketed(split_shares(edges, part), ["src", "part"], "rank-parts")
+    sources = bucketed(shares.groupBy(F.col("src").alias("node")).agg(F.max("parts").alias("parts")), "node", "rank-sources")
+    zero = F.lit(0.0)
+    state = sources.select("node", zero.alias("s"), F.lit(0).cast("long").alias("c"), F.lit(1.0).alias("rank"), zero.alias("sent"), F.lit(0).alias("was"), F.lit(1.0).alias("change"), F.lit(1).alias("came"))
+    moves = (F.col("change") != 0) | (F.col("came") != 0)
+    for _ in range(steps):
+        each = state.where(moves).select("node", "change", "came").join(sources, "node")
+        dealt = each.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "change", "came")
+        sums = dealt.join(shares, ["src", "part"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("m") * F.col("change") / F.col("deg")).alias("ds"), F.sum(F.col("m") * F.col("came")).alias("dc"))
+        told = state.select("node", "s", "c", (F.col("sent") + F.col("change")).alias("sent"), (F.col("was") + F.col("came")).alias("was"))
+        got = told.join(sums, "node", "full_outer").select(
+            "node", (F.coalesce("s", zero) + F.coalesce("ds", zero)).alias("s"), (F.coalesce("c", F.lit(0)) + F.coalesce("dc", F.lit(0))).alias("c"), F.coalesce("sent", zero).alias("sent"), F.coalesce("was", F.lit(0)).alias("was"),
+        )
+        got = got.withColumn("rank", F.when(F.col("c") > 0, F.lit(1 - damping) + F.lit(damping) * F.col("s")).otherwise(zero))
+        got = got.withColumn("came", F.when(F.col("c") > 0, 1).otherwise(0) - F.col("was")).withColumn("change", F.col("rank") - F.col("sent"))
+        small = (F.abs("change") <= tolerance) & (F.col("came") == 0)
+        state = bucketed(got.withColumn("change", F.when(small, 0.0).otherwise(F.col("change"))), "node", "rank-state")
+        changed = state.where(moves).join(sources, "node", "left_semi").count()
+        if history is not None:
+            history.append(changed)
+        if not changed:
+            break
+    return state.where("c > 0").join(sources, "node", "left_semi").select("node", "rank")
+
+
 def page_pagerank(links: DataFrame, n: int = 30, slice_: tuple[str, str] | None = None) -> DataFrame:
     """(row_key, rank): page ranks under the pages' md5, from cleaned links (src, dst) and self-loops."""
     no_hash = lambda c: ~F.contains(F.col(c), F.lit("#"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as words
 from weftline.functions import urls
-from weftline.functions.html import h1_of, parse_html, title_of
+from weftline.functions.html import parse_html
 from weftline.functions.lang import is_english
 from weftline.operators import crawl, graph, keywords, news, search
 from weftline.operators.segments import SegmentedIndex
@@ -94,9 +94,18 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir)
 
 
-@query("SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS h1 FROM pages")
+#: What a plain tag holds: references decoded (the ampersand's last, so that none is decoded twice), white space as one space.
+_PLAIN = "regexp_extract(html, '(?i)<{0}[^>]*>([^<]*)</{0}>', 1)"
+for _name, _char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '&{_name};?', '{_char}', 'g')"
+_PLAIN = f"trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_PLAIN.format('title')} AS title, {_PLAIN.format('h1')} AS h1 FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", title_of(F.col("html")).alias("title"), h1_of(F.col("html")).alias("h1"))
+    """Title and first heading by the HTML parser."""
+    parsed = table(spark, sf_dir, "pages").select("page_id", parse_html("url", "html").alias("p"))
+    return parsed.select("page_id", "p.title", "p.h1")
 
 
 @query()
@@ -234,6 +243,13 @@ def domain_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_domain_rank(_nation_edges(spark, sf_dir)), "rank")
 
 
+@query(ORACLES["domain_pagerank"])
+def settled_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranks by changes, until none changes any more, sources split into parts of eight edges."""
+    edges = graph.only_sources(graph.with_self_loops(_nation_edges(spark, sf_dir)))
+    return _rounded(graph.settled_pagerank(edges, 60, 1e-9, part=8), "rank")
+
+
 @query(f"WITH {_BIPARTITE}, {_rank_sql('edges', 5)} SELECT round(sum(rank), 6) AS total, count(*) AS n, round(avg(rank), 6) AS mean FROM r5")
 def rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.rank_stats(graph.pagerank(_bipartite(spark, sf_dir), 5)), "total", "mean")

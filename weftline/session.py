@@ -34,14 +34,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
-    """Write dealt by ``key`` into as many buckets as shuffles have partitions, and read back: joins and aggregates by
+def bucketed(df: DataFrame, key: str | list[str], tag: str) -> DataFrame:
+    """Write dealt by ``key`` (or keys) into as many buckets as shuffles have partitions, and read back: joins and aggregates by
     the key do not shuffle it again. The table's name lives only as long as it takes to read its plan."""
     spark = df.sparkSession
     name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [key] if isinstance(key, str) else key
     # dealt as the buckets are, so that each bucket is one file
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # external: the files stay
     return out
