@@ -17,6 +17,7 @@ from weftline.functions.html import parse_html
 from weftline.functions.lang import is_english
 from weftline.operators import crawl, graph, keywords, news, search
 from weftline.operators.segments import SegmentedIndex
+from weftline.operators.termstats import TermStats
 from weftline.session import shared_dir
 from weftline.sources import sinks, tables
 from weftline.sources.keyed import KeyedTable
@@ -334,6 +335,17 @@ def keyword_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(keywords.keyword_transfer(docs, "url"), "score")
 
 
+@query(ORACLES["tfidf_top5"])
+def incremental_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same keywords by statistics that were kept: documents came in three batches, one of them twice and out again."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    stats = TermStats(spark, f"{shared_dir(spark)}/termstats-{uuid.uuid4().hex}")
+    part = [docs.where(F.col("doc_id") % 3 == i) for i in range(3)]
+    for i, (batch, sign) in enumerate([(part[0], 1), (part[1], 1), (part[0], 1), (part[2], 1), (part[0], -1)]):
+        stats.add(batch, i, sign, fanout=3)
+    return _rounded(stats.keywords(docs), "score")
+
+
 # ---- search ----------------------------------------------------------------------------------
 
 #: Two fields: text, and the source as title.
