@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators import graph, search
 
+log = logging.getLogger(__name__)
+
 
 class Service:
     """``safety`` is an argument of each call, so that calls do not see each other's."""
@@ -55,7 +58,7 @@ class Service:
     METHODS = {"ping": "ping", "normalSearch": "normal_search", "advanceSearch": "advance_search", "newsSearch": "news_search", "keywords": "keywords", "getSink": "get_sink", "getSource": "get_source"}
 
     def handle(self, body: str) -> str:
-        """The response to a JSON-RPC 2.0 request. A failed search answers with an empty list."""
+        """The response to a JSON-RPC 2.0 request. A failed search is logged and answers with an empty list."""
         answer: dict = {"jsonrpc": "2.0", "id": None}
         try:
             request = json.loads(body)
@@ -70,7 +73,8 @@ class Service:
             answer["result"] = getattr(self, name)(**params) if isinstance(params, dict) else getattr(self, name)(*params)
         except TypeError as e:
             answer["error"] = {"code": -32602, "message": str(e)}
-        except Exception:  # noqa: BLE001
+        except Exception:
+            log.exception("%s failed", name)
             answer["result"] = []
         return json.dumps(answer)
 
