@@ -19,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; also made Spark's checkpoint folder if it has none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """The folder that driver and executors share; also made Spark's checkpoint folder if it has none. Only a local session
+    may leave it unset: elsewhere a machine's own folder is not shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or DEFAULT_SHARED
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
