@@ -58,6 +58,23 @@ def test_rolled_files(spark, sf):
     assert sorted((r["page_id"] is None, r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit") == [(False, 1, 1), (False, 3, 2), (True, None, 1)]
 
 
+def test_archives_of_others(spark):
+    """Records without this writer's own headers and ids: payloads are measured, what is not said of a revisit is null."""
+
+    def other(kind, block, **more):
+        head = [f"{k.replace('_', '-')}: {v}" for k, v in {"WARC_Type": kind, "WARC_Record_ID": "<urn:uuid:1-2>", "Content_Length": len(block), **more}.items()]
+        return warc.member("\r\n".join(["WARC/1.0", *head, "", ""]).encode() + block + b"\r\n\r\n")
+
+    answer = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x\r\n\r\ny"
+    folder = work_dir(spark, "test")
+    warc.write_shared(f"{folder}/a.warc.gz", b"".join([other("warcinfo", b"software: z"), other("response", answer, WARC_Target_URI="http://a"), other("revisit", b"HTTP/1.1 304\r\n\r\n", WARC_Payload_Digest="sha1:ABC"), other("response", b"cut")]))
+    got = sorted((r["record_type"], r["page_id"], r["payload_bytes"], r["payload_digest"], r["payload"]) for r in warc.read(spark, folder).collect())
+    assert got == [
+        ("response", None, 0, warc.sha1_base32(b""), b""), ("response", None, 9, warc.sha1_base32(b"<p>x\r\n\r\ny"), b"<p>x\r\n\r\ny"),
+        ("revisit", None, None, "ABC", None), ("warcinfo", None, 11, warc.sha1_base32(b"software: z"), b"software: z"),
+    ]
+
+
 def test_least_size(spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "b"), (4, "u", "b")], "page_id bigint, url string, html string")
     assert sorted(r["page_id"] for r in warc.with_refers(pages, 2).where("revisits").collect()) == [2]

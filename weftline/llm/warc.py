@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -96,8 +97,19 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _page(uri: str | None) -> int | None:
-    text = uri[1:-1].removeprefix(_ID) if uri else "null"
-    return None if text == "null" else int(text)
+    """The page of a record's id; null for ids that ``write`` has not made."""
+    text = (uri or "").strip("<>").removeprefix(_ID)
+    return int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) else None
+
+
+def described(head: dict[str, str], block: bytes) -> tuple[int | None, str | None, bytes | None]:
+    """(payload length, digest, payload) of a record. A response's payload, behind its HTTP head, and any other record's
+    block are measured; of a revisit, which has none, what the record says of it, or null."""
+    said = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if head.get("warc-type") == "revisit":
+        return int(head["x-payload-length"]) if "x-payload-length" in head else None, said, None
+    payload = block.partition(b"\r\n\r\n")[2] if head.get("warc-type") == "response" else block
+    return len(payload), said or sha1_base32(payload), payload
 
 
 def with_refers(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -154,7 +166,7 @@ READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string,
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """A row for every record of the folder's .warc.gz files; the payload of a revisit is null."""
+    """A row for every record of the folder's .warc.gz files, whoever wrote them, as ``described``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -163,9 +175,9 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                 rows, size = [], 0
                 for data in members(memoryview(content.as_buffer())):
                     head, block = parse(data)
-                    kind = head["warc-type"]
-                    body = block.partition(b"\r\n\r\n")[2] if kind == "response" and payloads else None
-                    rows.append((_page(head["warc-record-id"]), head.get("warc-target-uri"), int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"), kind, _page(head.get("warc-refers-to")), body))
+                    length, digest, body = described(head, block)
+                    body = body if payloads else None
+                    rows.append((_page(head.get("warc-record-id")), head.get("warc-target-uri"), length, digest, head.get("warc-type"), _page(head.get("warc-refers-to")), body))
                     size += len(body or b"")
                     if size > 8 << 20 or len(rows) >= 10_000:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
