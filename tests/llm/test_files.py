@@ -187,3 +187,17 @@ def test_slots_over_many_buckets(spark):
         by.setdefault(r["shard"], []).append(r["slot"])
     assert sorted(by) == [0, 1, 2, 3] and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert max(map(len, by.values())) < 1.3 * 1250
+
+
+def test_slots_do_not_show_the_ranges(spark):
+    """One order of slots whatever the number of ranges; a key with a third of all rows is dealt over them."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("size"))
+    cut = [sharding.assign(df, sharding.stable_key(F.col("doc_id")), 4, ["doc_id", "size"], per_bucket=p).select("doc_id", "size", "shard", "slot").orderBy("size").collect() for p in (10, 100, 10_000)]
+    assert cut[0] == cut[1] == cut[2]
+    assert len({r["shard"] for r in cut[0] if r["doc_id"] == 7}) == 1
+
+
+def test_keys_in_hex(spark):
+    rows = spark.createDataFrame([("12",), ("",), (None,)], "k string")
+    got = [r[0] for r in rows.select(sharding.stable_key(F.col("k"))).collect()]
+    assert got == [int.from_bytes(hashlib.md5(x).digest()[:8], "big", signed=True) for x in (b"2:12", b"0:", b"-")]
