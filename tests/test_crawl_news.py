@@ -89,7 +89,7 @@ def test_gate_stream_equals_batch(spark, tmp_path):
 def test_topic_filter(spark, tmp_path):
     rows = [("http://A.x/", at(0)), ("http://a.x", at(1)), ("http://b.x", at(2))]
     spark.createDataFrame(rows, "link string, ts timestamp").coalesce(1).write.json(str(tmp_path / "in"))
-    go = lambda: drain(stream.topic_filter(stream.link_source(spark, str(tmp_path / "in")), str(tmp_path / "marks"), str(tmp_path / "out"), str(tmp_path / "ck")))
+    go = lambda: drain(stream.topic_filter(stream.link_source(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")))
     go()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     spark.createDataFrame([("http://b.x/", at(100000)), ("http://c.x", at(100001))], "link string, ts timestamp").coalesce(1).write.mode("append").json(str(tmp_path / "in"))

@@ -65,7 +65,8 @@ def dedup_recent(links: DataFrame, minutes: int = 60, key: Callable = normalize_
 
 def dedup_global(marks: str) -> Callable[[DataFrame, int], DataFrame]:
     """For foreachBatch: links that no earlier batch marked, marked now under the batch's own folder, so that a batch
-    that is run again replaces its marks and gives the same links."""
+    that is run again replaces its marks and gives the same links. It reads all marks; a stream that lives long takes
+    ``seen_once``."""
 
     def run(batch: DataFrame, epoch: int) -> DataFrame:
         spark = batch.sparkSession
@@ -82,14 +83,17 @@ def dedup_global(marks: str) -> Callable[[DataFrame, int], DataFrame]:
     return run
 
 
-def topic_filter(links: DataFrame, marks: str, out: str, checkpoint: str):
-    """A stream of links without repeats, within the hour and over all time, written as Parquet."""
-    once = dedup_global(marks)
+def seen_once(links: DataFrame) -> DataFrame:
+    """Links whose normalised URL never came before, over the whole life of the stream, with its url_hash: marks are rows of
+    keyed state, spread by the hash, and a batch looks up its own links' marks alone."""
+    return links.withColumn("url_hash", F.md5(normalize_url(F.col("link")))).dropDuplicates(["url_hash"])
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        once(batch, epoch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    return dedup_recent(links).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def topic_filter(links: DataFrame, out: str, checkpoint: str):
+    """A stream of links (url_hash, link) without repeats, over all time, written as Parquet; what has come lies in the
+    checkpoint's state (RocksDB in a session of ``session``)."""
+    once = seen_once(links).select("url_hash", "link")
+    return once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def fetch_and_parse(accepted: DataFrame, pages: DataFrame) -> DataFrame:

@@ -12,19 +12,13 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weftline.functions.urls import host_name, normalize_url
+from weftline.functions.urls import host_name
 from weftline.schemas import PAGE
-from weftline.streaming.crawl import fetch_and_parse, frontier
+from weftline.streaming.crawl import fetch_and_parse, frontier, seen_once
 
 LINK = "link string, ts timestamp"
 
 
-def seen_once(links: DataFrame) -> DataFrame:
-    """Links whose normalised URL never came before, over the whole life of the stream: marks are rows of keyed state,
-    spread by the URL's hash, and a batch looks up its own links' marks alone."""
-    return links.withColumn("url_hash", F.md5(normalize_url(F.col("link")))).dropDuplicates(["url_hash"]).drop("url_hash")
-
-
 class Polite(StatefulProcessor):
     """One host: its last accepted time and the links that wait, by number. A timer lets the next one out when the interval
     has passed, so that a link is never sent round again."""
@@ -95,7 +89,7 @@ def crawl_loop(spark: SparkSession, links: str, pages: DataFrame, out: str, chec
         finally:
             batch.unpersist()
 
-    return polite(seen_once(source), interval_ms).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+    return polite(seen_once(source).drop("url_hash"), interval_ms).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
 
 
 class Strides(StatefulProcessor):
