@@ -50,10 +50,11 @@ def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
     store.delete(was, True)
 
 
-def wide_rows(cells: DataFrame, key: str, qualifier: str, value: str) -> DataFrame:
-    """(key, cells): the map view of the long form; of equal qualifiers the smallest value stays."""
-    once = cells.groupBy(key, qualifier).agg(F.min(value).alias(value))
-    return once.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(qualifier, value)))).alias("cells"))
+def wide_rows(cells: DataFrame, key: str | list[str], qualifier: str, value: str) -> DataFrame:
+    """(key, cells): the map view of the long form; of equal qualifiers the smallest value stays. ``key``: a column or several."""
+    keys = [key] if isinstance(key, str) else key
+    once = cells.groupBy(*keys, qualifier).agg(F.min(value).alias(value))
+    return once.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(qualifier, value)))).alias("cells"))
 
 
 def to_dot(edges: DataFrame, name: str = "G", limit: int = 10_000) -> str:
