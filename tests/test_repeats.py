@@ -25,3 +25,17 @@ def test_pages_with_one_url(spark, tmp_path):
     again = pages.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 1_000_000)
     pages.unionByName(again).write.parquet(f"{tmp_path}/pages.parquet")
     same_as_sql(spark, tmp_path, "wide_rows", "pages")
+
+
+@pytest.mark.parametrize("frequent", [3, 1 << 17])
+def test_documents_with_one_id(spark, tmp_path, monkeypatch, frequent):
+    """Keywords, whether few terms' df are known at first or all."""
+    from weftline.operators import keywords
+
+    monkeypatch.setattr(keywords, "FREQUENT", frequent)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" the end Ä")))).write.parquet(f"{tmp_path}/documents.parquet")
+    same_as_sql(spark, tmp_path, "tfidf_top5", "documents")
+    # what is shuffled is texts, and not their terms
+    plan = keywords.doc_terms(spark.read.parquet(f"{tmp_path}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" in plan[: plan.index("Exchange")]

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.keywords import doc_terms, term_df
+from weftline.operators.keywords import best_terms, doc_terms, term_df
+from weftline.session import written
 from weftline.sources.keyed import Conflict, Folder, Versions
-from weftline.sources.sinks import ranked
 
 FANOUT = 8  # so many deltas of about one size are added up
 
@@ -93,16 +93,8 @@ class TermStats:
         """``keywords.interesting_keywords`` of some documents by the statistics of all that are in: (key, rank, keyword,
         score). Only these documents are analysed; a term that is not in counts as of no document."""
         now = self.deltas()
-        n = sum(d["docs"] for d in now)
-        terms = doc_terms(docs, self.key, self.text)
-        # of the deltas, the rows of these documents' terms alone are added up
-        asked = terms.select("term").distinct()
-        df = self._read([d["name"] for d in now]).join(asked, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-        idf = 1 + F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1))
-        scored = terms.join(df, "term", "left").select(self.key, "term", F.round(F.col("tf") * idf, 9).alias("score"))
-        top = ranked(scored, [self.key], [F.desc("score"), F.asc("term")], k)
-        best = F.max("score").over(Window.partitionBy(self.key))
-        return top.select(self.key, "rank", F.col("term").alias("keyword"), (F.col("score") / best).alias("score"))
+        df = written(self._read([d["name"] for d in now]).groupBy("term").agg(F.sum("df").alias("df")), "df")
+        return best_terms(doc_terms(docs, self.key, self.text), df, sum(d["docs"] for d in now), k, self.key)
 
 
 def stream_keywords(docs: DataFrame, stats: TermStats, out: str, checkpoint: str, k: int = 5):
