@@ -39,3 +39,23 @@ def test_documents_with_one_id(spark, tmp_path, monkeypatch, frequent):
     # what is shuffled is texts, and not their terms
     plan = keywords.doc_terms(spark.read.parquet(f"{tmp_path}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" in plan[: plan.index("Exchange")]
+
+
+def test_searches_of_documents_with_one_id(spark, tmp_path):
+    """An id's rows are one document, whose length is theirs together; a query's terms alone are counted, and a frequent one's
+    postings do not meet by term."""
+    from weftline.functions import text
+    from weftline.operators import search
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("the end of the erings"))).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("advanced_search", "english_index", "english_search"):
+        same_as_sql(spark, tmp_path, name, "documents")
+    both = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    index = search.build_index(both, "doc_id", ["text", "source"], text.ENGLISH)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(index.postings).count("Exchange") == 2  # the texts, and once more by stems
+    assert plan(search.build_index(both, "doc_id", ["text", "source"]).postings).count("Exchange") == 1
+    some = index.only(["end", "er"])
+    assert {r["term"] for r in some.postings.select("term").distinct().collect()} == {"end", "er"}
+    assert "BroadcastHashJoin" in plan(search.phrase_scores(some, [[("end", 0)]], {"text": 1.0}))

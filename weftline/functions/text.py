@@ -153,10 +153,12 @@ def stem_table(words: DataFrame) -> DataFrame:
 
 
 def stemmed(placed: DataFrame, stems: DataFrame | None = None) -> DataFrame:
-    """Rows of (word, ...) with ``term`` in the word's place: its stem, looked up in ``stems`` or a table of their own."""
-    by = stem_table(placed) if stems is None else stems
+    """Rows of (word, ...) with ``term`` in the word's place: its stem, looked up in ``stems``, or made where the row is by
+    workers that remember the words they have met, so that no row is shuffled by its word."""
     rest = [c for c in placed.columns if c != "word"]
-    return placed.join(by, "word", "left").select(*rest, F.coalesce("stem", "word").alias("term"))
+    if stems is None:
+        return placed.select(*rest, _porter("word").alias("term"))
+    return placed.join(stems, "word", "left").select(*rest, F.coalesce("stem", "word").alias("term"))
 
 
 @dataclass(frozen=True)

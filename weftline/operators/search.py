@@ -5,14 +5,15 @@ Scores are BM25 with k1 = 1.2 and b = 0.75, statistics over all documents that h
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import SIMPLE, Analyzer, simple_tokens, stem_table, stemmed
+from weftline.functions.text import SIMPLE, Analyzer, simple_tokens, stemmed
 from weftline.functions.urls import domain
+from weftline.session import dealt, written
 
 K1, B = 1.2, 0.75
 # The boosts of the web and the news index.
@@ -23,13 +24,23 @@ NEWS_BOOSTS = {"text": 2.0, "title": 1.0}
 @dataclass
 class Index:
     """postings (key, field, term, tf, positions), lengths (key, field, len), stats (field, n_docs, avg_len), and the
-    analyzer that they were made with, which takes queries apart too."""
+    analyzer that they were made with, which takes queries apart too. ``some``, if there is one, makes the postings of some
+    terms from the texts, without those of others."""
 
     key: str
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
     analyzer: Analyzer = SIMPLE
+    some: Callable[[list[str]], DataFrame] | None = None
+
+    def only(self, terms: list[str]) -> Index:
+        """The index for a query of these terms: where it is no stored one, their postings and all lengths are made once, and
+        written."""
+        if self.some is None:
+            return self
+        lengths = written(self.lengths, "query-lengths")
+        return Index(self.key, written(self.some(terms), "query-postings"), lengths, _stats(lengths), self.analyzer)
 
     def cached(self) -> Index:
         return Index(self.key, self.postings.cache(), self.lengths.cache(), self.stats.cache(), self.analyzer)
@@ -50,7 +61,7 @@ def read_indexed(spark, path: str, key: str = "doc_key") -> Index:
     read = lambda t: spark.read.parquet(f"{path}/{t}")
     last = read("keys").groupBy(key).agg(F.max("epoch").alias("epoch"))
     postings, lengths = (read(t).join(last, [key, "epoch"], "left_semi").drop("epoch") for t in ("postings", "lengths"))
-    return Index(key, postings, lengths, lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")))
+    return Index(key, postings, lengths, _stats(lengths))
 
 
 def page_fields(pages: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
@@ -79,17 +90,28 @@ def build_index(docs: DataFrame, key: str, fields: list[str], analyze=SIMPLE, st
     if not isinstance(analyze, Analyzer):
         terms = analyze
         analyze = Analyzer(lambda c: F.transform(terms(c), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), simple_tokens)
-    each = reduce(DataFrame.unionByName, [docs.select(key, F.lit(f).alias("field"), analyze.words(F.col(f)).alias("words")) for f in fields])
-    lengths = each.select(key, "field", F.size("words").cast("long").alias("len")).where("len > 0")
-    places = each.select(key, "field", F.inline("words"))
-    if analyze.stems:  # one row a word and document before their stems are looked up
-        by_word = places.groupBy(key, "field", "word").agg(F.collect_list("pos").alias("at"))
-        rows = stemmed(by_word, stems) if stems is not None else stemmed(by_word, stem_table(places))
-        postings = rows.groupBy(key, "field", "term").agg(F.sum(F.size("at")).alias("tf"), F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
-    else:
-        postings = places.groupBy(key, "field", F.col("word").alias("term")).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    stats = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    return Index(key, postings, lengths, stats, analyze)
+    texts = lambda rows: rows.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analyze.words(F.col(f)).alias("words")) for f in fields))).alias("_e")).select(key, "_e.*")
+    rows = docs.select(key, *dict.fromkeys(fields))
+    lengths = texts(rows).select(key, "field", F.size("words").cast("long").alias("len")).where("len > 0").groupBy(key, "field").agg(F.sum("len").alias("len"))
+
+    def grouped(places: DataFrame) -> DataFrame:
+        if analyze.stems:  # one row a word and document before their stems are made
+            found = stemmed(places.groupBy(key, "field", "word").agg(F.collect_list("pos").alias("at")), stems)
+            return found.groupBy(key, "field", "term").agg(F.sum(F.size("at")).alias("tf"), F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+        return places.groupBy(key, "field", F.col("word").alias("term")).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+    def some(terms: list[str]) -> DataFrame:
+        # a stem begins as its words do
+        fine = F.substring("word", 1, 1).isin(sorted({t[:1] for t in terms})) if analyze.stems else F.col("word").isin(sorted(set(terms)))
+        return grouped(texts(rows).select(key, "field", F.inline("words")).where(fine)).where(F.col("term").isin(sorted(set(terms))))
+
+    # texts are dealt by key before they are taken apart, so that no postings are shuffled
+    postings = grouped(texts(dealt(rows, key)).select(key, "field", F.inline("words")))
+    return Index(key, postings, lengths, _stats(lengths), analyze, some if stems is None else None)
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
 def _idf(df: Column) -> Column:
@@ -114,7 +136,8 @@ def best_fields(index: Index, terms: list[str], boosts: dict[str, float]) -> Dat
     times = F.lit(0)
     for t in set(terms):
         times = F.when(F.col("term") == t, F.lit(terms.count(t))).otherwise(times)
-    full = hits.drop("positions").join(df, ["field", "term"]).join(index.stats, "field").join(index.lengths, [index.key, "field"])
+    # a row for each field and term of the query goes to all tasks, so that a frequent term's postings stay dealt
+    full = hits.drop("positions").join(F.broadcast(df.join(index.stats, "field")), ["field", "term"]).join(index.lengths, [index.key, "field"])
     each = full.groupBy(index.key, "field").agg(F.sum(_idf(F.col("df")) * _tf(F.col("tf")) * times).alias("s"))
     return each.groupBy(index.key).agg(F.max(F.col("s") * _boost(boosts)).alias("score"))
 
@@ -123,14 +146,14 @@ def phrase_scores(index: Index, phrases: list[list[tuple[str, int]]], boosts: di
     """(clause, key, score) of every phrase (its terms and their places) and document that holds it in some field: all terms,
     as far from each other as in the phrase."""
     rows = [(c, i - p[0][1], t, len(p)) for c, p in enumerate(phrases) for t, i in p]
-    asked = index.postings.sparkSession.createDataFrame(rows, "clause int, off int, term string, need int")
+    asked = F.broadcast(index.postings.sparkSession.createDataFrame(rows, "clause int, off int, term string, need int"))
     hits = index.postings.where(F.col("term").isin(sorted({t for p in phrases for t, _ in p})) & F.col("field").isin(list(boosts)))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = asked.join(df, "term").join(index.stats, "field").groupBy("clause", "field").agg(F.sum(_idf(F.col("df"))).alias("idf"))
+    idf = df.join(asked, "term").join(index.stats, "field").groupBy("clause", "field").agg(F.sum(_idf(F.col("df"))).alias("idf"))
     starts = hits.join(asked, "term").select(index.key, "field", "clause", "need", "off", F.explode("positions").alias("pos"))
     whole = starts.groupBy(index.key, "field", "clause", "need", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n")).where("n = need")
     freq = whole.groupBy(index.key, "field", "clause").agg(F.count("*").alias("tf"))
-    full = freq.join(idf, ["clause", "field"]).join(index.stats, "field").join(index.lengths, [index.key, "field"])
+    full = freq.join(F.broadcast(idf.join(index.stats, "field")), ["clause", "field"]).join(index.lengths, [index.key, "field"])
     return full.groupBy("clause", index.key).agg(F.max(F.col("idf") * _tf(F.col("tf")) * _boost(boosts)).alias("score"))
 
 
@@ -150,17 +173,20 @@ def _clauses(index: Index, phrases: list[str] | None) -> list[list[tuple[str, in
 
 def simple_search(index: Index, query: str, boosts: dict[str, float] = WEB_BOOSTS, blocked: list[str] | None = None) -> DataFrame:
     """(key, score) of documents with any of the query's terms and none of the blocked phrases."""
-    return _without(index, best_fields(index, terms_of(query, index.analyzer), boosts), _clauses(index, blocked), boosts)
+    terms, barred = terms_of(query, index.analyzer), _clauses(index, blocked)
+    index = index.only([*terms, *(t for p in barred for t, _ in p)])
+    return _without(index, best_fields(index, terms, boosts), barred, boosts)
 
 
 def advanced_search(index: Index, must: list[str], must_not: list[str], should: list[str], boosts: dict[str, float] = WEB_BOOSTS, blocked: list[str] | None = None) -> DataFrame:
     """(key, score): all of the must phrases, none of must_not and blocked; some should phrase where there is no must.
     The score is the sum over matched clauses. Clauses without terms count for nothing."""
-    need, may = _clauses(index, must), _clauses(index, should)
+    need, may, barred = _clauses(index, must), _clauses(index, should), _clauses(index, [*must_not, *(blocked or [])])
+    index = index.only([t for p in need + may + barred for t, _ in p])
     clauses = phrase_scores(index, need + may, boosts)
     found = clauses.groupBy(index.key).agg(F.sum("score").alias("score"), F.sum((F.col("clause") < len(need)).cast("int")).alias("n_must"), F.count("*").alias("n"))
     hits = found.where((F.col("n_must") == len(need)) & (F.col("n") > 0)).select(index.key, "score")
-    return _without(index, hits, _clauses(index, [*must_not, *(blocked or [])]), boosts)
+    return _without(index, hits, barred, boosts)
 
 
 def top_hits(hits: DataFrame, key: str, n: int = 10) -> DataFrame:
@@ -188,5 +214,6 @@ def decay(ts: Column, now: Column, scale_min: float = 240.0, offset_min: float =
 def news_search(index: Index, news: DataFrame, query: str, now: Column, ts: str = "pub_date", boosts: dict[str, float] = NEWS_BOOSTS, n: int = 10) -> DataFrame:
     """(key, pub_date, score): the n best news by BM25 times the decay of their age; scores are rounded to six places before
     they are compared."""
-    hits = best_fields(index, terms_of(query, index.analyzer), boosts).join(news.select(index.key, ts), index.key)
+    terms = terms_of(query, index.analyzer)
+    hits = best_fields(index.only(terms), terms, boosts).join(news.select(index.key, ts), index.key)
     return top_hits(hits.withColumn("score", F.round(F.col("score") * decay(F.col(ts), now), 6)), index.key, n)
