@@ -59,3 +59,15 @@ def test_searches_of_documents_with_one_id(spark, tmp_path):
     some = index.only(["end", "er"])
     assert {r["term"] for r in some.postings.select("term").distinct().collect()} == {"end", "er"}
     assert "BroadcastHashJoin" in plan(search.phrase_scores(some, [[("end", 0)]], {"text": 1.0}))
+
+
+def test_postings_of_a_segment_are_shuffled_once(spark, tmp_path):
+    from weftline.operators.segments import SegmentedIndex
+
+    index = SegmentedIndex(spark, str(tmp_path), "doc_id", ["text"], per_range=4, key_type="bigint")
+    docs = spark.createDataFrame([(i, f"word{i % 3} common") for i in range(40)], "doc_id long, text string")
+    found = index._found(docs, "s")
+    assert found.count() == 40 and found.agg(F.max("r")).first()[0] < 10
+    by_term = found.select("r", F.inline("posts")).groupBy("term", "r").agg(F.count("*").alias("n"))
+    assert "Exchange" not in by_term._jdf.queryExecution().executedPlan().toString()
+    assert by_term.where("term = 'common'").agg(F.sum("n")).first()[0] == 40

@@ -84,30 +84,40 @@ def update_fields(index_rows: DataFrame, updates: DataFrame, key: str = "doc_key
     return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in index_rows.columns))
 
 
+def _texts(rows: DataFrame, keys: list[str], fields: list[str], analyzer: Analyzer) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(f).alias("field"), analyzer.words(F.col(f)).alias("words")) for f in fields))
+    return rows.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e.*")
+
+
+def _grouped(places: DataFrame, keys: list[str], analyzer: Analyzer, stems: DataFrame | None = None) -> DataFrame:
+    if analyzer.stems:  # one row a word and document before their stems are made
+        found = stemmed(places.groupBy(*keys, "field", "word").agg(F.collect_list("pos").alias("at")), stems)
+        return found.groupBy(*keys, "field", "term").agg(F.sum(F.size("at")).alias("tf"), F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    return places.groupBy(*keys, "field", F.col("word").alias("term")).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def postings_of(rows: DataFrame, keys: list[str], fields: list[str], analyzer: Analyzer, stems: DataFrame | None = None) -> DataFrame:
+    """(keys, field, term, tf, positions) of rows (keys, fields); rows that lie dealt by one of the keys stay where they are,
+    unless their words are stemmed."""
+    return _grouped(_texts(rows, keys, fields, analyzer).select(*keys, "field", F.inline("words")), keys, analyzer, stems)
+
+
 def build_index(docs: DataFrame, key: str, fields: list[str], analyze=SIMPLE, stems: DataFrame | None = None) -> Index:
     """``analyze``: an Analyzer, or a Column function from text to an array of terms. Words are stemmed where the analyzer
     says so, through ``stems`` (word, stem) or a table of the corpus's own distinct words."""
     if not isinstance(analyze, Analyzer):
         terms = analyze
         analyze = Analyzer(lambda c: F.transform(terms(c), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), simple_tokens)
-    texts = lambda rows: rows.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analyze.words(F.col(f)).alias("words")) for f in fields))).alias("_e")).select(key, "_e.*")
     rows = docs.select(key, *dict.fromkeys(fields))
-    lengths = texts(rows).select(key, "field", F.size("words").cast("long").alias("len")).where("len > 0").groupBy(key, "field").agg(F.sum("len").alias("len"))
-
-    def grouped(places: DataFrame) -> DataFrame:
-        if analyze.stems:  # one row a word and document before their stems are made
-            found = stemmed(places.groupBy(key, "field", "word").agg(F.collect_list("pos").alias("at")), stems)
-            return found.groupBy(key, "field", "term").agg(F.sum(F.size("at")).alias("tf"), F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
-        return places.groupBy(key, "field", F.col("word").alias("term")).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    lengths = _texts(rows, [key], fields, analyze).select(key, "field", F.size("words").cast("long").alias("len")).where("len > 0").groupBy(key, "field").agg(F.sum("len").alias("len"))
 
     def some(terms: list[str]) -> DataFrame:
         # a stem begins as its words do
         fine = F.substring("word", 1, 1).isin(sorted({t[:1] for t in terms})) if analyze.stems else F.col("word").isin(sorted(set(terms)))
-        return grouped(texts(rows).select(key, "field", F.inline("words")).where(fine)).where(F.col("term").isin(sorted(set(terms))))
+        return _grouped(_texts(rows, [key], fields, analyze).select(key, "field", F.inline("words")).where(fine), [key], analyze, stems).where(F.col("term").isin(sorted(set(terms))))
 
     # texts are dealt by key before they are taken apart, so that no postings are shuffled
-    postings = grouped(texts(dealt(rows, key)).select(key, "field", F.inline("words")))
-    return Index(key, postings, lengths, _stats(lengths), analyze, some if stems is None else None)
+    return Index(key, postings_of(dealt(rows, key), [key], fields, analyze, stems), lengths, _stats(lengths), analyze, some if stems is None else None)
 
 
 def _stats(lengths: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@
 * ``postings`` (seg, term, field, r, n, max_tf, min_len, rows), sorted by term: the documents of a segment are dealt by hash
   into ranges of about ``RANGE``, and a row has all postings of a term and field in one range, so that ``max_tf`` and
   ``min_len`` bound what any of them scores;
-* ``docs`` (seg, key, field, len, terms): what each document holds;
+* ``docs`` (seg, key, field, len, terms, r): what each document holds, and its range;
 * ``dead`` (seg, key), ``minus`` (seg, field, term, n), ``stats`` (seg, field, docs, len): the documents of other segments
   that this one replaced, and what they no longer count for; ``stats`` has the segment's own counts too.
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import SIMPLE, Analyzer
 from weftline.operators import search
+from weftline.session import bucketed, dealt, written
 from weftline.sources.keyed import Conflict, Folder, Versions
 
 RANGE = 256  # documents of a range, about
@@ -48,7 +49,7 @@ class SegmentedIndex:
         self.spark, self.path, self.key, self.fields, self.analyzer, self.per_range = spark, path.rstrip("/"), key, fields, analyzer, per_range
         self.versions = Versions(spark, f"{self.path}/manifest")
         self._schemas = {
-            "postings": _POSTINGS.format(key=key_type), "docs": f"seg string, key {key_type}, field string, len long, terms array<string>",
+            "postings": _POSTINGS.format(key=key_type), "docs": f"seg string, key {key_type}, field string, len long, terms array<string>, r long",
             "dead": f"seg string, key {key_type}", "minus": "seg string, field string, term string, n long", "stats": "seg string, field string, docs long, len long",
         }
 
@@ -75,55 +76,55 @@ class SegmentedIndex:
 
     # ---- writes
 
-    def _write(self, seg: str, postings: DataFrame, lengths: DataFrame, replaced: DataFrame) -> int:
-        """The tables of a new segment, from postings (key, field, term, tf, positions) and lengths (key, field, len), and the
-        docs rows of other segments that it replaces."""
-        folder, k = f"{self.path}/segments/{seg}", self.key
-        named = F.lit(seg).alias("seg")
-        postings.write.parquet(f"{folder}/found")  # analysed once
-        postings = self.spark.read.schema(postings.schema).parquet(f"{folder}/found")
-        terms = postings.groupBy(k, "field").agg(F.collect_list("term").alias("terms"))
-        docs = lengths.join(terms, [k, "field"]).select(named, F.col(k).alias("key"), "field", F.col("len").cast("long").alias("len"), "terms")
-        docs.write.parquet(f"{folder}/docs")
-        docs = self.spark.read.schema(self._schemas["docs"]).parquet(f"{folder}/docs")
-        n = docs.select("key").distinct().count()
-        ranges = max(1, -(-n // self.per_range))
-        each = postings.join(docs.select(F.col("key").alias(k), "field", "len"), [k, "field"])
-        row = F.struct(F.col(k).alias("key"), F.col("tf").cast("long").alias("tf"), "len", F.col("positions").cast("array<int>").alias("positions"))
-        # a group is a range's documents at most
-        rows = each.groupBy("term", "field", F.pmod(F.xxhash64(k), F.lit(ranges)).alias("r")).agg(
-            F.count("*").alias("n"), F.max("tf").cast("long").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(row)).alias("rows")
-        )
+    def _write(self, seg: str, docs: DataFrame, rows: DataFrame, gone: DataFrame, now: list) -> int:
+        """The tables of a new segment, from its docs (key, field, len, terms, r), its postings' rows by (term, field, r), which
+        may come in several parts, and the (seg, key) of documents that it replaces in segments of ``now``."""
+        folder, named = f"{self.path}/segments/{seg}", F.lit(seg).alias("seg")
+        read = lambda table: self.spark.read.schema(self._schemas[table]).parquet(f"{folder}/{table}")
+        docs.select(named, "key", "field", F.col("len").cast("long").alias("len"), "terms", F.col("r").cast("long").alias("r")).write.parquet(f"{folder}/docs")
+        docs = read("docs")
+        # the only shuffle of postings: groups are whole where their term's range is
         order = ["term", "field", "r"]
-        rows.select(named, *order, "n", "max_tf", "min_len", "rows").repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/postings")
-        replaced = replaced.persist()
-        try:
-            replaced.select("seg", "key").distinct().write.parquet(f"{folder}/dead")
-            replaced.select("seg", "field", F.explode("terms").alias("term")).groupBy("seg", "field", "term").agg(F.count("*").alias("n")).write.parquet(f"{folder}/minus")
-            count = lambda rows, sign: rows.groupBy("seg", "field").agg((sign * F.count("*")).alias("docs"), (sign * F.sum("len")).alias("len"))
-            count(docs, 1).unionByName(count(replaced, -1)).coalesce(1).write.parquet(f"{folder}/stats")
-        finally:
-            replaced.unpersist()
-        Folder(self.spark, folder).delete("found")
-        return n
+        whole = rows.select("term", "field", F.col("r").cast("long").alias("r"), "rows").repartitionByRange(*order).groupBy(*order).agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
+        most, least = F.array_max(F.transform("rows", lambda x: x["tf"])), F.array_min(F.transform("rows", lambda x: x["len"]))
+        whole = whole.select(named, *order, F.size("rows").cast("long").alias("n"), most.alias("max_tf"), least.alias("min_len"), "rows")
+        whole.sortWithinPartitions(*order).write.parquet(f"{folder}/postings")
+        gone.select("seg", "key").distinct().write.parquet(f"{folder}/dead")
+        replaced = self._read("docs", now).join(read("dead"), ["seg", "key"], "left_semi")
+        replaced.select("seg", "field", F.explode("terms").alias("term")).groupBy("seg", "field", "term").agg(F.count("*").alias("n")).write.parquet(f"{folder}/minus")
+        count = lambda rows, sign: rows.groupBy("seg", "field").agg((sign * F.count("*")).alias("docs"), (sign * F.sum("len")).alias("len"))
+        count(docs, 1).unionByName(count(replaced, -1)).coalesce(1).write.parquet(f"{folder}/stats")
+        return docs.select("key").distinct().count()
+
+    def _found(self, docs: DataFrame, seg: str) -> DataFrame:
+        """(r, key, field, len, posts) of a batch's documents, written in buckets of whole ranges. Texts are dealt by range
+        before they are taken apart, so that no postings are shuffled."""
+        k = self.key
+        ranges = max(1, -(-docs.select(k).distinct().count() // self.per_range))
+        rows = dealt(docs.withColumn("r", F.pmod(F.xxhash64(k), F.lit(ranges))), "r")
+        n = rows.rdd.getNumPartitions()
+        last = rows.groupBy("r", k).agg(F.max(F.struct(*self.fields)).alias("_f")).select("r", k, "_f.*")
+        posted = search.postings_of(last, ["r", k], self.fields, self.analyzer)
+        found = posted.groupBy("r", F.col(k).alias("key"), "field").agg(F.sum("tf").alias("len"), F.collect_list(F.struct("term", F.col("tf").cast("long").alias("tf"), F.col("positions").cast("array<int>").alias("positions"))).alias("posts"))
+        return bucketed(found, "r", "segment-found", f"{self.path}/segments/{seg}/found", n)
 
     def add(self, docs: DataFrame, epoch: int = -1, merge: bool = True) -> None:
         """Adds a batch of (key, fields). ``epoch``: a number that grows from batch to batch; one that is in the index already,
         as of a batch that a stream runs again, is not added twice. Then merges segments, if it is time."""
-        from weftline.sources.sinks import last_wins
-
         docs = docs.where(F.col(self.key).isNotNull()).select(self.key, *self.fields)
-        docs = last_wins(docs.withColumn("_all", F.struct(*self.fields)), [self.key], "_all").drop("_all")
         while True:
             version, now = self.versions.last() + 1, self.segments()
             if 0 <= epoch <= max((s["epoch"] for s in now), default=-1):
                 return
             seg = f"{version:012d}-{uuid.uuid4().hex[:8]}"
-            built = search.build_index(docs, self.key, self.fields, self.analyzer)
-            keys = docs.select(F.col(self.key).alias("key"))
+            found = self._found(docs, seg)
+            row = F.struct("key", "tf", "len", "positions")
+            rows = found.select("r", "key", "field", "len", F.inline("posts")).groupBy("term", "field", "r").agg(F.collect_list(row).alias("rows"))
+            keys = docs.select(F.col(self.key).alias("key")).distinct()
             # documents whose fields are all empty leave nothing, but replace what was there
-            replaced = self._live("docs", now).join(keys, "key", "left_semi")
-            n = self._write(seg, built.postings, built.lengths, replaced)
+            gone = self._live("docs", now).select("seg", "key").join(keys, "key", "left_semi")
+            n = self._write(seg, found.select("key", "field", "len", F.transform("posts", lambda x: x["term"]).alias("terms"), "r"), rows, gone, now)
+            Folder(self.spark, self.path).delete(f"segments/{seg}/found")
             try:
                 self._commit([tuple(s) for s in now] + [(seg, n, epoch)], version)
                 break
@@ -145,15 +146,25 @@ class SegmentedIndex:
             return False
         names = {s["seg"] for s in due}
         dead = self._read("dead", now).where(F.col("seg").isin(sorted(names)))
-        rows = self._read("postings", due).select("seg", "term", "field", F.inline("rows")).join(dead, ["seg", "key"], "left_anti")
-        lengths = self._read("docs", due).join(dead, ["seg", "key"], "left_anti").select(F.col("key").alias(self.key), "field", "len")
-        postings = rows.select(F.col("key").alias(self.key), "field", "term", "tf", "positions")
+        docs = self._read("docs", due)
+        # ranges stay together; they are numbered anew by the documents before them, so that small ones become one
+        of = {r["seg"]: r["of"] for r in docs.groupBy("seg").agg((F.max("r") + 1).alias("of")).collect()}
+        places, before = [], 0
+        for s in due:
+            places.append((s["seg"], before, s["docs"], of.get(s["seg"], 1)))
+            before += s["docs"]
+        placed = F.broadcast(self.spark.createDataFrame(places, "seg string, before long, many long, of long"))
+        renumbered = F.expr(f"(before + r * many div of) div {self.per_range}").alias("r")
+        gone = written(docs.join(dead, ["seg", "key"], "left_semi").groupBy("seg", "r").agg(F.collect_set("key").alias("gone")), "segment-gone")
+        rows = self._read("postings", due).select("seg", "term", "field", "r", "rows").join(gone, ["seg", "r"], "left").join(placed, "seg")
+        left = F.when(F.col("gone").isNull(), F.col("rows")).otherwise(F.filter("rows", lambda x: ~F.array_contains("gone", x["key"])))
+        rows = rows.select("term", "field", renumbered, left.alias("rows")).where("size(rows) > 0")
+        docs = docs.join(dead, ["seg", "key"], "left_anti").join(placed, "seg").select("key", "field", "len", "terms", renumbered)
         # what these segments replaced in others stays replaced
         rest = [s for s in now if s["seg"] not in names]
         others = [s["seg"] for s in rest]
-        replaced = self._read("docs", rest).join(self._read("dead", due).where(F.col("seg").isin(others)), ["seg", "key"], "left_semi")
         seg = f"{version:012d}-{uuid.uuid4().hex[:8]}"
-        n = self._write(seg, postings, lengths, replaced)
+        n = self._write(seg, docs, rows, self._read("dead", due).where(F.col("seg").isin(others)), rest)
         try:
             self._commit([tuple(s) for s in rest] + [(seg, n, max(s["epoch"] for s in due))], version)
         except Conflict:
