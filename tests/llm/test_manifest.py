@@ -80,6 +80,17 @@ def test_many_equal_rows(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
 
 
+def test_rows_that_nobody_tampered_with_are_folded_too():
+    own, other = bytes(range(32)), bytes(32)
+    path = f"{sha('a')},{sha('b')};,{sha('c')}"
+    row = lambda fake: ("=s", 9, 0, own, 0, 7, fake)
+    up = lambda h: sha(sha(sha("a") + h + sha("b")) + sha("c"))
+    got = list(manifest.proved([(row(None), path, b"\x01"), (row(other), path, b"\x01")]))
+    # a path that does not lead to the root shows, whether or not the row was changed
+    assert [r[4] for r in got] == [up(own.hex()), up(other.hex())]
+    assert {r[3] for r in got} == {sha(sha("a") + sha("b") + sha("c"))} and [r[0] for r in got] == [7, 7]
+
+
 def test_twin(sf, spark):
     for folder in sf:
         got = manifest.op12_radix_manifest(spark, folder)

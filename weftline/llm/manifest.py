@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -211,6 +211,14 @@ def fold(own: str, path: str) -> str:
     return own
 
 
+def proved(found: Iterable[tuple]) -> Iterator[tuple]:
+    """(doc_id, leaf, subroot, proof_sha256, folded_root) of (row, path, top): every row is folded up its path, with its
+    tampered digest where it has one, else with its own."""
+    for row, path, top in found:
+        own = row[3].hex()
+        yield row[5], own, top.hex(), digest(path.translate(_SEPARATORS)), fold(own if row[6] is None else row[6].hex(), path)
+
+
 def climb(nodes: DataFrame, fanout: int = FANOUT, block: int = BLOCK) -> list[DataFrame]:
     """Tables of nodes, each ``block`` levels above the one before, up to one root a group."""
     most, out = nodes.agg(F.max("n")).head()[0] or 0, [nodes]
@@ -256,14 +264,8 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, block: int = BLOCK, bits: in
         above = above.select("grp", "rank", "path", "top")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for r, path, top in _continued(batches, fanout, block):
-                own = r[3].hex()
-                folded = fold(r[6].hex(), path) if r[6] is not None else root
-                yield r[5], own, top.hex(), digest(path.translate(_SEPARATORS)), folded
-
         schema = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in ("leaf", "subroot", "proof_sha256", "folded_root"))])
-        yield from _batches(each(), schema)
+        yield from _batches(proved(_continued(batches, fanout, block)), schema)
 
     bounded(docs.sparkSession)
     out = _with_paths(rows, above, fanout**block).mapInArrow(run, "doc_id bigint, leaf string, subroot string, proof_sha256 string, folded_root string")
