@@ -118,3 +118,22 @@ def test_the_last_buffer_leaves_when_idle(spark, tmp_path):
     got = [r["link"] for r in sorted(spark.table("lanes").collect(), key=lambda r: r["emit"])]
     name = lambda *ns: [None if i is None else f"http://x/{i}" for i in ns]
     assert got == name(None, 1, 3, 0, 2, 4, 6, 5)
+
+
+def test_full_buffers_do_not_wait_in_state():
+    """What a batch's rows fill goes out at once; only what is left is put into state, and only that is read from it."""
+    from pyspark.sql import Row
+
+    state, told = {}, []
+    value = type("Value", (), {"exists": lambda _: bool(told), "get": lambda _: told[-1], "update": lambda _, x: told.append(x)})()
+    puts = []
+    kept = type("Kept", (), {"updateValue": lambda _, k, v: (puts.append(k), state.__setitem__(k, v)), "getValue": lambda _, k: state[k], "clear": lambda _: state.clear()})()
+    s = loop.Strides(["ts", "link"], 10, 3, None)
+    s.init(type("Handle", (), {"getValueState": lambda *_: value, "getMapState": lambda *_: kept})())
+    rows = [Row(lane=0, link=None if i == 7 else f"l{i:03d}", ts=None if i == 9 else T0 + dt.timedelta(seconds=i // 2)) for i in range(34)]
+    order = sorted(rows[:25], key=lambda r: (r["ts"] is not None, r["ts"], r["link"] is not None, r["link"])) + rows[25:]
+    want = [(order[a + k]["link"], order[a + k]["ts"]) for a in (0, 10, 20) for i in range(3) for k in range(i, 10, 3)]
+    out = list(s.handleInputRows((0,), iter(rows[24::-1]), None))
+    assert len(puts) == 5
+    out += list(s.handleInputRows((0,), iter(rows[:24:-1]), None))
+    assert len(puts) == 9 and [(r["link"], r["ts"]) for r in out] == want and [r["emit"] for r in out] == list(range(30))

@@ -6,8 +6,11 @@ host's turn or a buffer's row costs does not depend on how much waits behind it.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -92,6 +95,22 @@ def crawl_loop(spark: SparkSession, links: str, pages: DataFrame, out: str, chec
     return polite(seen_once(source).drop("url_hash"), interval_ms).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
 
 
+def in_order(rows: Iterator[Row], order: list[str], first: int, size: int) -> Iterator[list[tuple]]:
+    """(link, ts) of a batch's rows in order, nulls first, in lists: one of ``first`` rows, then of ``size`` each, the last
+    of what is left. The rows come in any order and wait in Arrow's columns, at a few dozen bytes each."""
+    schema = pa.schema([("link", pa.string()), ("ts", pa.timestamp("us"))])
+    held = []
+    while some := list(itertools.islice(rows, 8192)):
+        held.append(pa.record_batch([pa.array([r[c] for r in some], t) for c, t in zip(schema.names, schema.types, strict=True)], schema=schema))
+    whole = pa.Table.from_batches(held, schema)
+    at = pc.sort_indices(whole, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+    a, b = 0, first
+    while a < len(at):
+        part = whole.take(at[a:b])
+        yield list(zip(part.column("link").to_pylist(), part.column("ts").to_pylist(), strict=True))
+        a, b = b, b + size
+
+
 class Strides(StatefulProcessor):
     """One buffer of rows in order. A full one goes out by strides; one that nothing has come to for ``idle_ms`` as it is."""
 
@@ -103,24 +122,29 @@ class Strides(StatefulProcessor):
         self.place = handle.getValueState("place", "held long, out long, touched long")
         self.buffer = handle.getMapState("buffer", "n long", "link string, ts timestamp")
 
-    def _out(self, lane: int, held: int, out: int) -> Iterator[Row]:
+    def _out(self, lane: int, rows: list[tuple], out: int) -> Iterator[Row]:
         n = 0
-        for i in range(min(self.stride, held)):
-            for k in range(i, held, self.stride):
-                link, ts = self.buffer.getValue((k,))
+        for i in range(min(self.stride, len(rows))):
+            for link, ts in rows[i :: self.stride]:
                 yield Row(lane=lane, link=link, ts=ts, emit=out + n)
                 n += 1
+
+    def _held(self, held: int) -> list[tuple]:
+        got = [self.buffer.getValue((k,)) for k in range(held)]
         self.buffer.clear()
+        return got
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N803
         held, out, _ = self.place.get() if self.place.exists() else (0, 0, 0)
-        # a batch's rows come in any order; how many there are is the source's admission limit
-        for r in sorted(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order)):
-            self.buffer.updateValue((held,), (r["link"], r["ts"]))
-            held += 1
-            if held == self.size:
-                yield from self._out(key[0], held, out)
-                held, out = 0, out + held
+        # what the rows at hand fill goes out at once; only what is left waits in state
+        for part in in_order(rows, self.order, self.size - held, self.size):
+            if held + len(part) == self.size:
+                yield from self._out(key[0], (self._held(held) if held else []) + part, out)
+                held, out = 0, out + self.size
+            else:
+                for r in part:
+                    self.buffer.updateValue((held,), r)
+                    held += 1
         now = 0
         if self.idle is not None:
             now = timerValues.getCurrentProcessingTimeInMs()
@@ -131,7 +155,7 @@ class Strides(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N803
         held, out, touched = self.place.get()
         if held and expiredTimerInfo.getExpiryTimeInMs() >= touched + self.idle:
-            yield from self._out(key[0], held, out)
+            yield from self._out(key[0], self._held(held), out)
             self.place.update((0, out + held, touched))
 
     def close(self) -> None:
