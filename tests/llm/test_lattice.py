@@ -1,5 +1,6 @@
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from weftline.llm import lattice
 from weftline.llm.common import utf8
 
@@ -181,3 +183,15 @@ def test_query(spark, sf):
     by = {(r["doc_id"], r["sample"]): r for r in rows}
     for r in full.collect():
         assert zlib.crc32(np.array(r["ids"], "<u4")) == by[r["doc_id"], r["sample"]]["ids_crc32"]
+
+
+def test_the_queries_return_the_segmentations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 20")
+    p = lattice.model(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for out in (lattice.op5_gumbel_segmentation(spark, "/root/testdata/sf0.001").where("doc_id < 20"), corpus_pipeline.segmentation(spark, docs, "")):
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == set(texts)
+        for r in rows:
+            assert len(r["ids"]) == r["n_pieces"] and p.decode(r["ids"]) == texts[r["doc_id"]]
+            assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]

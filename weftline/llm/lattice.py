@@ -561,4 +561,4 @@ def op5_gumbel_segmentation(spark: SparkSession, sf_dir: str, k: int = SAMPLES)
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k, "doc_id", ["doc_id"], full=False)
+    return sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k, "doc_id", ["doc_id"])
