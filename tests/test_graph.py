@@ -167,3 +167,22 @@ def test_a_hot_source_is_many_tasks_work(spark):
     want = {r["node"]: r["rank"] for r in graph.pagerank(star, 3).collect()}
     got = {r["node"]: r["rank"] for r in graph.settled_pagerank(star, 3, part=100).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_steps_do_not_sort_the_edges(spark):
+    shares = edges(spark, [("a", "b"), ("b", "a")]).withColumn("deg", F.lit(1))
+    ranks = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "node string, rank double")
+    plan = graph.pagerank_step(shares, ranks)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pages_come_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        for have, want in ((str(1 << 30), 4 << 20), ("1000", 1000)):
+            spark.conf.set(key, have)
+            graph.page_links(spark.createDataFrame([(1, "http://a.x/", "<a href='/b'>c</a>")], "page_id long, url string, html string"))
+            assert int(spark.conf.get(key).rstrip("b")) == want
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
