@@ -186,3 +186,23 @@ def test_pages_come_by_bytes(spark):
             assert int(spark.conf.get(key).rstrip("b")) == want
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_ranks_added_in_order(spark, partitions):
+    """All nodes point at all: ranks are 1 but for the digits that adding one by one leaves, which re-ranking compares with 1."""
+    names = [f"n{i}" for i in range(25)]
+    edges = spark.createDataFrame([(a, b) for a in names for b in names], "src string, dst string")
+    want = 1.0
+    for _ in range(3):
+        s = 0.0
+        for _ in names:
+            s += want / 25
+        want = 0.15 + 0.85 * s
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["rank"] for r in graph.pagerank(edges, 3, in_order=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert want != 1.0 and got == {want}

@@ -114,16 +114,21 @@ def only_sources(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
 
-def pagerank_step(shares: DataFrame, ranks: DataFrame, damping: float = 0.85) -> DataFrame:
+def pagerank_step(shares: DataFrame, ranks: DataFrame, damping: float = 0.85, in_order: bool = False) -> DataFrame:
     """One step on (src, dst, deg) and (node, rank): 0.15 + 0.85 * the ranks received. Nodes that nothing reaches
     vanish, and targets that are no sources keep no rank that goes on. A partition's ranks are hashed, so that the edges
-    are not sorted in every step."""
-    given = shares.join(ranks.withColumnRenamed("node", "src").hint("shuffle_hash"), "src").select("dst", (F.col("rank") / F.col("deg")).alias("part"))
-    return given.groupBy(F.col("dst").alias("node")).agg((F.lit(1 - damping) + F.lit(damping) * F.sum("part")).alias("rank"))
+    are not sorted in every step. ``in_order``: a node's parts are added one by one, by source, not in sums of
+    partitions, whose last digits differ with the partitions; all parts are shuffled for it."""
+    given = shares.join(ranks.withColumnRenamed("node", "src").hint("shuffle_hash"), "src").select("src", "dst", (F.col("rank") / F.col("deg")).alias("part"))
+    if in_order:
+        n = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        given = given.repartition(n, "dst").sortWithinPartitions("dst", "src")
+    return given.groupBy(F.col("dst").alias("node")).agg((F.lit(round(1 - damping, 12)) + F.lit(damping) * F.sum("part")).alias("rank"))
 
 
-def pagerank(edges: DataFrame, n: int = 30, self_loops: bool = False, restrict: bool = False, cut_every: int = 5) -> DataFrame:
-    """(node, rank) after n steps from rank 1 at every source; repeated edges count as often as they stand.
+def pagerank(edges: DataFrame, n: int = 30, self_loops: bool = False, restrict: bool = False, cut_every: int = 5, in_order: bool = False) -> DataFrame:
+    """(node, rank) after n steps from rank 1 at every source; repeated edges count as often as they stand. ``in_order``:
+    the same digits however the edges lie, for what compares ranks with exact values.
 
     Edges lie on disk in buckets by source, and a step's sums come out dealt by node into as many partitions, so that a
     step's only shuffle is that of the parts, added up before it. Every few steps the ranks are written likewise, which
@@ -139,7 +144,7 @@ def pagerank(edges: DataFrame, n: int = 30, self_loops: bool = False, restrict:
     sources = bucketed(shares.select(F.col("src").alias("node")).distinct(), "node", "rank-nodes")
     ranks = sources.withColumn("rank", F.lit(1.0))
     for i in range(n):
-        ranks = pagerank_step(shares, ranks)
+        ranks = pagerank_step(shares, ranks, in_order=in_order)
         if (i + 1) % cut_every == 0 and i + 1 < n:
             ranks = bucketed(ranks, "node", "ranks")
     return ranks.join(sources, "node", "left_semi")
