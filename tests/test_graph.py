@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import session
 from weftline.operators import graph, keywords
 from weftline.sources.sinks import to_dot
 
@@ -206,3 +207,17 @@ def test_ranks_added_in_order(spark, partitions):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert want != 1.0 and got == {want}
+
+
+def test_steps_leave_neither_shuffles_nor_ranks(spark, tmp_path, monkeypatch):
+    """Of many edges, every step's ranks are written; the step's shuffle files and the ranks before go then."""
+    monkeypatch.setattr(graph, "MANY_EDGES", 1, raising=False)
+    star = edges(spark, [("hub", f"n{i}") for i in range(40)] + [(f"n{i}", "hub") for i in range(40)])
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    had = shuffles()
+    got = graph.page_pagerank(star, 6)
+    assert not shuffles() - had
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("ranks_")]) == 1
+    assert got.count() == 41
