@@ -123,3 +123,17 @@ def test_indexer_stream_feeds_the_service(spark, tmp_path):
     none = spark.createDataFrame([], "node string, rank double")
     find = lambda q: [u for u, _ in Service(index.view(), urls, none, none, none).normal_search(q)]
     assert find("word") == ["http://s.org/b.html"] and find("texting") == ["http://s.org/a.html"] and find("old") == []
+
+
+def test_postings_are_made_once(spark, tmp_path, monkeypatch):
+    """No ranges of postings, whose bounds Spark draws by making all of them a first time; merges keep what is alive."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    asked, by_range = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, *a: asked.append(a) or by_range(self, *a))
+    index = segments.SegmentedIndex(spark, str(tmp_path), "id", ["text"], per_range=4)
+    index.add(spark.createDataFrame([(f"d{i}", f"common word{i}") for i in range(12)], "id string, text string"), merge=False)
+    index.add(spark.createDataFrame([("d3", "other"), ("d4", "common")], "id string, text string"), merge=False)
+    assert index.merge(everything=True) and not asked
+    held = {(r["id"], r["term"]) for r in index.view().postings.collect()}
+    assert held == {(f"d{i}", t) for i in range(12) if i not in (3, 4) for t in ("common", f"word{i}")} | {("d3", "other"), ("d4", "common")}

@@ -2,7 +2,7 @@
 
 ``<path>/segments/<name>/`` holds a segment's tables:
 
-* ``postings`` (seg, term, field, r, n, max_tf, min_len, rows), sorted by term: the documents of a segment are dealt by hash
+* ``postings`` (seg, term, field, r, n, max_tf, min_len, rows), dealt by hash over files that are sorted by term: the documents of a segment are dealt by hash
   into ranges of about ``RANGE``, and a row has all postings of a term and field in one range, so that ``max_tf`` and
   ``min_len`` bound what any of them scores;
 * ``docs`` (seg, key, field, len, terms, r): what each document holds, and its range;
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import SIMPLE, Analyzer
 from weftline.operators import search
-from weftline.session import bucketed, dealt, written
+from weftline.session import bucketed, cleaned, dealt, discard, written
 from weftline.sources.keyed import Conflict, Folder, Versions
 
 RANGE = 256  # documents of a range, about
@@ -76,19 +76,24 @@ class SegmentedIndex:
 
     # ---- writes
 
-    def _write(self, seg: str, docs: DataFrame, rows: DataFrame, gone: DataFrame, now: list) -> int:
+    def _write(self, seg: str, docs: DataFrame, rows: DataFrame, gone: DataFrame, now: list, parts: bool = False) -> int:
         """The tables of a new segment, from its docs (key, field, len, terms, r), its postings' rows by (term, field, r), which
-        may come in several parts, and the (seg, key) of documents that it replaces in segments of ``now``."""
+        may come in several ``parts``, and the (seg, key) of documents that it replaces in segments of ``now``."""
         folder, named = f"{self.path}/segments/{seg}", F.lit(seg).alias("seg")
         read = lambda table: self.spark.read.schema(self._schemas[table]).parquet(f"{folder}/{table}")
         docs.select(named, "key", "field", F.col("len").cast("long").alias("len"), "terms", F.col("r").cast("long").alias("r")).write.parquet(f"{folder}/docs")
         docs = read("docs")
-        # the only shuffle of postings: groups are whole where their term's range is
+        # the only shuffle of postings, by hash: ranges would have all of them made twice, to draw their bounds first. A
+        # term's rows are spread by range of documents; within a file pages are skipped by term
         order = ["term", "field", "r"]
-        whole = rows.select("term", "field", F.col("r").cast("long").alias("r"), "rows").repartitionByRange(*order).groupBy(*order).agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
+        whole = rows.select("term", "field", F.col("r").cast("long").alias("r"), "rows").repartition(*order)
+        if parts:
+            whole = whole.groupBy(*order).agg(F.flatten(F.collect_list("rows")).alias("rows"))
+        whole = whole.withColumn("rows", F.sort_array("rows"))
         most, least = F.array_max(F.transform("rows", lambda x: x["tf"])), F.array_min(F.transform("rows", lambda x: x["len"]))
         whole = whole.select(named, *order, F.size("rows").cast("long").alias("n"), most.alias("max_tf"), least.alias("min_len"), "rows")
-        whole.sortWithinPartitions(*order).write.parquet(f"{folder}/postings")
+        with cleaned(self.spark):
+            whole.sortWithinPartitions(*order).write.parquet(f"{folder}/postings")
         gone.select("seg", "key").distinct().write.parquet(f"{folder}/dead")
         replaced = self._read("docs", now).join(read("dead"), ["seg", "key"], "left_semi")
         replaced.select("seg", "field", F.explode("terms").alias("term")).groupBy("seg", "field", "term").agg(F.count("*").alias("n")).write.parquet(f"{folder}/minus")
@@ -157,14 +162,17 @@ class SegmentedIndex:
         renumbered = F.expr(f"(before + r * many div of) div {self.per_range}").alias("r")
         gone = written(docs.join(dead, ["seg", "key"], "left_semi").groupBy("seg", "r").agg(F.collect_set("key").alias("gone")), "segment-gone")
         rows = self._read("postings", due).select("seg", "term", "field", "r", "rows").join(gone, ["seg", "r"], "left").join(placed, "seg")
-        left = F.when(F.col("gone").isNull(), F.col("rows")).otherwise(F.filter("rows", lambda x: ~F.array_contains("gone", x["key"])))
+        # most rows hold none of the dead, which is told faster than each element is looked up
+        none = F.col("gone").isNull() | ~F.arrays_overlap("gone", "rows.key")
+        left = F.when(none, F.col("rows")).otherwise(F.filter("rows", lambda x: ~F.array_contains("gone", x["key"])))
         rows = rows.select("term", "field", renumbered, left.alias("rows")).where("size(rows) > 0")
         docs = docs.join(dead, ["seg", "key"], "left_anti").join(placed, "seg").select("key", "field", "len", "terms", renumbered)
         # what these segments replaced in others stays replaced
         rest = [s for s in now if s["seg"] not in names]
         others = [s["seg"] for s in rest]
         seg = f"{version:012d}-{uuid.uuid4().hex[:8]}"
-        n = self._write(seg, docs, rows, self._read("dead", due).where(F.col("seg").isin(others)), rest)
+        n = self._write(seg, docs, rows, self._read("dead", due).where(F.col("seg").isin(others)), rest, parts=True)
+        discard(gone)
         try:
             self._commit([tuple(s) for s in rest] + [(seg, n, max(s["epoch"] for s in due))], version)
         except Conflict:
