@@ -137,3 +137,23 @@ def test_full_buffers_do_not_wait_in_state():
     assert len(puts) == 5
     out += list(s.handleInputRows((0,), iter(rows[:24:-1]), None))
     assert len(puts) == 9 and [(r["link"], r["ts"]) for r in out] == want and [r["emit"] for r in out] == list(range(30))
+
+
+def test_strides_come_in_frames(spark):
+    """Frames instead of a Row for each link: the same order and numbers, nulls first, and only what is left is put into state."""
+    import pandas as pd
+
+    state, told = {}, []
+    value = type("Value", (), {"exists": lambda _: bool(told), "get": lambda _: told[-1], "update": lambda _, x: told.append(x)})()
+    kept = type("Kept", (), {"updateValue": lambda _, k, v: state.__setitem__(k, v), "getValue": lambda _, k: state[k], "clear": lambda _: state.clear()})()
+    s = loop.StridesInFrames(["ts", "link"], 10, 3, None)
+    s.init(type("Handle", (), {"getValueState": lambda *_: value, "getMapState": lambda *_: kept})())
+    rows = [(None if i == 7 else f"l{i:03d}", None if i == 9 else i // 2) for i in range(34)]
+    order = sorted(rows[:25], key=lambda r: (r[1] is not None, r[1], r[0] is not None, r[0])) + rows[25:]
+    want = [order[a + k] for a in (0, 10, 20) for i in range(3) for k in range(i, 10, 3)]
+    frame = lambda some: pd.DataFrame({"link": [r[0] for r in some], "ts": [r[1] or 0 for r in some], "none": [r[1] is None for r in some]})
+    out = list(s.handleInputRows((0,), iter([frame(rows[24:9:-1]), frame(rows[9::-1])]), None))
+    assert len(state) == 5
+    out = pd.concat([*out, *s.handleInputRows((0,), iter([frame(rows[:24:-1])]), None)])
+    assert [(r.link, None if r.none else r.ts) for r in out.itertuples()] == want and list(out["emit"]) == list(range(30))
+    assert len(state) == 4

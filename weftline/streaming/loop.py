@@ -9,6 +9,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -102,12 +104,15 @@ def in_order(rows: Iterator[Row], order: list[str], first: int, size: int) -> It
     held = []
     while some := list(itertools.islice(rows, 8192)):
         held.append(pa.record_batch([pa.array([r[c] for r in some], t) for c, t in zip(schema.names, schema.types, strict=True)], schema=schema))
-    whole = pa.Table.from_batches(held, schema)
+    for part in _parts(pa.Table.from_batches(held, schema), order, first, size):
+        yield list(zip(part.column("link").to_pylist(), part.column("ts").to_pylist(), strict=True))
+
+
+def _parts(whole: pa.Table, order: list[str], first: int, size: int) -> Iterator[pa.Table]:
     at = pc.sort_indices(whole, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
     a, b = 0, first
     while a < len(at):
-        part = whole.take(at[a:b])
-        yield list(zip(part.column("link").to_pylist(), part.column("ts").to_pylist(), strict=True))
+        yield whole.take(at[a:b])
         a, b = b, b + size
 
 
@@ -162,11 +167,59 @@ class Strides(StatefulProcessor):
         pass
 
 
+class StridesInFrames(Strides):
+    """The same on frames of (link, ts, none), so that no row is an object of its own: ``ts`` counts microseconds, and is 0
+    where there is none."""
+
+    SCHEMA = pa.schema([("link", pa.string()), ("ts", pa.int64())])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "held long, out long, touched long")
+        self.buffer = handle.getMapState("buffer", "n long", "link string, ts long")
+
+    def _frame(self, lane: int, rows: pa.Table, out: int) -> pd.DataFrame:
+        n = rows.num_rows
+        went = rows.take(pa.array(np.concatenate([np.arange(i, n, self.stride) for i in range(min(self.stride, n))])))
+        ts = went.column("ts")
+        return pd.DataFrame({"lane": lane, "link": pd.Series(went.column("link").to_pylist(), dtype=object), "ts": ts.fill_null(0).to_numpy(), "none": ts.is_null().to_numpy(), "emit": np.arange(out, out + n)})
+
+    def _table(self, rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(self.SCHEMA.types)], schema=self.SCHEMA)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        held, out, _ = self.place.get() if self.place.exists() else (0, 0, 0)
+        came = [pa.record_batch([pa.array(f["link"], pa.string(), from_pandas=True), pa.array(f["ts"].to_numpy("int64"), mask=f["none"].to_numpy("bool"))], schema=self.SCHEMA) for f in rows]
+        for part in _parts(pa.Table.from_batches(came, self.SCHEMA), self.order, self.size - held, self.size):
+            if held + part.num_rows == self.size:
+                yield self._frame(key[0], pa.concat_tables([self._table(self._held(held)), part]) if held else part, out)
+                held, out = 0, out + self.size
+            else:
+                for r in zip(part.column("link").to_pylist(), part.column("ts").to_pylist(), strict=True):
+                    self.buffer.updateValue((held,), r)
+                    held += 1
+        now = 0
+        if self.idle is not None:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            if held:
+                self.handle.registerTimer(now + self.idle)
+        self.place.update((held, out, now))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        held, out, touched = self.place.get()
+        if held and expiredTimerInfo.getExpiryTimeInMs() >= touched + self.idle:
+            yield self._frame(key[0], self._table(self._held(held)), out)
+            self.place.update((0, out + held, touched))
+
+
 def strides(links: DataFrame, order: list[str] | None = None, size: int = 100_000, stride: int = 1000, idle_ms: int | None = 60_000, lanes: int = 1, lane: Column | None = None) -> DataFrame:
     """(lane, link, ts, emit) of a stream of (link, ts): buffers of ``size`` links in order go out as positions 0, stride,
     2 stride, ..., then 1, stride + 1, ...; ``emit`` numbers a lane's rows. Links are dealt over lanes by hash, or by a
     column of whole numbers, a buffer each; with one lane, and rows that come in order, it is ``operators.crawl.stride_shuffle``. The last buffer leaves
     when nothing has come for ``idle_ms``, or stays (None)."""
     by = F.pmod(F.xxhash64("link"), F.lit(lanes)) if lane is None else lane.cast("long")
-    keyed = links.select(by.alias("lane"), "link", "ts")
-    return keyed.groupBy("lane").transformWithState(Strides(order or ["ts", "link"], size, stride, idle_ms), "lane long, link string, ts timestamp, emit long", "append", "none" if idle_ms is None else "processingTime")
+    micros = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)).alias("ts")
+    keyed = links.select(by.alias("lane"), "link", micros, F.col("ts").isNull().alias("none"))
+    processor = StridesInFrames(order or ["ts", "link"], size, stride, idle_ms)
+    out = keyed.groupBy("lane").transformWithStateInPandas(processor, "lane long, link string, ts long, none boolean, emit long", "append", "none" if idle_ms is None else "processingTime")
+    return out.select("lane", "link", F.when(~F.col("none"), F.timestamp_micros("ts")).alias("ts"), "emit")
